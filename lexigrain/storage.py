@@ -54,9 +54,7 @@ class StoredTable:
 
     def drop(self) -> None:
         """Delete the files once nothing reads them any more."""
-        spark = self.df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.df.sparkSession, self.path)
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
@@ -71,3 +69,56 @@ def spread(df: DataFrame) -> DataFrame:
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
+def _filesystem(spark: SparkSession, path: str):
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()), location
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, location = _filesystem(spark, path)
+    return fs.exists(location)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, location = _filesystem(spark, path)
+    return fs.exists(location) and fs.getFileStatus(location).isFile()
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    fs, location = _filesystem(spark, source)
+    if not fs.rename(location, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, location = _filesystem(spark, path)
+    fs.delete(location, True)
+
+
+def require_empty_directory(spark: SparkSession, path: str) -> None:
+    """Results go to a directory that is missing or empty; nothing is ever overwritten."""
+    fs, location = _filesystem(spark, path)
+    if not fs.exists(location):
+        return
+    if not fs.getFileStatus(location).isDirectory():
+        raise ValueError(f"output path is not a directory: {path}")
+    if len(fs.listStatus(location)):
+        raise ValueError(f"output directory is not empty: {path}")
+
+
+def require_new_path(spark: SparkSession, path: str) -> None:
+    if path_exists(spark, path):
+        raise ValueError(f"output already exists: {path}")
+
+
+def write_one_file(df: DataFrame, path: str) -> None:
+    """Write a one-column, few-row text DataFrame as a single file, visible only when complete."""
+    spark = df.sparkSession
+    staging = f"{path}.part-{uuid.uuid4().hex}"
+    df.coalesce(1).write.text(staging)
+    fs, location = _filesystem(spark, staging)
+    names = [status.getPath().toString() for status in fs.listStatus(location)]
+    move(spark, next(n for n in names if n.rsplit("/", 1)[-1].startswith("part-")), path)
+    remove(spark, staging)
