@@ -23,7 +23,7 @@ def parse_tokenizer_specs(values: list[str]) -> dict[str, str]:
 def requested_names(requests: DataFrame, column: str = "names") -> DataFrame:
     """``(name, times)`` from comma lists: names trimmed, blanks dropped."""
     return (
-        requests.select(F.trim(F.explode(F.split(column, ","))).alias("name"))
+        requests.select(F.explode(F.transform(F.split(column, ","), lambda name: F.trim(name))).alias("name"))
         .where("name <> ''")
         .groupBy("name")
         .agg(F.count("*").alias("times"))
