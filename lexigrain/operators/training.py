@@ -1,11 +1,12 @@
 """Exact byte-pair-encoding training as rounds of Spark jobs over word types.
 
 One job per merge would spend its time on job start-up, so each round proposes a whole sequence of
-merges, in the order of the current pair counts, and lets Spark play the sequence through on every
-word while recording how each step changes the counts of the pairs that can still matter. The driver
-then walks the sequence and accepts it as far as every step really was the best pair at that moment;
-the counts after the last accepted step are already known, so the next round can start at once.
-The result is the same merge list as one-at-a-time training.
+merges and lets Spark play the sequence through on every word while recording how each step changes
+the counts of the pairs that can still matter. The driver then walks the sequence and accepts it as
+far as every step really was the best pair at that moment; the counts after the last accepted step
+are already known, so the next round can start at once. The result is the same merge list as
+one-at-a-time training. Sequences are proposed from the current counts and from what earlier rounds
+showed a merge to do to other pairs; a wrong guess costs a round, never a wrong merge.
 
 What reaches the driver is bounded by the frontier size, the round length and the vocabulary size,
 never by the corpus.
@@ -13,8 +14,12 @@ never by the corpus.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from lexigrain.functions.symbols import (
@@ -46,71 +51,59 @@ def pair_counts(words: DataFrame) -> DataFrame:
     )
 
 
-# The round expressions are SQL text: one parse costs far less than some hundred Column calls.
-# Symbols start at U+0020, so chr(10) can stand for "no neighbour" and separate list entries.
-
-
-def _text(value: str) -> str:
-    """SQL literal of a string with arbitrary symbols."""
-    return f"CAST(X'{value.encode().hex()}' AS STRING)"
-
-
-def _texts(values: list[str]) -> str:
-    """SQL literal of a list of symbol strings; folds to one constant."""
-    return f"split({_text(chr(10).join(values))}, chr(10))"
-
-
-ADJACENT_PAIRS = """
-    zip_with(slice(split(s, ''), 1, char_length(s) - 1),
-             slice(split(s, ''), 2, char_length(s) - 1), (a, b) -> concat(a, b))"""
-
-
-def _relevant(steps: list[str]) -> str:
-    """The steps (left + right + result symbol) that can apply to word ``s``, in step order.
-
-    All pairs of one round exist before it starts, so a word is open to a step only if it holds the
-    pair now. ``array_intersect`` keeps the order of its first argument.
-    """
-    pairs = _texts([step[:2] for step in steps])
-    return f"""transform(array_intersect({pairs}, {ADJACENT_PAIRS}),
-                         p -> element_at({_texts(steps)}, CAST(array_position({pairs}, p) AS INT)))"""
+# Symbols start at U+0020, so a line break separates the words of a batch. Replacing in one long
+# string and counting with arrays costs a few microseconds per word for a whole round.
+_BREAK = "\n"
+
+
+def _merge_batch(words: list[str], steps: list[str]) -> list[str]:
+    text = _BREAK.join(words)
+    for step in steps:
+        text = text.replace(step[:2], step[2])
+    return text.split(_BREAK)
+
+
+def _sums(codes: np.ndarray, freq: np.ndarray) -> list[tuple[str, int]]:
+    """Total frequency per neighbouring symbol."""
+    values, group = np.unique(codes, return_inverse=True)
+    sums = np.zeros(len(values), dtype=np.int64)
+    np.add.at(sums, group, freq)
+    return [(chr(value), n) for value, n in zip(values.tolist(), sums.tolist())]
+
+
+def _count_batch(words: list[str], freq: np.ndarray, steps: list[str], totals: Counter) -> None:
+    """Add what playing the steps on a batch does to the counts of ``(step number, pair)``."""
+    text = _BREAK + _BREAK.join(words) + _BREAK
+    for i, (left, right, made) in enumerate(steps):
+        merged = text.replace(left + right, made)
+        if len(merged) == len(text):
+            continue
+        text = merged
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        at = np.flatnonzero(codes == ord(made))
+        word = np.cumsum(codes == ord(_BREAK))[at] - 1
+        weight = freq[word]
+        totals[i, left + right] -= int(weight.sum())
+        for before, n in _sums(codes[at - 1], weight):
+            if before != _BREAK:
+                totals[i, before + made] += n
+                # A neighbour that is a fresh merge too ended in the right symbol until now.
+                totals[i, (right if before == made else before) + left] -= n
+        for after, n in _sums(codes[at + 1], weight):
+            if after not in (_BREAK, made):  # a merged neighbour is counted from its own side
+                totals[i, made + after] += n
+                totals[i, right + after] -= n
 
 
 def replay(words: DataFrame, steps: list[str]) -> DataFrame:
     """The words after one round; a word that became a single token has no pairs and leaves."""
-    return words.selectExpr(
-        f"""aggregate({_relevant(steps)}, s,
-                      (w, step) -> replace(w, substr(step, 1, 2), substr(step, 3, 1))) AS s""",
-        "freq",
-    ).where("char_length(s) > 1")
 
+    def run(batches):
+        for batch in batches:
+            batch["s"] = _merge_batch(batch["s"].tolist(), steps)
+            yield batch[batch["s"].str.len() > 1]
 
-def _merge_sites(steps: list[str]) -> str:
-    """All places where playing the steps one after the other merges something in word ``s``.
-
-    A place is five characters: left, right and result symbol, the symbol before and the one after.
-    """
-    sites = """
-        filter(transform(split(merged, ''), (c, i) -> if(c = substr(step, 3, 1),
-            concat(step, coalesce(get(split(merged, ''), i - 1), chr(10)),
-                         coalesce(get(split(merged, ''), i + 1), chr(10))), NULL)), x -> x IS NOT NULL)"""
-    return f"""
-        aggregate({_relevant(steps)}, named_struct('s', s, 'sites', CAST(array() AS ARRAY<STRING>)),
-            (state, step) -> transform(
-                array(replace(state.s, substr(step, 1, 2), substr(step, 3, 1))),
-                merged -> named_struct('s', merged, 'sites', concat(state.sites, {sites})))[0],
-            state -> state.sites)"""
-
-
-# What one merge place does to the pair counts. A neighbour before it that is itself a fresh merge
-# ended in the right symbol until this step; one after it is counted from its own left side.
-_SITE_CHANGES = """
-    inline(array(
-        named_struct('pair', concat(l, r), 'd', -freq),
-        named_struct('pair', if(before = chr(10), NULL, concat(before, made)), 'd', freq),
-        named_struct('pair', if(before = chr(10), NULL, concat(if(before = made, r, before), l)), 'd', -freq),
-        named_struct('pair', if(after IN (chr(10), made), NULL, concat(made, after)), 'd', freq),
-        named_struct('pair', if(after IN (chr(10), made), NULL, concat(r, after)), 'd', -freq)))"""
+    return words.mapInPandas(run, "s string, freq bigint")
 
 
 def _round_changes(
@@ -118,25 +111,28 @@ def _round_changes(
 ) -> DataFrame:
     """``(step, pair, d)``: how playing the steps changes the counts of the pairs that matter.
 
-    A pair is at its most frequent when the younger of its symbols is made and only falls later, so
-    the pairs that matter are the known ones and those that start with at least ``floor``.
+    Tasks add up changes per step and pair before the shuffle. A pair is at its most frequent when
+    the younger of its symbols is made and only falls later, so the pairs that matter are the known
+    ones and those that start with at least ``floor``.
     """
+
+    def run(batches):
+        totals: Counter = Counter()
+        for batch in batches:
+            if len(batch):
+                _count_batch(batch["s"].tolist(), batch["freq"].to_numpy(), steps, totals)
+        rows = [(i, pair, d) for (i, pair), d in totals.items() if d]
+        yield pd.DataFrame(rows, columns=["step", "pair", "d"])
+
     known_set = ", ".join(f"X'{pair.encode().hex()}'" for pair in known)
+    first = f"CAST(X'{first_new.encode().hex()}' AS STRING)"
     return (
-        words.selectExpr("freq", f"explode({_merge_sites(steps)}) AS site")
-        .selectExpr(
-            "freq",
-            "substr(site, 1, 3) AS step",
-            *(f"substr(site, {i}, 1) AS {n}" for i, n in enumerate(("l", "r", "made", "before", "after"), 1)),
-        )
-        .selectExpr("step", _SITE_CHANGES)
-        .where("pair IS NOT NULL")
+        words.mapInPandas(run, "step int, pair string, d bigint")
         .groupBy("step", "pair")
         .agg(F.sum("d").alias("d"))
         .where(
             f"""CAST(pair AS BINARY) IN ({known_set}) OR d >= {floor}
-                OR (d < 0 AND (substr(pair, 1, 1) >= {_text(first_new)}
-                               OR substr(pair, 2, 1) >= {_text(first_new)}))"""
+                OR (d < 0 AND (substr(pair, 1, 1) >= {first} OR substr(pair, 2, 1) >= {first}))"""
         )
     )
 
@@ -148,36 +144,57 @@ class TrainingReport:
 
 
 class _Vocabulary:
-    """Token strings by id, and the merges accepted so far."""
+    """Token strings by id, the merges accepted so far, and the effects merges were seen to have."""
 
     def __init__(self):
         self.tokens = base_tokens()
         self.ids = {token: i for i, token in enumerate(self.tokens)}
         self.merges: list[tuple[int, int, int]] = []
-
-    def spell(self, pair: str, extra: list[str]) -> str:
-        def token(char):
-            i = symbol_id(char)
-            return self.tokens[i] if i < len(self.tokens) else extra[i - len(self.tokens)]
-
-        return token(pair[0]) + token(pair[1])
-
-    def propose(self, pairs: list[str], limit: int) -> list[str]:
-        """Packed steps for a sequence of pairs; ends after a step that respells a known token."""
-        steps, extra = [], []
-        for pair in pairs:
-            if len(self.tokens) + len(extra) >= limit:
+        # Token strings of a pair -> (left token, right token, count change) of touched pairs.
+        self.effects: dict[tuple[str, str], list[tuple[str, str, int]]] = {}
+
+    def propose(self, counts: dict[str, int], cut: tuple[int, str], limit: int, length: int) -> list[str]:
+        """Packed steps, best first by the expected counts; ends after one that respells a token."""
+        expected, steps = _Ranking(counts), []
+        spelling = _Spelling(self.tokens)
+        while len(steps) < length and len(self.tokens) + len(steps) < limit:
+            pair = expected.best()
+            if pair is None or _order(pair, expected.counts[pair]) > cut:
+                break
+            names = spelling[pair[0]], spelling[pair[1]]
+            token = names[0] + names[1]
+            if token in spelling.symbols:
                 break
-            token = self.spell(pair, extra)
             if token in self.ids:
                 steps.append(pair + symbol_char(self.ids[token]))
                 break
-            if token in extra:
-                break
-            steps.append(pair + symbol_char(len(self.tokens) + len(extra)))
-            extra.append(token)
+            steps.append(pair + spelling.add(token))
+            del expected.counts[pair]
+            for left, right, d in self.effects.get(names, ()):
+                touched = self._symbol(left, spelling), self._symbol(right, spelling)
+                if None in touched:
+                    continue
+                key = touched[0] + touched[1]
+                if d > 0 or key in expected.counts:
+                    expected[key] = expected.counts.get(key, 0) + d
         return steps
 
+    def _symbol(self, token: str, spelling: "_Spelling") -> str | None:
+        if token in self.ids:
+            return symbol_char(self.ids[token])
+        return spelling.symbols.get(token)
+
+    def learn(self, steps: list[str], updates: dict[str, list[tuple[str, int]]]) -> None:
+        """Remember the effects of played steps by token strings, which outlive rejected ids."""
+        spelling = _Spelling(self.tokens)
+        for step in steps:
+            names = spelling[step[0]], spelling[step[1]]
+            if symbol_id(step[2]) >= len(self.tokens):
+                spelling.add(names[0] + names[1])
+            self.effects[names] = [
+                (spelling[pair[0]], spelling[pair[1]], d) for pair, d in updates[step] if pair != step[:2]
+            ]
+
     def accept(self, step: str) -> bool:
         """Record a step; False if it respells a token that exists already."""
         left, right, made = map(symbol_id, step)
@@ -190,9 +207,48 @@ class _Vocabulary:
         return True
 
 
-def _order(item: tuple[str, int]) -> tuple[int, str]:
+class _Spelling:
+    """Token strings of symbols, including those a proposed sequence makes on the way."""
+
+    def __init__(self, tokens: list[str]):
+        self.tokens = tokens
+        self.made: list[str] = []
+        self.symbols: dict[str, str] = {}
+
+    def __getitem__(self, symbol: str) -> str:
+        i = symbol_id(symbol)
+        return self.tokens[i] if i < len(self.tokens) else self.made[i - len(self.tokens)]
+
+    def add(self, token: str) -> str:
+        self.symbols[token] = symbol_char(len(self.tokens) + len(self.made))
+        self.made.append(token)
+        return self.symbols[token]
+
+
+def _order(pair: str, count: int) -> tuple[int, str]:
     """Best first: larger count, then smaller left and right id (code points follow ids)."""
-    return -item[1], item[0]
+    return -count, pair
+
+
+class _Ranking:
+    """Pair counts with quick access to the best pair; outdated heap entries are skipped."""
+
+    def __init__(self, counts: dict[str, int]):
+        self.counts = dict(counts)
+        self._heap = [_order(pair, n) for pair, n in counts.items()]
+        heapify(self._heap)
+
+    def __setitem__(self, pair: str, count: int) -> None:
+        self.counts[pair] = count
+        heappush(self._heap, _order(pair, count))
+
+    def best(self) -> str | None:
+        while self._heap:
+            negative, pair = self._heap[0]
+            if self.counts.get(pair) == -negative:
+                return pair
+            heappop(self._heap)
+        return None
 
 
 def train_bpe(
@@ -218,31 +274,32 @@ def train_bpe(
         report.recounts += 1
         if not best:
             break
-        counts = {row["pair"]: row["n"] for row in best}
+        ranking = _Ranking({row["pair"]: row["n"] for row in best})
+        counts = ranking.counts
         # Pairs that were not fetched rank below the last one fetched, and stay below it.
         complete = len(best) < frontier_size
-        cut = (-1, chr(0x10FFFF)) if complete else _order((best[-1]["pair"], best[-1]["n"]))
+        cut = (-1, chr(0x10FFFF)) if complete else _order(best[-1]["pair"], best[-1]["n"])
         distinct = True
 
         while distinct and counts and len(vocab.tokens) < vocab_size:
-            ranked = sorted(counts.items(), key=_order)[:round_length]
-            proposed = vocab.propose([pair for pair, _ in ranked], vocab_size)
+            proposed = vocab.propose(counts, cut, vocab_size, round_length)
             first_new = symbol_char(len(vocab.tokens))
             updates: dict[str, list] = {step: [] for step in proposed}
             for row in _round_changes(words, proposed, list(counts), first_new, -cut[0]).collect():
-                updates[row["step"]].append((row["pair"], row["d"]))
+                updates[proposed[row["step"]]].append((row["pair"], row["d"]))
             report.rounds += 1
+            vocab.learn(proposed, updates)
 
             accepted = []
             for step in proposed:
-                if not counts or min(counts.items(), key=_order)[0] != step[:2]:
+                if ranking.best() != step[:2]:
                     break
                 distinct = vocab.accept(step)
                 accepted.append(step)
                 for pair, d in updates[step]:
                     value = counts.get(pair, 0) + d
-                    if value > 0 and _order((pair, value)) <= cut:
-                        counts[pair] = value
+                    if value > 0 and _order(pair, value) <= cut:
+                        ranking[pair] = value
                     else:
                         counts.pop(pair, None)
             older, words = words, replay(words, accepted)
