@@ -52,7 +52,7 @@ from lexigrain.storage import checkpoint_root, spread
 SMALL_VOCAB = BASE_SIZE + 8
 VOCAB = 320
 GRID_STEP = 16
-# Small ranges, so that the layout of even the test corpora spans several of them.
+# Small ranges, so that the prefix sum of even the test corpora spans several of them.
 ROWS_PER_RANGE = 200
 TURN_KEYS = ["conv_id", "turn"]
 
@@ -68,7 +68,7 @@ def conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ordered_documents(spark: SparkSession, sf: str) -> OrderedCorpus:
-    return OrderedCorpus(documents(spark, sf), ["doc_id"], rows_per_range=ROWS_PER_RANGE)
+    return OrderedCorpus(documents(spark, sf), ["doc_id"])
 
 
 def ordered_turns(spark: SparkSession, sf: str) -> OrderedCorpus:
@@ -170,7 +170,7 @@ def heldout_slice_query(spark, sf):
 def progress_marks_query(spark, sf):
     corpus = ordered_documents(spark, sf)
     budget = share(corpus.total_bytes, 60)
-    taken = OrderedCorpus(byte_budget_prefix(corpus, budget), ["doc_id"], rows_per_range=ROWS_PER_RANGE)
+    taken = OrderedCorpus(byte_budget_prefix(corpus, budget), ["doc_id"])
     return progress_marks(taken, budget, share(corpus.total_bytes, 2))
 
 

@@ -8,6 +8,9 @@ inside the row. Counts and ids then go back to documents by word.
 
 from __future__ import annotations
 
+from functools import reduce
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexigrain.functions.pretokens import encoding_pretokens
@@ -63,31 +66,33 @@ def _word_pieces(words: DataFrame, longest: int) -> DataFrame:
 
 
 def _matching_rules(words: DataFrame, models: dict[str, BpeModel]) -> DataFrame:
-    """``(word_id, model, rules)``: per word the merges that could apply, in rank order."""
-    rules, slices = None, 1
-    for name, model in models.items():
-        named = model.rules().withColumn("model", F.lit(name))
-        rules = named if rules is None else rules.unionByName(named)
-        slices = max(slices, -(-model.merge_count * len(models) // RULES_PER_BROADCAST))
-    rules = store(rules, "rules")
-    longest = rules.agg(F.max(F.octet_length("spelling"))).first()[0]
-    if longest is None:
-        return None
+    """``(word_id, model, rules)``: per word the merges that could apply, in rank order.
+
+    A word gets at most one rule per distinct piece, so the collected arrays are bounded by the word.
+    """
+    named = [model.rules().withColumn("model", F.lit(name)) for name, model in models.items()]
+    rules = reduce(DataFrame.unionByName, named)
+    n_rules = sum(model.merge_count for model in models.values())
+    longest = max(model.longest_token for model in models.values())
     pieces = _word_pieces(words, longest)
-    hits = None
-    for i in range(slices):
-        part = rules.where(F.pmod(F.col("rank"), F.lit(slices)) == i) if slices > 1 else rules
-        found = pieces.join(F.broadcast(part), "spelling").select(
+    slices = max(1, ceil(n_rules / RULES_PER_BROADCAST))
+
+    def hits(part: DataFrame) -> DataFrame:
+        return pieces.join(F.broadcast(part), "spelling").select(
             "word_id", "model", F.struct("rank", "pair", "symbol").alias("rule")
         )
-        hits = found if hits is None else hits.unionByName(found)
-    return hits.groupBy("word_id", "model").agg(
-        F.array_sort(F.collect_set("rule")).alias("rules")
-    )
+
+    # Rules are dealt out by rank, so every broadcast table has a bounded number of rows.
+    parts = [rules.where(F.pmod("rank", F.lit(slices)) == i) for i in range(slices)]
+    found = reduce(DataFrame.unionByName, [hits(part) for part in (parts if slices > 1 else [rules])])
+    return found.groupBy("word_id", "model").agg(F.sort_array(F.collect_set("rule")).alias("rules"))
 
 
 def _apply_in_order(symbols: Column, rules: Column) -> Column:
-    """``struct(s, sizes)``: final symbols, and the symbol count before each rule."""
+    """``struct(s, ranks, sizes)`` after applying every rule once, in rank order.
+
+    ``sizes`` holds the symbol count before each rule and at the end.
+    """
 
     def step(state, rule):
         return F.struct(
@@ -95,15 +100,22 @@ def _apply_in_order(symbols: Column, rules: Column) -> Column:
             F.concat(state["sizes"], F.array(F.char_length(state["s"]))).alias("sizes"),
         )
 
+    def finish(state):
+        return F.struct(
+            state["s"].alias("s"),
+            rules["rank"].alias("ranks"),
+            F.concat(state["sizes"], F.array(F.char_length(state["s"]))).alias("sizes"),
+        )
+
     start = F.struct(symbols.alias("s"), F.array().cast("array<int>").alias("sizes"))
-    return F.aggregate(rules, start, step)
+    return F.aggregate(rules, start, step, finish)
 
 
 def _apply_one_by_one(symbols: Column, rules: Column) -> Column:
-    """``struct(s, events)``: always the lowest-ranked merge that applies, leftmost first.
+    """The same struct when always the lowest-ranked merge that applies is made, leftmost first.
 
     Needed only when two merges spell the same token, because a late merge can then open the way
-    for an earlier one. ``events`` holds the running maximum of the applied ranks.
+    for an earlier one. ``ranks`` holds the running maximum of the applied ranks, one merge each.
     """
 
     def step(state, _):
@@ -114,70 +126,50 @@ def _apply_one_by_one(symbols: Column, rules: Column) -> Column:
             rule["symbol"],
             F.substring(state["s"], at + 2, F.char_length(state["s"])),
         )
-        top = F.greatest(rule["rank"], F.array_max(state["events"]))
+        top = F.greatest(rule["rank"], F.array_max(state["ranks"]))
         return F.when(rule.isNull(), state).otherwise(
-            F.struct(
-                merged.alias("s"), F.concat(state["events"], F.array(top)).alias("events")
-            )
+            F.struct(merged.alias("s"), F.concat(state["ranks"], F.array(top)).alias("ranks"))
         )
 
-    start = F.struct(symbols.alias("s"), F.array().cast("array<int>").alias("events"))
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(symbols)), start, step)
+    def finish(state):
+        sizes = F.sequence(F.char_length(symbols), F.char_length(state["s"]))
+        return F.struct(state["s"].alias("s"), state["ranks"].alias("ranks"), sizes.alias("sizes"))
+
+    start = F.struct(symbols.alias("s"), F.array().cast("array<int>").alias("ranks"))
+    return F.aggregate(F.sequence(F.lit(1), F.char_length(symbols)), start, step, finish)
 
 
 def encode_words(words: DataFrame, models: dict[str, BpeModel]) -> DataFrame:
-    """``(word_id, word, freq, model, symbols, n_tokens, events)`` for every word and model.
+    """``(word_id, word, freq, model, symbols, n_tokens, ranks, sizes)`` for every word and model.
 
-    ``events`` is an array of ``(rank, n)``: how many merges of each effective rank (the highest
-    rank applied so far in that word) the encoding made. It answers for every prefix of the merge
-    list at once.
+    ``ranks`` and ``sizes`` log the encoding: ``sizes[i] - sizes[i + 1]`` merges were made at the
+    effective rank ``ranks[i]`` (the highest rank applied so far in that word). The log answers for
+    every prefix of the merge list at once.
     """
-    event_type = "array<struct<rank:int,n:int>>"
-    named = F.explode(F.array(*[F.lit(name) for name in models])).alias("model")
-    base = words.select("word_id", "word", "freq", named).withColumn(
-        "start", initial_symbols(F.col("word"))
+    base = words.select(
+        "word_id",
+        "word",
+        "freq",
+        F.explode(F.array(*[F.lit(name) for name in models])).alias("model"),
+        initial_symbols(F.col("word")).alias("start"),
     )
-    matching = _matching_rules(words, models)
-    if matching is None:
-        done = base.select(
-            "word_id", "word", "freq", "model",
-            F.col("start").alias("symbols"),
-            F.array().cast(event_type).alias("events"),
-        )
-    else:
-        rules = F.col("rules")
-        if any(model.repeats_a_token for model in models.values()):
-            state = _apply_one_by_one(F.col("start"), rules)
-            events = F.transform(
-                F.col("state.events"),
-                lambda r: F.struct(r.alias("rank"), F.lit(1).alias("n")),
-            )
-        else:
-            state = _apply_in_order(F.col("start"), rules)
-            ends = F.concat(
-                F.slice(F.col("state.sizes"), 2, F.size("rules")),
-                F.array(F.char_length("state.s")),
-            )
-            events = F.filter(
-                F.zip_with(
-                    rules,
-                    F.zip_with(F.col("state.sizes"), ends, lambda a, b: a - b),
-                    lambda rule, n: F.struct(rule["rank"].alias("rank"), n.alias("n")),
-                ),
-                lambda event: event["n"] > 0,
-            )
-        done = (
-            base.join(matching, ["word_id", "model"], "left")
-            .withColumn("state", F.when(rules.isNotNull(), state))
-            .select(
-                "word_id", "word", "freq", "model",
-                F.coalesce("state.s", "start").alias("symbols"),
-                F.when(rules.isNotNull(), events).otherwise(F.array()).cast(event_type).alias("events"),
-            )
+    in_order = not any(model.repeats_a_token for model in models.values())
+    apply = _apply_in_order if in_order else _apply_one_by_one
+    rules = F.col("rules")
+    # A stable name for the folded struct keeps it computed once per row.
+    return (
+        base.join(_matching_rules(words, models), ["word_id", "model"], "left")
+        .withColumn("state", F.when(rules.isNotNull(), apply(F.col("start"), rules)))
+        .select(
+            "word_id",
+            "word",
+            "freq",
+            "model",
+            F.coalesce("state.s", "start").alias("symbols"),
+            F.char_length(F.coalesce("state.s", "start")).alias("n_tokens"),
+            F.col("state.ranks").alias("ranks"),
+            F.col("state.sizes").alias("sizes"),
         )
-    return done.select(
-        "word_id", "word", "freq", "model", "symbols",
-        F.char_length("symbols").alias("n_tokens"), "events",
     )
 
 

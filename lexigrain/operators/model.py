@@ -58,6 +58,11 @@ class BpeModel:
         """True if two merges spell the same token; such a model needs the step-by-step encoder."""
         return not self.merges.groupBy("token").count().where("count > 1").isEmpty()
 
+    @cached_property
+    def longest_token(self) -> int:
+        """Bytes of the longest merged token (one letter of the alphabet per byte)."""
+        return self.merges.agg(F.max(F.char_length("token"))).first()[0] or 0
+
     def rules(self) -> DataFrame:
         """Merges in encoder form: symbol pair, symbol, and the bytes the merged token spells."""
         return self.merges.select(

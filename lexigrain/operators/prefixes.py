@@ -31,10 +31,17 @@ def size_grid(spark: SparkSession, base: int, full: int, step: int) -> DataFrame
 
 def merge_events(encoded: DataFrame) -> DataFrame:
     """``(rank, n)``: merges made over the whole text, by effective rank."""
+    n = F.size("ranks")
+    log = F.arrays_zip(
+        F.col("ranks").alias("rank"),
+        F.slice("sizes", F.lit(1), n).alias("before"),
+        F.slice("sizes", F.lit(2), n).alias("after"),
+    )
     return (
-        encoded.select("freq", F.explode("events").alias("e"))
-        .groupBy(F.col("e.rank").alias("rank"))
-        .agg(F.sum(F.col("freq") * F.col("e.n")).alias("n"))
+        encoded.where("ranks IS NOT NULL")
+        .select("freq", F.inline(log))
+        .groupBy("rank")
+        .agg(F.sum(F.col("freq") * (F.col("before") - F.col("after"))).alias("n"))
     )
 
 

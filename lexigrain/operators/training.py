@@ -32,9 +32,9 @@ from lexigrain.functions.symbols import (
 from lexigrain.operators.model import BpeModel, check_vocab_size, model_from_merges
 from lexigrain.storage import StoredTable
 
-FRONTIER_SIZE = 1_024  # best pairs fetched at a recount
-ROUND_LENGTH = 64  # merges proposed per job
-ROUNDS_PER_STORE = 24  # rounds kept as cached rewrites before the words are written out again
+FRONTIER_SIZE = 4_096  # best pairs fetched at a recount
+ROUND_LENGTH = 256  # merges proposed per job
+ROUNDS_PER_STORE = 16  # rounds kept as cached rewrites before the words are written out again
 
 def symbol_words(word_types: DataFrame) -> DataFrame:
     """``(s, freq)``: word types as one character per byte."""
