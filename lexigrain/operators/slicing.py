@@ -22,6 +22,9 @@ from lexigrain.storage import store
 ROWS_PER_RANGE = 500_000
 PROGRESS_BYTES = 500_000_000
 
+_RANGE = "__range"
+_MEASURES = {"n_bytes", "bytes_before", "documents_before", "bytes_end", "bytes_used", "documents_used"}
+
 
 @dataclass(frozen=True)
 class Position:
@@ -47,6 +50,8 @@ class OrderedCorpus:
         text: str = "text",
         rows_per_range: int = ROWS_PER_RANGE,
     ):
+        if clash := _MEASURES & set(order_by):
+            raise ValueError(f"order columns may not be named {', '.join(sorted(clash))}")
         self.order_by = list(order_by)
         self.text = text
         self.rows = corpus.where(is_nonempty(F.col(text))).select(*self.order_by, text)
@@ -57,14 +62,14 @@ class OrderedCorpus:
         n_ranges = max(1, ceil(sizes.count() / rows_per_range))
         self.sizes = store(
             sizes.repartitionByRange(n_ranges, *self.order_by).withColumn(
-                "part", F.spark_partition_id()
+                _RANGE, F.spark_partition_id()
             ),
             "ranges",
         )
         self._parts = (
-            self.sizes.groupBy("part")
+            self.sizes.groupBy(_RANGE)
             .agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("documents"))
-            .orderBy("part")
+            .orderBy(_RANGE)
             .collect()  # one row per range
         )
         self._ends = list(accumulate(row["bytes"] for row in self._parts))
@@ -76,26 +81,26 @@ class OrderedCorpus:
     def _offsets(self) -> DataFrame:
         documents = [0, *accumulate(row["documents"] for row in self._parts)]
         data = [
-            (row["part"], end - row["bytes"], done)
+            (row[_RANGE], end - row["bytes"], done)
             for row, end, done in zip(self._parts, self._ends, documents)
         ]
         return self.sizes.sparkSession.createDataFrame(
-            data, "part int, part_bytes bigint, part_documents bigint"
+            data, f"{_RANGE} int, {_RANGE}_bytes bigint, {_RANGE}_documents bigint"
         )
 
     def running_totals(self) -> DataFrame:
         """Per row: its size and the bytes and documents before it, by a two-level prefix sum."""
-        before = Window.partitionBy("part").orderBy(*self.order_by).rowsBetween(
+        before = Window.partitionBy(_RANGE).orderBy(*self.order_by).rowsBetween(
             Window.unboundedPreceding, -1
         )
         # One row per range, so the broadcast side stays small by construction.
-        return self.sizes.join(F.broadcast(self._offsets()), "part").select(
+        return self.sizes.join(F.broadcast(self._offsets()), _RANGE).select(
             *self.order_by,
             "n_bytes",
-            (F.col("part_bytes") + F.coalesce(F.sum("n_bytes").over(before), F.lit(0))).alias(
+            (F.col(f"{_RANGE}_bytes") + F.coalesce(F.sum("n_bytes").over(before), F.lit(0))).alias(
                 "bytes_before"
             ),
-            (F.col("part_documents") + F.count("*").over(before)).alias("documents_before"),
+            (F.col(f"{_RANGE}_documents") + F.count("*").over(before)).alias("documents_before"),
         )
 
     def _row_reaching(self, target: int):
@@ -106,7 +111,7 @@ class OrderedCorpus:
         start = self._ends[index] - self._parts[index]["bytes"]
         running = Window.orderBy(*self.order_by)  # within one range of bounded size
         return (
-            self.sizes.where(F.col("part") == self._parts[index]["part"])
+            self.sizes.where(F.col(_RANGE) == self._parts[index][_RANGE])
             .withColumn("bytes_end", F.lit(start) + F.sum("n_bytes").over(running))
             .where(F.col("bytes_end") >= target)
             .orderBy(*self.order_by)
