@@ -1,18 +1,22 @@
 """Byte-pair encoding of text with a given merge list.
 
-Only distinct word types are encoded. A merge can apply to a word only if the token it makes is
-spelled by some piece of that word, so the pieces of each word are looked up in the merge list once
-(a broadcast join, or several over slices of a long list) and the few hits are applied in rank order
-inside the row. Counts and ids then go back to documents by word.
+Only distinct word types are encoded. A short merge list is run over whole batches of words, one
+replacement per merge. With a long one that would be wasteful: a merge can apply to a word only if the
+token it makes is spelled by some piece of that word, so the pieces of each word are looked up in the
+merge list once (a broadcast join, or several over slices of the list) and the few hits are applied in
+rank order inside the row. Counts and ids then go back to documents by word.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 from math import ceil
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lexigrain.functions.batches import count_merges, merge_batch
 from lexigrain.functions.pretokens import encoding_pretokens
 from lexigrain.functions.symbols import (
     SPECIAL_ID,
@@ -27,8 +31,10 @@ from lexigrain.operators.model import BpeModel
 from lexigrain.operators.words import word_types
 from lexigrain.storage import spread, store
 
+BATCH_RULES = 4_096  # merges up to which whole batches are rewritten merge by merge
 RULES_PER_BROADCAST = 250_000  # about 30 MB of merge rules per broadcast table
-FREQUENT_WORDS = 100_000  # word types joined by broadcast; rarer ones are shuffled
+BROADCAST_BYTES = 32_000_000  # word types below this size are joined by broadcast as a whole
+FREQUENT_WORDS = 200_000  # else so many frequent ones are, and rarer ones are shuffled
 FREQUENT_WORD_BYTES = 64
 
 
@@ -114,8 +120,7 @@ def _apply_in_order(symbols: Column, rules: Column) -> Column:
 def _apply_one_by_one(symbols: Column, rules: Column) -> Column:
     """The same struct when always the lowest-ranked merge that applies is made, leftmost first.
 
-    Needed only when two merges spell the same token, because a late merge can then open the way
-    for an earlier one. ``ranks`` holds the running maximum of the applied ranks, one merge each.
+    Needed only when a late merge can open the way for an earlier one. ``ranks`` holds the running maximum of the applied ranks, one merge each.
     """
 
     def step(state, _):
@@ -139,40 +144,101 @@ def _apply_one_by_one(symbols: Column, rules: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.char_length(symbols)), start, step, finish)
 
 
-def encode_words(words: DataFrame, models: dict[str, BpeModel]) -> DataFrame:
-    """``(word_id, word, freq, model, symbols, n_tokens, ranks, sizes)`` for every word and model.
+def _start(words: DataFrame) -> DataFrame:
+    return words.select(
+        "word_id", "word", "freq", initial_symbols(F.col("word")).alias("symbols")
+    )
+
+
+def _runs_in_batches(model: BpeModel) -> bool:
+    return model.merge_count <= BATCH_RULES and model.applies_in_order
+
+
+def _encode_in_batches(words: DataFrame, model: BpeModel) -> DataFrame:
+    """``(word_id, word, freq, symbols)``; the merge list is short enough to travel with the task."""
+    steps = model.steps
+
+    def run(batches):
+        for batch in batches:
+            batch["symbols"] = merge_batch(batch["symbols"].tolist(), steps)
+            yield batch
+
+    return _start(words).mapInPandas(run, "word_id bigint, word string, freq bigint, symbols string")
+
+
+def _encode_by_lookup(words: DataFrame, models: dict[str, BpeModel]) -> DataFrame:
+    """``(word_id, word, freq, model, symbols, ranks, sizes)``.
 
     ``ranks`` and ``sizes`` log the encoding: ``sizes[i] - sizes[i + 1]`` merges were made at the
-    effective rank ``ranks[i]`` (the highest rank applied so far in that word). The log answers for
-    every prefix of the merge list at once.
+    effective rank ``ranks[i]`` (the highest rank applied so far in that word).
     """
-    base = words.select(
-        "word_id",
-        "word",
-        "freq",
-        F.explode(F.array(*[F.lit(name) for name in models])).alias("model"),
-        initial_symbols(F.col("word")).alias("start"),
-    )
-    in_order = not any(model.repeats_a_token for model in models.values())
+    base = _start(words).withColumn("model", F.explode(F.array(*[F.lit(name) for name in models])))
+    in_order = all(model.applies_in_order for model in models.values())
     apply = _apply_in_order if in_order else _apply_one_by_one
     rules = F.col("rules")
-    # A stable name for the folded struct keeps it computed once per row.
     return (
         base.join(_matching_rules(words, models), ["word_id", "model"], "left")
-        .withColumn("state", F.when(rules.isNotNull(), apply(F.col("start"), rules)))
+        .withColumn("state", F.when(rules.isNotNull(), apply(F.col("symbols"), rules)))
         .select(
             "word_id",
             "word",
             "freq",
             "model",
-            F.coalesce("state.s", "start").alias("symbols"),
-            F.char_length(F.coalesce("state.s", "start")).alias("n_tokens"),
+            F.coalesce("state.s", "symbols").alias("symbols"),
             F.col("state.ranks").alias("ranks"),
             F.col("state.sizes").alias("sizes"),
         )
     )
 
 
+def encode_words(words: DataFrame, models: dict[str, BpeModel]) -> DataFrame:
+    """``(word_id, word, freq, model, symbols, n_tokens)`` for every word and model."""
+    parts = [
+        _encode_in_batches(words, model).withColumn("model", F.lit(name))
+        for name, model in models.items()
+        if _runs_in_batches(model)
+    ]
+    long = {name: model for name, model in models.items() if not _runs_in_batches(model)}
+    if long:
+        parts.append(_encode_by_lookup(words, long).drop("ranks", "sizes"))
+    return reduce(DataFrame.unionByName, parts).select(
+        "word_id", "word", "freq", "model", "symbols", F.char_length("symbols").alias("n_tokens")
+    )
+
+
+def merge_events(words: DataFrame, model: BpeModel) -> DataFrame:
+    """``(rank, n)``: merges made over the whole text, by effective rank.
+
+    The effective rank of a merge is the highest rank applied so far in its word. Merges applied in
+    rank order have their own rank. These sums answer for every prefix of the merge list at once.
+    """
+    if _runs_in_batches(model):
+        steps = model.steps
+
+        def run(batches):
+            made: Counter = Counter()
+            for batch in batches:
+                if len(batch):
+                    count_merges(batch["symbols"].tolist(), batch["freq"].to_numpy(), steps, made)
+            yield pd.DataFrame(list(made.items()), columns=["rank", "n"])
+
+        events = _start(words).select("symbols", "freq").mapInPandas(run, "rank int, n bigint")
+    else:
+        n = F.size("ranks")
+        log = F.arrays_zip(
+            F.col("ranks").alias("rank"),
+            F.slice("sizes", F.lit(1), n).alias("before"),
+            F.slice("sizes", F.lit(2), n).alias("after"),
+        )
+        events = (
+            _encode_by_lookup(words, {"model": model})
+            .where("ranks IS NOT NULL")
+            .select("freq", F.inline(log))
+            .select("rank", (F.col("freq") * (F.col("before") - F.col("after"))).alias("n"))
+        )
+    return events.groupBy("rank").agg(F.sum("n").alias("n"))
+
+
 def encode_word_types(words: DataFrame, model: BpeModel) -> DataFrame:
     """:func:`encode_words` for one model, without the model column."""
     return encode_words(words, {"model": model}).drop("model")
@@ -192,16 +258,16 @@ def _attach_words(
     bounded size; only occurrences of rare words are shuffled to meet their encoding.
     """
     known = store(encoded.select("word", "freq", value), "encoded")
+    size = F.octet_length("word") + F.octet_length(F.col(value).cast("string")) + 16
+    everything = (known.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
     texts = spread(corpus.where(is_nonempty(F.col(text))).select(*keys, text))
     places = texts.select(
         *keys, F.posexplode(encoding_pretokens(F.col(text))).alias("pos", "word")
     )
-    short = F.octet_length("word") <= FREQUENT_WORD_BYTES
-    everything = known.where(~short).isEmpty() and known.count() <= FREQUENT_WORDS
     if everything:
         frequent = known.select("word", value)
     else:
-        top = known.where(short).orderBy(F.desc("freq"), "word").limit(FREQUENT_WORDS)
+        top = known.where(F.octet_length("word") <= FREQUENT_WORD_BYTES).orderBy(F.desc("freq"), "word").limit(FREQUENT_WORDS)
         frequent = store(top.select("word", value), "frequent")
     near = places.join(F.broadcast(frequent), "word").select(*keys, "pos", value)
     if everything:

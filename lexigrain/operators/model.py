@@ -13,6 +13,7 @@ from lexigrain.functions.symbols import (
     alphabet_to_bytes,
     base_tokens,
     id_to_symbol,
+    symbol_char,
 )
 
 VOCAB_SCHEMA = "token_id int, token string"
@@ -54,9 +55,17 @@ class BpeModel:
         return self.vocab_size - self.merge_count
 
     @cached_property
-    def repeats_a_token(self) -> bool:
-        """True if two merges spell the same token; such a model needs the step-by-step encoder."""
-        return not self.merges.groupBy("token").count().where("count > 1").isEmpty()
+    def applies_in_order(self) -> bool:
+        """True if running the merges once in rank order encodes a word.
+
+        So it is for every trained list where no two merges spell the same token: the parts of a merge
+        are made before it. Any other list needs the step-by-step encoder.
+        """
+        parts = self.merges.select("rank", F.explode(F.array("left_id", "right_id")).alias("part"))
+        made = self.merges.select(F.col("token_id").alias("part"), F.col("rank").alias("made_at"))
+        late = parts.join(made, "part").where("made_at >= rank").select("part")
+        repeated = self.merges.groupBy("token_id").count().where("count > 1").select("token_id")
+        return late.union(repeated).isEmpty()
 
     @cached_property
     def longest_token(self) -> int:
@@ -72,6 +81,15 @@ class BpeModel:
             alphabet_to_bytes(F.col("token")).alias("spelling"),
         )
 
+    @cached_property
+    def steps(self) -> list[str]:
+        """The merges as pair + symbol strings, in rank order; for lists of checked length."""
+        rows = self.merges.select("rank", "left_id", "right_id", "token_id").collect()
+        return [
+            "".join(map(symbol_char, (row["left_id"], row["right_id"], row["token_id"])))
+            for row in sorted(rows)
+        ]
+
     def prefix(self, vocab_size: int) -> "BpeModel":
         """The model a training run stopped at ``vocab_size`` would have produced."""
         if not 0 < self.base_size <= vocab_size <= self.vocab_size:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lexigrain.operators.encoding import encode_word_types, initial_symbols
+from lexigrain.operators.encoding import encode_word_types, initial_symbols, merge_events
 from lexigrain.operators.model import BpeModel
 from lexigrain.operators.scoring import with_ratios
 
@@ -29,22 +29,6 @@ def size_grid(spark: SparkSession, base: int, full: int, step: int) -> DataFrame
     return sizes.distinct().select(F.col("id").cast("int").alias("vocab_size"))
 
 
-def merge_events(encoded: DataFrame) -> DataFrame:
-    """``(rank, n)``: merges made over the whole text, by effective rank."""
-    n = F.size("ranks")
-    log = F.arrays_zip(
-        F.col("ranks").alias("rank"),
-        F.slice("sizes", F.lit(1), n).alias("before"),
-        F.slice("sizes", F.lit(2), n).alias("after"),
-    )
-    return (
-        encoded.where("ranks IS NOT NULL")
-        .select("freq", F.inline(log))
-        .groupBy("rank")
-        .agg(F.sum(F.col("freq") * (F.col("before") - F.col("after"))).alias("n"))
-    )
-
-
 def prefix_sweep(words: DataFrame, model: BpeModel, grid: DataFrame, text_bytes: int) -> DataFrame:
     """One measurement point per size of ``grid``, from one encoding with the full model."""
     spark = words.sparkSession
@@ -61,7 +45,7 @@ def prefix_sweep(words: DataFrame, model: BpeModel, grid: DataFrame, text_bytes:
     # rank is left here, whatever the size of the text.
     limits = F.array(*[F.lit(size - low) for size in sizes])
     saved = (
-        merge_events(encode_word_types(words, model))
+        merge_events(words, model)
         .withColumn("slot", F.size(F.filter(limits, lambda limit: limit <= F.col("rank"))))
         .groupBy("slot")
         .agg(F.sum("n").alias("n"))

@@ -18,10 +18,10 @@ from collections import Counter
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from lexigrain.functions.batches import count_changes, merge_batch
 from lexigrain.functions.symbols import (
     adjacent_pairs,
     base_tokens,
@@ -51,56 +51,12 @@ def pair_counts(words: DataFrame) -> DataFrame:
     )
 
 
-# Symbols start at U+0020, so a line break separates the words of a batch. Replacing in one long
-# string and counting with arrays costs a few microseconds per word for a whole round.
-_BREAK = "\n"
-
-
-def _merge_batch(words: list[str], steps: list[str]) -> list[str]:
-    text = _BREAK.join(words)
-    for step in steps:
-        text = text.replace(step[:2], step[2])
-    return text.split(_BREAK)
-
-
-def _sums(codes: np.ndarray, freq: np.ndarray) -> list[tuple[str, int]]:
-    """Total frequency per neighbouring symbol."""
-    values, group = np.unique(codes, return_inverse=True)
-    sums = np.zeros(len(values), dtype=np.int64)
-    np.add.at(sums, group, freq)
-    return [(chr(value), n) for value, n in zip(values.tolist(), sums.tolist())]
-
-
-def _count_batch(words: list[str], freq: np.ndarray, steps: list[str], totals: Counter) -> None:
-    """Add what playing the steps on a batch does to the counts of ``(step number, pair)``."""
-    text = _BREAK + _BREAK.join(words) + _BREAK
-    for i, (left, right, made) in enumerate(steps):
-        merged = text.replace(left + right, made)
-        if len(merged) == len(text):
-            continue
-        text = merged
-        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        at = np.flatnonzero(codes == ord(made))
-        word = np.cumsum(codes == ord(_BREAK))[at] - 1
-        weight = freq[word]
-        totals[i, left + right] -= int(weight.sum())
-        for before, n in _sums(codes[at - 1], weight):
-            if before != _BREAK:
-                totals[i, before + made] += n
-                # A neighbour that is a fresh merge too ended in the right symbol until now.
-                totals[i, (right if before == made else before) + left] -= n
-        for after, n in _sums(codes[at + 1], weight):
-            if after not in (_BREAK, made):  # a merged neighbour is counted from its own side
-                totals[i, made + after] += n
-                totals[i, right + after] -= n
-
-
 def replay(words: DataFrame, steps: list[str]) -> DataFrame:
     """The words after one round; a word that became a single token has no pairs and leaves."""
 
     def run(batches):
         for batch in batches:
-            batch["s"] = _merge_batch(batch["s"].tolist(), steps)
+            batch["s"] = merge_batch(batch["s"].tolist(), steps)
             yield batch[batch["s"].str.len() > 1]
 
     return words.mapInPandas(run, "s string, freq bigint")
@@ -120,7 +76,7 @@ def _round_changes(
         totals: Counter = Counter()
         for batch in batches:
             if len(batch):
-                _count_batch(batch["s"].tolist(), batch["freq"].to_numpy(), steps, totals)
+                count_changes(batch["s"].tolist(), batch["freq"].to_numpy(), steps, totals)
         rows = [(i, pair, d) for (i, pair), d in totals.items() if d]
         yield pd.DataFrame(rows, columns=["step", "pair", "d"])
 

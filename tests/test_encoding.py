@@ -59,35 +59,42 @@ def test_decode_restores_text_without_specials(corpus, words, model):
         assert texts.get(doc, "") == text.replace("[UNK]", "")
 
 
-def test_rare_words_and_sliced_rules_give_the_same_ids(corpus, words, model, monkeypatch):
+def test_lookup_rare_words_and_sliced_rules_give_the_same_ids(corpus, words, model, monkeypatch):
     encoded = E.encode_word_types(words, model)
     expected = {tuple(r) for r in E.document_token_counts(corpus, ["doc"], encoded).collect()}
+    monkeypatch.setattr(E, "BATCH_RULES", 0)
+    monkeypatch.setattr(E, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(E, "FREQUENT_WORDS", 5)
     monkeypatch.setattr(E, "RULES_PER_BROADCAST", 17)
     again = E.encode_word_types(words, model)
     assert {tuple(r) for r in E.document_token_counts(corpus, ["doc"], again).collect()} == expected
 
 
-def repeated_spelling(spark):
-    """Two merges spell ``abc``: (ab, c) at rank 2 and (a, bc) at rank 4."""
+def hand_made(spark, pairs):
+    """A model from a merge list, and the library's tokenizer for the same list."""
     tokens = base_tokens()
+    made = {left + right for left, right in pairs}
+    tokens += sorted(made, key=len)
     ids = {t: i for i, t in enumerate(tokens)}
-    pairs = [("a", "b"), ("c", "d"), ("ab", "c"), ("b", "c"), ("a", "bc"), ("abc", "cd")]
-    merges = []
-    for left, right in pairs:
-        if left + right not in ids:
-            ids[left + right] = len(tokens)
-            tokens.append(left + right)
-        merges.append((ids[left], ids[right], ids[left + right]))
     library = Tokenizer(models.BPE(vocab=ids, merges=pairs, unk_token="[UNK]"))
     library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
     library.decoder = decoders.ByteLevel()
+    merges = [(ids[a], ids[b], ids[a + b]) for a, b in pairs]
     return model_from_merges(spark, merges, tokens), library
 
 
-def test_repeated_spellings_use_the_step_by_step_encoder(spark):
-    model, library = repeated_spelling(spark)
-    assert model.repeats_a_token
+@pytest.mark.parametrize(
+    "pairs",
+    [
+        # Two merges spell abc.
+        [("a", "b"), ("c", "d"), ("ab", "c"), ("b", "c"), ("a", "bc"), ("abc", "cd")],
+        # The first merges need tokens that later ones make.
+        [("ab", "c"), ("abc", "cd"), ("a", "b"), ("c", "d"), ("b", "c")],
+    ],
+)
+def test_lists_out_of_order_use_the_step_by_step_encoder(spark, pairs):
+    model, library = hand_made(spark, pairs)
+    assert not model.applies_in_order
     texts = ["abc", "abcd", "abcabcd", "bcabcabcd abccd", "aabbccdd", "xyz", "abcdabcdab abcbc"]
     corpus = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
     encoded = E.encode_word_types(E.word_table(corpus), model)
@@ -95,11 +102,16 @@ def test_repeated_spellings_use_the_step_by_step_encoder(spark):
     assert ids == {doc: library.encode(text).ids for doc, text in enumerate(texts)}
 
 
-def test_in_order_and_step_by_step_agree(words, model, monkeypatch):
-    quick = {r["word"]: (r["symbols"], r["n_tokens"]) for r in E.encode_word_types(words, model).collect()}
+def test_all_encoders_agree(words, model, monkeypatch):
+    def results():
+        symbols = {r["word"]: r["symbols"] for r in E.encode_word_types(words, model).collect()}
+        return symbols, {tuple(r) for r in E.merge_events(words, model).collect()}
+
+    batches = results()
+    monkeypatch.setattr(E, "BATCH_RULES", 0)
+    assert results() == batches
     monkeypatch.setattr(E, "_apply_in_order", E._apply_one_by_one)
-    slow = {r["word"]: (r["symbols"], r["n_tokens"]) for r in E.encode_word_types(words, model).collect()}
-    assert slow == quick
+    assert results() == batches
 
 
 def test_long_word_is_encoded_whole(spark, library, model):
