@@ -105,13 +105,6 @@ def symbols_to_ids(symbols: Column) -> Column:
     )
 
 
-def adjacent_pairs(symbols: Column) -> Column:
-    """Symbol string -> array of its two-character neighbour pairs, in time linear in its length."""
-    chars = F.split(symbols, "")
-    n = F.char_length(symbols)
-    return F.zip_with(F.slice(chars, 1, n - 1), F.slice(chars, 2, n - 1), lambda a, b: F.concat(a, b))
-
-
 def id_to_symbol(token_id: Column) -> Column:
     """Column form of :func:`symbol_char`."""
     low, high = _SURROGATES

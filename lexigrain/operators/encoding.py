@@ -36,6 +36,8 @@ RULES_PER_BROADCAST = 250_000  # about 30 MB of merge rules per broadcast table
 BROADCAST_BYTES = 32_000_000  # word types below this size are joined by broadcast as a whole
 FREQUENT_WORDS = 200_000  # else so many frequent ones are, and rarer ones are shuffled
 FREQUENT_WORD_BYTES = 64
+FREQUENT_LONG_WORDS = 1_000  # and so many of the frequent words beyond that length
+FREQUENT_LONG_BYTES = 8_192
 
 
 def word_table(corpus: DataFrame, text: str = "text") -> DataFrame:
@@ -267,7 +269,11 @@ def _attach_words(
     if everything:
         frequent = known.select("word", value)
     else:
-        top = known.where(F.octet_length("word") <= FREQUENT_WORD_BYTES).orderBy(F.desc("freq"), "word").limit(FREQUENT_WORDS)
+        length = F.octet_length("word")
+        order = [F.desc("freq"), F.col("word")]
+        short = known.where(length <= FREQUENT_WORD_BYTES).orderBy(*order).limit(FREQUENT_WORDS)
+        long = known.where(length.between(FREQUENT_WORD_BYTES + 1, FREQUENT_LONG_BYTES))
+        top = short.unionByName(long.orderBy(*order).limit(FREQUENT_LONG_WORDS))
         frequent = store(top.select("word", value), "frequent")
     near = places.join(F.broadcast(frequent), "word").select(*keys, "pos", value)
     if everything:
@@ -303,9 +309,8 @@ def document_token_ids(
 
 def decode_documents(ids: DataFrame, keys: list[str], model: BpeModel) -> DataFrame:
     """``(keys, text)`` back from token ids: ids become token strings, those become bytes."""
-    tokens = model.vocab.where(F.col("token_id") != SPECIAL_ID)
-    if model.vocab_size <= RULES_PER_BROADCAST:
-        tokens = F.broadcast(tokens)
+    # A vocabulary has at most MAX_VOCAB_SIZE short rows, checked when it is trained or loaded.
+    tokens = F.broadcast(model.vocab.where(F.col("token_id") != SPECIAL_ID))
     placed = ids.select(*keys, F.posexplode("ids").alias("pos", "token_id"))
     spelled = placed.join(tokens, "token_id").groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("parts")

@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexigrain.functions.batches import count_changes, merge_batch
 from lexigrain.functions.symbols import (
-    adjacent_pairs,
     base_tokens,
     symbol_char,
     symbol_id,
@@ -43,10 +42,14 @@ def symbol_words(word_types: DataFrame) -> DataFrame:
 
 def pair_counts(words: DataFrame) -> DataFrame:
     """``(pair, n)``: neighbouring symbols inside words, weighted by word frequency."""
+    chars, n = F.split("s", ""), F.char_length("s")
+    neighbours = F.arrays_zip(
+        F.slice(chars, F.lit(1), n - 1).alias("a"), F.slice(chars, F.lit(2), n - 1).alias("b")
+    )
     return (
-        words.where(F.char_length("s") > 1)
-        .select(F.explode(adjacent_pairs(F.col("s"))).alias("pair"), "freq")
-        .groupBy("pair")
+        words.where(n > 1)
+        .select("freq", F.inline(neighbours))
+        .groupBy(F.concat("a", "b").alias("pair"))
         .agg(F.sum("freq").alias("n"))
     )
 
@@ -63,13 +66,13 @@ def replay(words: DataFrame, steps: list[str]) -> DataFrame:
 
 
 def _round_changes(
-    words: DataFrame, steps: list[str], known: list[str], first_new: str, floor: int
+    words: DataFrame, steps: list[str], known: set[str], first_new: str, floor: int
 ) -> DataFrame:
     """``(step, pair, d)``: how playing the steps changes the counts of the pairs that matter.
 
-    Tasks add up changes per step and pair before the shuffle. A pair is at its most frequent when
-    the younger of its symbols is made and only falls later, so the pairs that matter are the known
-    ones and those that start with at least ``floor``.
+    A pair is at its most frequent when the younger of its symbols is made and only falls later, so
+    the pairs that matter are the known ones and those that start with at least ``floor``. Tasks add
+    up changes per step and pair before the shuffle.
     """
 
     def run(batches):
@@ -77,19 +80,18 @@ def _round_changes(
         for batch in batches:
             if len(batch):
                 count_changes(batch["s"].tolist(), batch["freq"].to_numpy(), steps, totals)
-        rows = [(i, pair, d) for (i, pair), d in totals.items() if d]
+        rows = [
+            (i, pair, d)
+            for (i, pair), d in totals.items()
+            if d and (pair in known or max(pair) >= first_new)
+        ]
         yield pd.DataFrame(rows, columns=["step", "pair", "d"])
 
-    known_set = ", ".join(f"X'{pair.encode().hex()}'" for pair in known)
-    first = f"CAST(X'{first_new.encode().hex()}' AS STRING)"
     return (
         words.mapInPandas(run, "step int, pair string, d bigint")
         .groupBy("step", "pair")
         .agg(F.sum("d").alias("d"))
-        .where(
-            f"""CAST(pair AS BINARY) IN ({known_set}) OR d >= {floor}
-                OR (d < 0 AND (substr(pair, 1, 1) >= {first} OR substr(pair, 2, 1) >= {first}))"""
-        )
+        .where(f"d < 0 OR d >= {floor}")
     )
 
 
@@ -100,7 +102,7 @@ class TrainingReport:
 
 
 class _Vocabulary:
-    """Token strings by id, the merges accepted so far, and the effects merges were seen to have."""
+    """Token strings by id, the merges accepted so far, and what the last proposals did."""
 
     def __init__(self):
         self.tokens = base_tokens()
@@ -141,7 +143,8 @@ class _Vocabulary:
         return spelling.symbols.get(token)
 
     def learn(self, steps: list[str], updates: dict[str, list[tuple[str, int]]]) -> None:
-        """Remember the effects of played steps by token strings, which outlive rejected ids."""
+        """Keep the effects of the steps just played, by token strings, which outlive rejected ids."""
+        self.effects = {}
         spelling = _Spelling(self.tokens)
         for step in steps:
             names = spelling[step[0]], spelling[step[1]]
@@ -241,7 +244,7 @@ def train_bpe(
             proposed = vocab.propose(counts, cut, vocab_size, round_length)
             first_new = symbol_char(len(vocab.tokens))
             updates: dict[str, list] = {step: [] for step in proposed}
-            for row in _round_changes(words, proposed, list(counts), first_new, -cut[0]).collect():
+            for row in _round_changes(words, proposed, set(counts), first_new, -cut[0]).collect():
                 updates[proposed[row["step"]]].append((row["pair"], row["d"]))
             report.rounds += 1
             vocab.learn(proposed, updates)

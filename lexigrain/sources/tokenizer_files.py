@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrain.functions.symbols import SPECIAL_ID, SPECIAL_TOKEN
+from lexigrain.functions.symbols import MAX_VOCAB_SIZE, SPECIAL_ID, SPECIAL_TOKEN
 from lexigrain.operators.model import BpeModel
 from lexigrain.storage import is_file, require_new_path, store, write_one_file
 
@@ -96,6 +96,8 @@ def load_json(spark: SparkSession, path: str) -> BpeModel:
         ).select("token_id", "token"),
         "vocab",
     )
+    if vocab.count() > MAX_VOCAB_SIZE:
+        raise ValueError(f"the vocabulary in {path} has more than {MAX_VOCAB_SIZE:,} entries")
     raw = model.select(F.posexplode(F.from_json("merges", "array<string>")).alias("rank", "entry"))
     pair = F.from_json("entry", "array<string>")
     parts = F.when(F.col("entry").startswith('["'), pair).otherwise(F.split("entry", " ", 2))

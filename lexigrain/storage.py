@@ -63,12 +63,13 @@ def store(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a scan that has fewer partitions than the session has cores.
+    """Rebalance a scan of fewer files than the session has cores.
 
-    Large inputs already split into more partitions than that and pass through without a shuffle.
+    Files of one row group cannot be split, so heavy work on a few of them would leave cores idle.
+    Large inputs have more files than that and pass through without a shuffle.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
 def _filesystem(spark: SparkSession, path: str):
