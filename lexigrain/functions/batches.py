@@ -7,10 +7,15 @@ a few microseconds per word for a whole round of steps.
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import cloudpickle
+
+# Tasks get these helpers by value, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _BREAK = "\n"
 
