@@ -120,13 +120,12 @@ class OrderedCorpus:
         )
 
     def _key(self) -> Column:
-        return F.struct(*self.order_by)
+        return F.col(self.order_by[0]) if len(self.order_by) == 1 else F.struct(*self.order_by)
 
     def _literal(self, values: tuple) -> Column:
         types = {f.name: f.dataType for f in self.rows.schema.fields}
-        return F.struct(
-            *[F.lit(v).cast(types[c]).alias(c) for c, v in zip(self.order_by, values)]
-        )
+        parts = [F.lit(v).cast(types[c]).alias(c) for c, v in zip(self.order_by, values)]
+        return parts[0] if len(parts) == 1 else F.struct(*parts)
 
     def take(self, max_bytes: int, start: Position = Position()) -> tuple[DataFrame, Position]:
         """Whole rows after ``start`` while bytes remain, the last one cut to fit.
