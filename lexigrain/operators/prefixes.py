@@ -36,11 +36,9 @@ def prefix_sweep(words: DataFrame, model: BpeModel, grid: DataFrame, text_bytes:
     low, high = model.base_size, model.vocab_size
     if not sizes or not 0 < low <= sizes[0] <= sizes[-1] <= high:
         raise ValueError(f"prefix sizes must lie between {low:,} and {high:,}")
-    start = words.select(
-        F.coalesce(
-            F.sum(F.col("freq") * F.char_length(initial_symbols(F.col("word")))), F.lit(0)
-        ).alias("symbols")
-    )
+    start = words.agg(
+        F.sum(F.col("freq") * F.char_length(initial_symbols(F.col("word")))).alias("symbols")
+    ).first()["symbols"]
     # An event counts from the first size whose merge list includes its rank. At most one row per
     # rank is left here, whatever the size of the text.
     limits = F.array(*[F.lit(size - low) for size in sizes])
@@ -55,8 +53,10 @@ def prefix_sweep(words: DataFrame, model: BpeModel, grid: DataFrame, text_bytes:
     points = (
         slots.join(saved, "slot", "left")
         .withColumn("merged", F.sum(F.coalesce("n", F.lit(0))).over(running))
-        .join(F.broadcast(start))  # one row
-        .select("vocab_size", (F.col("symbols") - F.col("merged")).alias("token_count"))
+        .select(
+            "vocab_size",
+            (F.lit(start or 0).cast("bigint") - F.col("merged")).alias("token_count"),
+        )
     )
     return with_ratios(points, F.lit(text_bytes).cast("bigint"))
 
@@ -78,15 +78,13 @@ def require_point_tokens(points: DataFrame) -> None:
 
 def sweep_summary(points: DataFrame, stats: DataFrame) -> DataFrame:
     """One row: totals of the measured text and the points in order of size."""
-    collected = points.agg(
-        F.array_sort(
-            F.collect_list(F.struct("vocab_size", "token_count", "bytes_per_token", "tokens_per_byte"))
-        ).alias("points")
+    used = stats.first()  # one row
+    point = F.struct("vocab_size", "token_count", "bytes_per_token", "tokens_per_byte")
+    return points.agg(F.sort_array(F.collect_list(point)).alias("points")).select(
+        F.lit(used["bytes_used"]).cast("bigint").alias("evaluated_utf8_bytes"),
+        F.lit(used["documents_used"]).cast("bigint").alias("evaluated_documents"),
+        "points",
     )
-    return stats.select(
-        F.col("bytes_used").alias("evaluated_utf8_bytes"),
-        F.col("documents_used").alias("evaluated_documents"),
-    ).join(F.broadcast(collected))  # two one-row tables
 
 
 def parity(points: DataFrame, earlier: DataFrame) -> DataFrame:

@@ -30,27 +30,28 @@ def settings_table(spark: SparkSession) -> DataFrame:
 
 def tokenizer_json(model: BpeModel) -> DataFrame:
     """The whole model as one JSON document; its size is that of the vocabulary, not of any text."""
-    vocab = model.vocab.agg(
-        F.array_sort(F.collect_list(F.struct("token_id", "token"))).alias("entries")
-    ).select(
-        F.to_json(
-            F.map_from_entries(
-                F.transform("entries", lambda e: F.struct(e["token"], e["token_id"]))
-            )
-        ).alias("vocab")
-    )
-    merges = model.merges.agg(
-        F.array_sort(F.collect_list(F.struct("rank", "left", "right"))).alias("entries")
-    ).select(
-        F.to_json(F.transform("entries", lambda e: F.array(e["left"], e["right"]))).alias("merges")
+    token = F.struct("token_id", "token").alias("token")
+    merge = F.struct("rank", "left", "right").alias("merge")
+    # Both lists in one aggregate: each row fills one of the two columns, and nulls are not collected.
+    lists = (
+        model.vocab.select(token)
+        .unionByName(model.merges.select(merge), allowMissingColumns=True)
+        .agg(
+            F.sort_array(F.collect_list("token")).alias("tokens"),
+            F.sort_array(F.collect_list("merge")).alias("merges"),
+        )
     )
+    vocab = F.map_from_entries(F.transform("tokens", lambda t: F.struct(t["token"], t["token_id"])))
+    merges = F.transform("merges", lambda m: F.array(m["left"], m["right"]))
     head = (
         f'{{"version":"1.0","truncation":null,"padding":null,"added_tokens":[{SPECIAL_ENTRY}],'
         f'"normalizer":null,"pre_tokenizer":{PRE_TOKENIZER},"post_processor":null,'
         f'"decoder":{DECODER},"model":{{{MODEL_SETTINGS},"vocab":'
     )
-    return vocab.join(F.broadcast(merges)).select(  # two one-row tables
-        F.concat(F.lit(head), "vocab", F.lit(',"merges":'), "merges", F.lit("}}")).alias("value")
+    return lists.select(
+        F.concat(
+            F.lit(head), F.to_json(vocab), F.lit(',"merges":'), F.to_json(merges), F.lit("}}")
+        ).alias("value")
     )
 
 

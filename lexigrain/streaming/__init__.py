@@ -1,0 +1 @@
+"""Empty on purpose: the corpus is a bounded, ordered input that stops at a byte budget."""
