@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrain.llm import langid, licenses, packing
+from lexigrain.llm import langid, licenses, packing, syncmers, templates, warc
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -20,6 +20,13 @@ def tokenizer_definition() -> str:
     return Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
 
 
+def op2_warc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    records = warc.archive_round_trip(table(spark, sf, "pages"))
+    return records.select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "error"
+    )
+
+
 def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf, "documents"))
     return found.select(
@@ -34,6 +41,15 @@ def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op4_syncmer_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return syncmers.fingerprint_edits(table(spark, sf, "documents"))
+
+
+def op5_html_templates(spark: SparkSession, sf: str) -> DataFrame:
+    texts = templates.extract_main_text(table(spark, sf, "pages"))
+    return texts.select(F.col("key").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), tokenizer_definition())
 
@@ -49,7 +65,10 @@ def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_round_trip": op2_warc_round_trip,
     "op3_license_scan": op3_license_scan,
+    "op4_syncmer_fingerprints": op4_syncmer_fingerprints,
+    "op5_html_templates": op5_html_templates,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_language_id": op8_language_id,
 }
