@@ -6,29 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrain.llm import packing
-from lexigrain.llm.queries import tokenizer_definition
+from lexigrain.llm import decontaminate, linededup, minhash, packing, sitequality
+from lexigrain.llm.queries import table, tokenizer_definition
 from lexigrain.storage import store
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are neither of low quality nor toxic by the posterior of their site and text."""
+    return sitequality.SiteQuality(docs, table(spark, sf_dir, "labels")).judge(docs, keep_only=True)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the runs of lines that stand earlier; documents that lose every line go."""
+    return linededup.dedup_lines(docs)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of near copies."""
+    return minhash.keep_one_each(docs)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2,048 ids: where each piece of a document stands."""
     return packing.pack_documents(docs, tokenizer_definition())
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", judge_quality),
+    ("line_dedup", dedup_lines),
+    ("minhash_near_dedup", dedup_documents),
+    ("benchmark_decontamination", decontaminate_benchmark),
     ("best_fit_packing", pack),
 ]
 
-#: Token ids are not expressible in SQL; tests compare the stages with brute-force versions.
+#: Classifier, sketches and token ids are not expressible in SQL; tests compare the stages with brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again before the next stage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = store(stage(spark, docs, sf_dir), name)
     return docs

@@ -7,7 +7,18 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrain.llm import langid, licenses, packing, syncmers, templates, warc
+from lexigrain.llm import (
+    decontaminate,
+    langid,
+    licenses,
+    linededup,
+    minhash,
+    packing,
+    sitequality,
+    syncmers,
+    templates,
+    warc,
+)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -20,6 +31,10 @@ def tokenizer_definition() -> str:
     return Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op2_warc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     records = warc.archive_round_trip(table(spark, sf, "pages"))
     return records.select(
@@ -64,11 +79,33 @@ def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.predict_languages(docs, F.col("text"), keep, model)
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it holds."""
+    return decontaminate.find_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with the text that is left of it, '' if every line stands earlier."""
+    docs = table(spark, sf, "documents")
+    return linededup.dedup_lines(docs.select("doc_id", "text"), keep_emptied=True)
+
+
+def op10_site_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its posteriors and whether it stays."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
+    quality = sitequality.SiteQuality(docs, table(spark, sf, "labels"))
+    return quality.judge(docs, keep_only=False).select("doc_id", "low_quality", "toxic", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_warc_round_trip": op2_warc_round_trip,
     "op3_license_scan": op3_license_scan,
     "op4_syncmer_fingerprints": op4_syncmer_fingerprints,
     "op5_html_templates": op5_html_templates,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_language_id": op8_language_id,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_site_quality": op10_site_quality,
 }
