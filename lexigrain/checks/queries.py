@@ -47,7 +47,7 @@ from lexigrain.sources.corpus import read_corpus
 from lexigrain.sources.heldout import legacy_texts, write_texts
 from lexigrain.sources.reports import write_points_csv
 from lexigrain.sources.tokenizer_files import load_json, load_tables, save_model
-from lexigrain.storage import checkpoint_root, spread
+from lexigrain.storage import checkpoint_root
 
 SMALL_VOCAB = BASE_SIZE + 8
 VOCAB = 320
@@ -212,7 +212,7 @@ def _fresh() -> str:
 
 def pretokenize(spark, sf):
     words = pretokens(F.col("text"))
-    return spread(documents(spark, sf)).select(
+    return documents(spark, sf).select(
         "doc_id", F.size(words).alias("n_words"), F.array_join(words, "|").alias("words")
     )
 
@@ -220,7 +220,7 @@ def pretokenize(spark, sf):
 def pretokenize_pages(spark, sf):
     pages = read_corpus(spark, f"{sf}/pages.parquet", ["page_id"], "html")
     words = pretokens(F.col("html"))
-    return spread(pages).select(
+    return pages.select(
         "page_id", F.size(words).alias("n_words"), F.array_join(words, "|").alias("words")
     )
 
@@ -280,20 +280,16 @@ def tokenizer_files(spark, sf):
 def bpe_encode_words(spark, sf):
     encoded = encode_word_types(word_table(conversations(spark, sf)), trained(spark, sf))
     return encoded.select(
-        "word", "freq", "n_tokens", joined(symbols_to_ids(F.col("symbols"))).alias("ids")
+        "word", "freq", "n_tokens", joined(F.col("ids")).alias("ids")
     )
 
 
 def doc_token_counts(spark, sf):
-    corpus = documents(spark, sf)
-    encoded = encode_word_types(word_table(corpus), trained(spark, sf))
-    return document_token_counts(corpus, ["doc_id"], encoded)
+    return document_token_counts(documents(spark, sf), ["doc_id"], trained(spark, sf))
 
 
 def _turn_ids(spark, sf):
-    corpus = conversations(spark, sf)
-    encoded = encode_word_types(word_table(corpus), trained(spark, sf))
-    return document_token_ids(corpus, TURN_KEYS, encoded)
+    return document_token_ids(conversations(spark, sf), TURN_KEYS, trained(spark, sf))
 
 
 def doc_token_ids(spark, sf):

@@ -57,12 +57,6 @@ def _merge_sites(
         yield i, codes, at, freq[word]
 
 
-def count_merges(words: list[str], freq: np.ndarray, steps: list[str], made: Counter) -> None:
-    """Add how often each step merges, weighted by word frequency."""
-    for i, _, _, weight in _merge_sites(words, freq, steps):
-        made[i] += int(weight.sum())
-
-
 def count_changes(words: list[str], freq: np.ndarray, steps: list[str], totals: Counter) -> None:
     """Add what playing the steps on a batch does to the counts of ``(step number, pair)``."""
     for i, codes, at, weight in _merge_sites(words, freq, steps):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, functions as F
 
 # The published byte-level split pattern. (?U) makes \s cover all Unicode white space.
@@ -9,12 +12,13 @@ PRETOKEN_PATTERN = (
     r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 
-# The same split on text from which the literal special token is cut out first: the token matches on
-# its own, punctuation runs stop before it, and white space before it counts as trailing.
-PRETOKEN_SPECIAL_PATTERN = (
-    r"(?U)\[UNK\]|'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
-    r"| ?(?:(?!\[UNK\])[^\s\p{L}\p{N}])+|\s+(?=\[UNK\])|\s+(?!\S)|\s+"
-)
+
+@dataclass(frozen=True)
+class Splitting:
+    """How a tokenizer cuts text before encoding: its special literals, and whether parts get a leading blank."""
+
+    specials: tuple[str, ...] = ("[UNK]",)
+    prefix_space: bool = False
 
 
 def pretokens(text: Column) -> Column:
@@ -22,9 +26,33 @@ def pretokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PRETOKEN_PATTERN), F.lit(0))
 
 
-def encoding_pretokens(text: Column) -> Column:
-    """Text -> array of pre-tokens where the literal ``[UNK]`` stands alone (encoding view)."""
-    return F.when(
-        F.contains(text, F.lit("[UNK]")),
-        F.regexp_extract_all(text, F.lit(PRETOKEN_SPECIAL_PATTERN), F.lit(0)),
-    ).otherwise(pretokens(text))
+def encoding_pretokens(text: Column, splitting: Splitting) -> Column:
+    """Text -> array of pre-tokens where the literals of special tokens stand alone (encoding view).
+
+    Texts that hold a literal are cut at it first and each part is split by itself, so white space before
+    a literal counts as trailing and no pattern has to look ahead for it.
+    """
+
+    def part(value: Column) -> Column:
+        if splitting.prefix_space:
+            bare = (value != "") & ~F.startswith(value, F.lit(" "))
+            value = F.when(bare, F.concat(F.lit(" "), value)).otherwise(value)
+        return pretokens(value)
+
+    if not splitting.specials:
+        return part(text)
+    # Of literals that begin alike the longest is cut out.
+    literals = "|".join(
+        re.sub(r"([^\w\s])", r"\\\1", s) for s in sorted(splitting.specials, key=lambda s: (-len(s), s))
+    )
+    parts = F.split(text, literals, -1)
+    found = F.regexp_extract_all(text, F.lit(literals), F.lit(0))
+    mixed = F.flatten(
+        F.transform(
+            parts,
+            lambda value, i: F.when(i == 0, part(value)).otherwise(
+                F.concat(F.array(F.get(found, i - 1)), part(value))
+            ),
+        )
+    )
+    return F.when(text.rlike(literals), mixed).otherwise(part(text))

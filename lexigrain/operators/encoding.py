@@ -1,210 +1,63 @@
 """Byte-pair encoding of text with a given merge list.
 
-Only distinct word types are encoded. A short merge list is run over whole batches of words, one
-replacement per merge. With a long one that would be wasteful: a merge can apply to a word only if the
-token it makes is spelled by some piece of that word, so the pieces of each word are looked up in the
-merge list once (a broadcast join, or several over slices of the list) and the few hits are applied in
-rank order inside the row. Counts and ids then go back to documents by word.
+One encoder serves merge lists of every length and order. The list travels to the tasks once, as arrays
+whose size is that of the vocabulary, and each worker keeps the words it has met. Distinct word types are
+encoded for statistics; documents are encoded in the pass that reads them, so text is never shuffled.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from functools import reduce
-from math import ceil
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexigrain.functions.batches import count_merges, merge_batch
+from lexigrain.functions.bpe import WordEncoder
 from lexigrain.functions.pretokens import encoding_pretokens
-from lexigrain.functions.symbols import (
-    SPECIAL_ID,
-    SPECIAL_TOKEN,
-    alphabet_to_bytes,
-    symbol_char,
-    symbols_to_ids,
-    to_symbols,
-)
+from lexigrain.functions.symbols import byte_alphabet
 from lexigrain.functions.text import is_nonempty
-from lexigrain.operators.model import BpeModel
+from lexigrain.operators.model import PLAIN, BpeModel, Splitting
 from lexigrain.operators.words import word_types
-from lexigrain.storage import spread, store
+from lexigrain.storage import store
 
-BATCH_RULES = 4_096  # merges up to which whole batches are rewritten merge by merge
-RULES_PER_BROADCAST = 250_000  # about 30 MB of merge rules per broadcast table
-BROADCAST_BYTES = 32_000_000  # word types below this size are joined by broadcast as a whole
-FREQUENT_WORDS = 200_000  # else so many frequent ones are, and rarer ones are shuffled
-FREQUENT_WORD_BYTES = 64
-FREQUENT_LONG_WORDS = 1_000  # and so many of the frequent words beyond that length
-FREQUENT_LONG_BYTES = 8_192
 
-
-def word_table(corpus: DataFrame, text: str = "text") -> DataFrame:
+def word_table(corpus: DataFrame, text: str = "text", splitting: Splitting = PLAIN) -> DataFrame:
     """Stored ``(word_id, word, freq)`` of a corpus, split the way encoding splits it."""
-    words = word_types(corpus, text, encoding=True)
+    words = word_types(corpus, text, splitting)
     return store(words.withColumn("word_id", F.monotonically_increasing_id()), "word-types")
 
 
-def initial_symbols(word: Column) -> Column:
-    """One symbol per byte; the literal special token is one symbol on its own."""
-    return F.when(word == SPECIAL_TOKEN, symbol_char(SPECIAL_ID)).otherwise(to_symbols(word))
-
-
-def _word_pieces(words: DataFrame, longest: int) -> DataFrame:
-    """``(word_id, piece)``: every byte run of two or more bytes that a token could spell.
-
-    Binary substrings cost their own length only, so a word of a million bytes stays linear in its
-    length times the longest token.
-    """
-    size = F.octet_length("raw")
-    return (
-        words.where(F.col("word") != SPECIAL_TOKEN)
-        .select("word_id", F.encode("word", "UTF-8").alias("raw"))
-        .where(size > 1)
-        .select("word_id", "raw", F.explode(F.sequence(F.lit(1), size - 1)).alias("start"))
-        .select(
-            "word_id",
-            "raw",
-            "start",
-            F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), size - F.col("start") + 1))).alias("n"),
-        )
-        .select("word_id", F.substring(F.col("raw"), F.col("start"), F.col("n")).alias("spelling"))
-    )
-
-
-def _matching_rules(words: DataFrame, models: dict[str, BpeModel]) -> DataFrame:
-    """``(word_id, model, rules)``: per word the merges that could apply, in rank order.
-
-    A word gets at most one rule per distinct piece, so the collected arrays are bounded by the word.
-    """
-    named = [model.rules().withColumn("model", F.lit(name)) for name, model in models.items()]
-    rules = reduce(DataFrame.unionByName, named)
-    n_rules = sum(model.merge_count for model in models.values())
-    longest = max(model.longest_token for model in models.values())
-    pieces = _word_pieces(words, longest)
-    slices = max(1, ceil(n_rules / RULES_PER_BROADCAST))
-
-    def hits(part: DataFrame) -> DataFrame:
-        return pieces.join(F.broadcast(part), "spelling").select(
-            "word_id", "model", F.struct("rank", "pair", "symbol").alias("rule")
-        )
-
-    # Rules are dealt out by rank, so every broadcast table has a bounded number of rows.
-    parts = [rules.where(F.pmod("rank", F.lit(slices)) == i) for i in range(slices)]
-    found = reduce(DataFrame.unionByName, [hits(part) for part in (parts if slices > 1 else [rules])])
-    return found.groupBy("word_id", "model").agg(F.sort_array(F.collect_set("rule")).alias("rules"))
-
-
-def _apply_in_order(symbols: Column, rules: Column) -> Column:
-    """``struct(s, ranks, sizes)`` after applying every rule once, in rank order.
-
-    ``sizes`` holds the symbol count before each rule and at the end.
-    """
-
-    def step(state, rule):
-        return F.struct(
-            F.replace(state["s"], rule["pair"], rule["symbol"]).alias("s"),
-            F.concat(state["sizes"], F.array(F.char_length(state["s"]))).alias("sizes"),
-        )
-
-    def finish(state):
-        return F.struct(
-            state["s"].alias("s"),
-            rules["rank"].alias("ranks"),
-            F.concat(state["sizes"], F.array(F.char_length(state["s"]))).alias("sizes"),
-        )
-
-    start = F.struct(symbols.alias("s"), F.array().cast("array<int>").alias("sizes"))
-    return F.aggregate(rules, start, step, finish)
-
-
-def _apply_one_by_one(symbols: Column, rules: Column) -> Column:
-    """The same struct when always the lowest-ranked merge that applies is made, leftmost first.
-
-    Needed only when a late merge can open the way for an earlier one. ``ranks`` holds the running maximum of the applied ranks, one merge each.
-    """
-
-    def step(state, _):
-        rule = F.get(F.filter(rules, lambda r: F.contains(state["s"], r["pair"])), F.lit(0))
-        at = F.position(rule["pair"], state["s"])
-        merged = F.concat(
-            F.substring(state["s"], F.lit(1), at - 1),
-            rule["symbol"],
-            F.substring(state["s"], at + 2, F.char_length(state["s"])),
-        )
-        top = F.greatest(rule["rank"], F.array_max(state["ranks"]))
-        return F.when(rule.isNull(), state).otherwise(
-            F.struct(merged.alias("s"), F.concat(state["ranks"], F.array(top)).alias("ranks"))
-        )
-
-    def finish(state):
-        sizes = F.sequence(F.char_length(symbols), F.char_length(state["s"]))
-        return F.struct(state["s"].alias("s"), state["ranks"].alias("ranks"), sizes.alias("sizes"))
-
-    start = F.struct(symbols.alias("s"), F.array().cast("array<int>").alias("ranks"))
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(symbols)), start, step, finish)
-
-
-def _start(words: DataFrame) -> DataFrame:
-    return words.select(
-        "word_id", "word", "freq", initial_symbols(F.col("word")).alias("symbols")
-    )
-
-
-def _runs_in_batches(model: BpeModel) -> bool:
-    return model.merge_count <= BATCH_RULES and model.applies_in_order
+def start_size(word: Column, splitting: Splitting = PLAIN) -> Column:
+    """Symbols of a word before any merge: one per byte, one for a special token."""
+    size = F.octet_length(word)
+    return F.when(word.isin(list(splitting.specials)), 1).otherwise(size) if splitting.specials else size
 
 
-def _encode_in_batches(words: DataFrame, model: BpeModel) -> DataFrame:
-    """``(word_id, word, freq, symbols)``; the merge list is short enough to travel with the task."""
-    steps = model.steps
+def encode_words(words: DataFrame, models: dict[str, BpeModel]) -> DataFrame:
+    """``(word_id, word, freq, model, ids, n_tokens)`` for every word and model, in one pass."""
+    contents = {
+        name: words.sparkSession.sparkContext.broadcast(model.content()) for name, model in models.items()
+    }
 
-    def run(batches):
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch["symbols"] = merge_batch(batch["symbols"].tolist(), steps)
-            yield batch
-
-    return _start(words).mapInPandas(run, "word_id bigint, word string, freq bigint, symbols string")
-
-
-def _encode_by_lookup(words: DataFrame, models: dict[str, BpeModel]) -> DataFrame:
-    """``(word_id, word, freq, model, symbols, ranks, sizes)``.
-
-    ``ranks`` and ``sizes`` log the encoding: ``sizes[i] - sizes[i + 1]`` merges were made at the
-    effective rank ``ranks[i]`` (the highest rank applied so far in that word).
-    """
-    base = _start(words).withColumn("model", F.explode(F.array(*[F.lit(name) for name in models])))
-    in_order = all(model.applies_in_order for model in models.values())
-    apply = _apply_in_order if in_order else _apply_one_by_one
-    rules = F.col("rules")
-    return (
-        base.join(_matching_rules(words, models), ["word_id", "model"], "left")
-        .withColumn("state", F.when(rules.isNotNull(), apply(F.col("symbols"), rules)))
-        .select(
-            "word_id",
-            "word",
-            "freq",
-            "model",
-            F.coalesce("state.s", "symbols").alias("symbols"),
-            F.col("state.ranks").alias("ranks"),
-            F.col("state.sizes").alias("sizes"),
-        )
-    )
-
-
-def encode_words(words: DataFrame, models: dict[str, BpeModel]) -> DataFrame:
-    """``(word_id, word, freq, model, symbols, n_tokens)`` for every word and model."""
-    parts = [
-        _encode_in_batches(words, model).withColumn("model", F.lit(name))
-        for name, model in models.items()
-        if _runs_in_batches(model)
-    ]
-    long = {name: model for name, model in models.items() if not _runs_in_batches(model)}
-    if long:
-        parts.append(_encode_by_lookup(words, long).drop("ranks", "sizes"))
-    return reduce(DataFrame.unionByName, parts).select(
-        "word_id", "word", "freq", "model", "symbols", F.char_length("symbols").alias("n_tokens")
+            spelled = batch.column(1).to_pylist()
+            for name, content in contents.items():
+                encoder = WordEncoder.of(content.value)
+                ids = [encoder.encode(word)[0] for word in spelled]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *batch.columns,
+                        pa.array([name] * len(ids)),
+                        pa.array(ids, pa.list_(pa.int32())),
+                        pa.array([len(i) for i in ids], pa.int32()),
+                    ],
+                    names=["word_id", "word", "freq", "model", "ids", "n_tokens"],
+                )
+
+    return words.select("word_id", "word", "freq").mapInArrow(
+        encode, "word_id bigint, word string, freq bigint, model string, ids array<int>, n_tokens int"
     )
 
 
@@ -214,30 +67,23 @@ def merge_events(words: DataFrame, model: BpeModel) -> DataFrame:
     The effective rank of a merge is the highest rank applied so far in its word. Merges applied in
     rank order have their own rank. These sums answer for every prefix of the merge list at once.
     """
-    if _runs_in_batches(model):
-        steps = model.steps
-
-        def run(batches):
-            made: Counter = Counter()
-            for batch in batches:
-                if len(batch):
-                    count_merges(batch["symbols"].tolist(), batch["freq"].to_numpy(), steps, made)
-            yield pd.DataFrame(list(made.items()), columns=["rank", "n"])
-
-        events = _start(words).select("symbols", "freq").mapInPandas(run, "rank int, n bigint")
-    else:
-        n = F.size("ranks")
-        log = F.arrays_zip(
-            F.col("ranks").alias("rank"),
-            F.slice("sizes", F.lit(1), n).alias("before"),
-            F.slice("sizes", F.lit(2), n).alias("after"),
-        )
-        events = (
-            _encode_by_lookup(words, {"model": model})
-            .where("ranks IS NOT NULL")
-            .select("freq", F.inline(log))
-            .select("rank", (F.col("freq") * (F.col("before") - F.col("after"))).alias("n"))
-        )
+    content = words.sparkSession.sparkContext.broadcast(model.content())
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder.of(content.value)
+        for batch in batches:
+            events = [encoder.encode(word)[1] for word in batch.column(0).to_pylist()]
+            sizes = np.array([len(e) for e in events], np.int64)
+            if not sizes.sum():
+                continue
+            ranks = np.concatenate([np.array(e, np.int64) for e in events if e])
+            freq = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), sizes)
+            used, place = np.unique(ranks, return_inverse=True)
+            sums = np.zeros(len(used), np.int64)
+            np.add.at(sums, place, freq)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(sums)], names=["rank", "n"])
+
+    events = words.select("word", "freq").mapInArrow(count, "rank int, n bigint")
     return events.groupBy("rank").agg(F.sum("n").alias("n"))
 
 
@@ -248,74 +94,63 @@ def encode_word_types(words: DataFrame, model: BpeModel) -> DataFrame:
 
 def token_ids(encoded: DataFrame) -> DataFrame:
     """``(word, ids)`` of encoded word types."""
-    return encoded.select("word", symbols_to_ids(F.col("symbols")).alias("ids"))
+    return encoded.select("word", "ids")
 
 
-def _attach_words(
-    corpus: DataFrame, keys: list[str], text: str, encoded: DataFrame, value: str
-) -> DataFrame:
-    """``(keys, pos, value)`` for every pre-token of the corpus.
+def document_token_ids(corpus: DataFrame, keys: list[str], model: BpeModel, text: str = "text") -> DataFrame:
+    """``(keys, ids)`` of every nonempty document, ids in text order, in the pass that reads the text."""
+    content = corpus.sparkSession.sparkContext.broadcast(model.content())
+    split = encoding_pretokens(F.col(text), model.splitting)
+    rows = corpus.where(is_nonempty(F.col(text))).select(*keys, split.alias("words"))
+    names = [*keys, "ids"]
 
-    Frequent words, which would pile up in single shuffle partitions, are resolved by a broadcast of
-    bounded size; only occurrences of rare words are shuffled to meet their encoding.
-    """
-    known = store(encoded.select("word", "freq", value), "encoded")
-    size = F.octet_length("word") + F.octet_length(F.col(value).cast("string")) + 16
-    everything = (known.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
-    texts = spread(corpus.where(is_nonempty(F.col(text))).select(*keys, text))
-    places = texts.select(
-        *keys, F.posexplode(encoding_pretokens(F.col(text))).alias("pos", "word")
-    )
-    if everything:
-        frequent = known.select("word", value)
-    else:
-        length = F.octet_length("word")
-        order = [F.desc("freq"), F.col("word")]
-        short = known.where(length <= FREQUENT_WORD_BYTES).orderBy(*order).limit(FREQUENT_WORDS)
-        long = known.where(length.between(FREQUENT_WORD_BYTES + 1, FREQUENT_LONG_BYTES))
-        top = short.unionByName(long.orderBy(*order).limit(FREQUENT_LONG_WORDS))
-        frequent = store(top.select("word", value), "frequent")
-    near = places.join(F.broadcast(frequent), "word").select(*keys, "pos", value)
-    if everything:
-        return near
-    rare_words = known.join(F.broadcast(frequent.select("word")), "word", "left_anti")
-    far = (
-        places.join(F.broadcast(frequent.select("word")), "word", "left_anti")
-        .join(rare_words.select("word", value), "word")
-        .select(*keys, "pos", value)
-    )
-    return near.unionByName(far)
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder.of(content.value)
+        for batch in batches:
+            ids = [
+                [t for word in words.as_py() for t in encoder.encode(word)[0]]
+                for words in batch.column(len(names) - 1)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], names=names
+            )
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(encode, f"{kinds}, ids array<int>")
 
 
-def document_token_counts(
-    corpus: DataFrame, keys: list[str], encoded: DataFrame, text: str = "text"
-) -> DataFrame:
+def document_token_counts(corpus: DataFrame, keys: list[str], model: BpeModel, text: str = "text") -> DataFrame:
     """``(keys, n_tokens)`` per document."""
-    parts = _attach_words(corpus, keys, text, encoded, "n_tokens")
-    return parts.groupBy(*keys).agg(F.sum("n_tokens").alias("n_tokens"))
-
-
-def document_token_ids(
-    corpus: DataFrame, keys: list[str], encoded: DataFrame, text: str = "text"
-) -> DataFrame:
-    """``(keys, ids)`` per document, ids in text order."""
-    parts = _attach_words(corpus, keys, text, encoded, "symbols")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "symbols")))
-    symbols = F.array_join(F.transform(ordered, lambda p: p["symbols"]), "")
-    return parts.groupBy(*keys).agg(symbols.alias("symbols")).select(
-        *keys, symbols_to_ids(F.col("symbols")).alias("ids")
+    return document_token_ids(corpus, keys, model, text).select(
+        *keys, F.size("ids").cast("bigint").alias("n_tokens")
     )
 
 
 def decode_documents(ids: DataFrame, keys: list[str], model: BpeModel) -> DataFrame:
-    """``(keys, text)`` back from token ids: ids become token strings, those become bytes."""
-    # A vocabulary has at most MAX_VOCAB_SIZE short rows, checked when it is trained or loaded.
-    tokens = F.broadcast(model.vocab.where(F.col("token_id") != SPECIAL_ID))
-    placed = ids.select(*keys, F.posexplode("ids").alias("pos", "token_id"))
-    spelled = placed.join(tokens, "token_id").groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("parts")
-    )
-    whole = F.array_join(F.transform("parts", lambda p: p["token"]), "")
-    return spelled.select(
-        *keys, F.make_valid_utf8(alphabet_to_bytes(whole).cast("string")).alias("text")
-    )
+    """``(keys, text)`` back from token ids, within each row; special tokens are left out."""
+    spelled = ids.sparkSession.sparkContext.broadcast(_spellings(model))
+    names = [*keys, "text"]
+
+    def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = spelled.value
+        for batch in batches:
+            texts = [
+                b"".join([table[i] for i in row.as_py() or ()]).decode("utf-8", "replace")
+                for row in batch.column(len(names) - 1)
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=names)
+
+    rows = ids.select(*keys, "ids")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(decode, f"{kinds}, text string")
+
+
+def _spellings(model: BpeModel) -> dict[int, bytes]:
+    """Token id -> bytes; its size is that of the vocabulary."""
+    back = {c: b for b, c in byte_alphabet().items()}
+    specials = dict(model.specials)
+    table = model.vocab.select("token_id", "token").toArrow()
+    return {
+        i: b"" if token in specials else bytes(back[c] for c in token)
+        for i, token in zip(table.column(0).to_pylist(), table.column(1).to_pylist())
+    } | {i: b"" for i in specials.values()}

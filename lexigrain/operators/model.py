@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexigrain.functions.pretokens import Splitting
 from lexigrain.functions.symbols import (
     BASE_SIZE,
     MAX_VOCAB_SIZE,
-    alphabet_to_bytes,
+    SPECIAL_ID,
+    SPECIAL_TOKEN,
     base_tokens,
-    id_to_symbol,
-    symbol_char,
+    byte_alphabet,
 )
 
+PLAIN = Splitting()
+
 VOCAB_SCHEMA = "token_id int, token string"
 MERGES_SCHEMA = (
     "rank int, left string, right string, token string, token_id int, left_id int, right_id int"
@@ -36,11 +40,18 @@ def base_vocabulary(spark: SparkSession) -> DataFrame:
 
 @dataclass(frozen=True)
 class BpeModel:
-    """``vocab(token_id, token)`` and ``merges(rank, left, right, token, token_id, left_id, right_id)``."""
+    """``vocab(token_id, token)`` and ``merges(rank, left, right, token, token_id, left_id, right_id)``.
+
+    ``specials`` are literals with ids that stand for themselves; ``unknown`` is the id of a byte that the
+    vocabulary does not hold (such bytes are left out if it is null).
+    """
 
     vocab: DataFrame
     merges: DataFrame
     path: str = field(default="")
+    specials: tuple[tuple[str, int], ...] = ((SPECIAL_TOKEN, SPECIAL_ID),)
+    unknown: int | None = SPECIAL_ID
+    prefix_space: bool = False
 
     @cached_property
     def vocab_size(self) -> int:
@@ -54,41 +65,31 @@ class BpeModel:
     def base_size(self) -> int:
         return self.vocab_size - self.merge_count
 
-    @cached_property
-    def applies_in_order(self) -> bool:
-        """True if running the merges once in rank order encodes a word.
-
-        So it is for every trained list where no two merges spell the same token: the parts of a merge
-        are made before it. Any other list needs the step-by-step encoder.
-        """
-        parts = self.merges.select("rank", F.explode(F.array("left_id", "right_id")).alias("part"))
-        made = self.merges.select(F.col("token_id").alias("part"), F.col("rank").alias("made_at"))
-        late = parts.join(made, "part").where("made_at >= rank").select("part")
-        repeated = self.merges.groupBy("token_id").count().where("count > 1").select("token_id")
-        return late.union(repeated).isEmpty()
+    @property
+    def splitting(self) -> Splitting:
+        return Splitting(tuple(literal for literal, _ in self.specials), self.prefix_space)
 
-    @cached_property
-    def longest_token(self) -> int:
-        """Bytes of the longest merged token (one letter of the alphabet per byte)."""
-        return self.merges.agg(F.max(F.char_length("token"))).first()[0] or 0
-
-    def rules(self) -> DataFrame:
-        """Merges in encoder form: symbol pair, symbol, and the bytes the merged token spells."""
-        return self.merges.select(
-            "rank",
-            F.concat(id_to_symbol(F.col("left_id")), id_to_symbol(F.col("right_id"))).alias("pair"),
-            id_to_symbol(F.col("token_id")).alias("symbol"),
-            alphabet_to_bytes(F.col("token")).alias("spelling"),
-        )
+    def content(self) -> dict:
+        """What tasks need to encode: a few arrays, as large as the vocabulary."""
+        return self._content
 
     @cached_property
-    def steps(self) -> list[str]:
-        """The merges as pair + symbol strings, in rank order; for lists of checked length."""
-        rows = self.merges.select("rank", "left_id", "right_id", "token_id").collect()
-        return [
-            "".join(map(symbol_char, (row["left_id"], row["right_id"], row["token_id"])))
-            for row in sorted(rows)
-        ]
+    def _content(self) -> dict:
+        alphabet = byte_alphabet()
+        letters = self.vocab.where(F.col("token").isin(list(alphabet.values()))).collect()  # at most 256
+        ids = {row["token"]: row["token_id"] for row in letters}
+        table = self.merges.select("rank", "left_id", "right_id", "token_id").orderBy("rank").toArrow()
+        rank, left, right, token = (c.to_numpy() for c in table.columns)
+        return {
+            "key": uuid.uuid4().hex,
+            "rank": rank,
+            "left": left,
+            "right": right,
+            "token": token,
+            "bytes": [ids.get(alphabet[b]) for b in range(256)],
+            "unknown": self.unknown,
+            "specials": dict(self.specials),
+        }
 
     def prefix(self, vocab_size: int) -> "BpeModel":
         """The model a training run stopped at ``vocab_size`` would have produced."""
@@ -107,6 +108,9 @@ class BpeModel:
             self.vocab.where(F.col("token_id") < vocab_size),
             self.merges.where(F.col("rank") < vocab_size - self.base_size),
             self.path,
+            self.specials,
+            self.unknown,
+            self.prefix_space,
         )
 
 

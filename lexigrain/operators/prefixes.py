@@ -8,13 +8,17 @@ rank") therefore gives every prefix from one pass:
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lexigrain.operators.encoding import encode_word_types, initial_symbols, merge_events
+from lexigrain.operators.encoding import encode_word_types, merge_events, start_size
 from lexigrain.operators.model import BpeModel
 from lexigrain.operators.scoring import with_ratios
+from lexigrain.storage import store
 
 VOCAB_STEP = 16_000
+RANKS_PER_BLOCK = 1_024
 
 
 def vocabulary_grid(model: BpeModel, step: int = VOCAB_STEP) -> DataFrame:
@@ -30,32 +34,44 @@ def size_grid(spark: SparkSession, base: int, full: int, step: int) -> DataFrame
 
 
 def prefix_sweep(words: DataFrame, model: BpeModel, grid: DataFrame, text_bytes: int) -> DataFrame:
-    """One measurement point per size of ``grid``, from one encoding with the full model."""
-    spark = words.sparkSession
-    sizes = [row["vocab_size"] for row in grid.orderBy("vocab_size").collect()]  # tens of rows
+    """One measurement point per size of ``grid``, from one encoding with the full model.
+
+    The plan does not grow with the grid. A merge event of rank r counts for all sizes above r + base, so
+    sizes read running sums over ranks, taken in blocks of ranks. There is at most one event row per rank,
+    whatever the size of the text.
+    """
     low, high = model.base_size, model.vocab_size
-    if not sizes or not 0 < low <= sizes[0] <= sizes[-1] <= high:
+    ends = grid.agg(F.min("vocab_size").alias("low"), F.max("vocab_size").alias("high")).first()
+    if ends["low"] is None or not 0 < low <= ends["low"] <= ends["high"] <= high:
         raise ValueError(f"prefix sizes must lie between {low:,} and {high:,}")
     start = words.agg(
-        F.sum(F.col("freq") * F.char_length(initial_symbols(F.col("word")))).alias("symbols")
+        F.sum(F.col("freq") * start_size(F.col("word"), model.splitting)).alias("symbols")
     ).first()["symbols"]
-    # An event counts from the first size whose merge list includes its rank. At most one row per
-    # rank is left here, whatever the size of the text.
-    limits = F.array(*[F.lit(size - low) for size in sizes])
-    saved = (
-        merge_events(words, model)
-        .withColumn("slot", F.size(F.filter(limits, lambda limit: limit <= F.col("rank"))))
-        .groupBy("slot")
-        .agg(F.sum("n").alias("n"))
+    events = store(merge_events(words, model), "merge-events")
+    # Events and sizes on one line of ranks; a size asks for all events up to its last rank.
+    line = events.select(F.col("rank").alias("place"), "n", F.lit(None).cast("int").alias("vocab_size")).unionByName(
+        grid.distinct().select(
+            (F.col("vocab_size") - low - 1).alias("place"), F.lit(0).cast("bigint").alias("n"), "vocab_size"
+        )
+    )
+    line = line.withColumn("block", F.floor(F.col("place") / RANKS_PER_BLOCK).cast("int"))
+    totals = line.groupBy("block").agg(F.sum("n").alias("n")).orderBy("block").collect()  # one row per block
+    earlier = words.sparkSession.createDataFrame(
+        list(zip((row["block"] for row in totals), accumulate((row["n"] for row in totals), initial=0))),
+        "block int, earlier bigint",
+    )
+    inside = (
+        Window.partitionBy("block")
+        .orderBy("place", F.col("vocab_size").isNotNull())
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
-    slots = spark.createDataFrame(list(enumerate(sizes)), "slot int, vocab_size int")
-    running = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)  # grid rows only
     points = (
-        slots.join(saved, "slot", "left")
-        .withColumn("merged", F.sum(F.coalesce("n", F.lit(0))).over(running))
+        line.withColumn("so_far", F.sum("n").over(inside))
+        .where("vocab_size IS NOT NULL")
+        .join(F.broadcast(earlier), "block")  # one row per block
         .select(
             "vocab_size",
-            (F.lit(start or 0).cast("bigint") - F.col("merged")).alias("token_count"),
+            (F.lit(start or 0).cast("bigint") - F.col("earlier") - F.col("so_far")).alias("token_count"),
         )
     )
     return with_ratios(points, F.lit(text_bytes).cast("bigint"))

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexigrain.operators.encoding import encode_words
+from lexigrain.functions.pretokens import Splitting
+from lexigrain.operators.encoding import encode_words, word_table
 from lexigrain.operators.model import BpeModel
 
 
 def token_totals(words: DataFrame, models: dict[str, BpeModel]) -> DataFrame:
-    """``(name, token_count)``: all models scored on one word table in one pass."""
+    """``(name, token_count)``: all models scored on one word table in one pass.
+
+    The models must cut text alike, namely as the word table was cut.
+    """
     if not models:
         raise ValueError("name at least one tokenizer")
+    if len({model.splitting for model in models.values()}) > 1:
+        raise ValueError("these tokenizers cut text differently: use corpus_token_totals")
     return (
         encode_words(words, models)
         .groupBy(F.col("model").alias("name"))
@@ -19,6 +27,17 @@ def token_totals(words: DataFrame, models: dict[str, BpeModel]) -> DataFrame:
     )
 
 
+def corpus_token_totals(corpus: DataFrame, models: dict[str, BpeModel], text: str = "text") -> DataFrame:
+    """:func:`token_totals` from the text itself, one word table per way of cutting it."""
+    if not models:
+        raise ValueError("name at least one tokenizer")
+    ways: dict[Splitting, dict[str, BpeModel]] = {}
+    for name, model in models.items():
+        ways.setdefault(model.splitting, {})[name] = model
+    parts = [token_totals(word_table(corpus, text, way), own) for way, own in ways.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def id_bits(vocab_size: Column) -> Column:
     """Bits of a fixed-width token id: ``max(1, ceil(log2(V)))`` without floating point."""
     return F.char_length(F.bin(vocab_size.cast("bigint") - 1))

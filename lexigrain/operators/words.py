@@ -4,21 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lexigrain.functions.pretokens import encoding_pretokens, pretokens
+from lexigrain.functions.pretokens import Splitting, encoding_pretokens, pretokens
 from lexigrain.functions.text import is_nonempty
-from lexigrain.storage import spread
 
 
-def word_types(corpus: DataFrame, text: str = "text", encoding: bool = False) -> DataFrame:
+def word_types(corpus: DataFrame, text: str = "text", splitting: Splitting | None = None) -> DataFrame:
     """``(word, freq)`` over a corpus.
 
     The group-by combines on the map side, so a word that makes up a third of all occurrences still
-    sends one row per map task. ``encoding=True`` keeps the special literal as a word of its own.
+    sends one row per map task. With a ``splitting`` special literals are words of their own.
     """
-    split = encoding_pretokens if encoding else pretokens
-    texts = spread(corpus.where(is_nonempty(F.col(text))).select(text))
+    split = pretokens(F.col(text)) if splitting is None else encoding_pretokens(F.col(text), splitting)
     return (
-        texts.select(F.explode(split(F.col(text))).alias("word"))
+        corpus.where(is_nonempty(F.col(text)))
+        .select(F.explode(split).alias("word"))
         .groupBy("word")
         .agg(F.count("*").alias("freq"))
     )

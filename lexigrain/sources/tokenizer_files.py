@@ -2,32 +2,46 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrain.functions.symbols import MAX_VOCAB_SIZE, SPECIAL_ID, SPECIAL_TOKEN
+from lexigrain.functions.symbols import SPECIAL_ID, SPECIAL_TOKEN
 from lexigrain.operators.model import BpeModel
 from lexigrain.storage import is_file, require_new_path, store, write_one_file
 
 # The settings of a byte-level model in the published JSON layout.
-SPECIAL_ENTRY = (
-    f'{{"id":{SPECIAL_ID},"content":"{SPECIAL_TOKEN}","single_word":false,"lstrip":false,'
-    '"rstrip":false,"normalized":false,"special":true}'
-)
-PRE_TOKENIZER = '{"type":"ByteLevel","add_prefix_space":false,"trim_offsets":true,"use_regex":true}'
-DECODER = '{"type":"ByteLevel","add_prefix_space":true,"trim_offsets":true,"use_regex":true}'
-MODEL_SETTINGS = (
-    f'"type":"BPE","dropout":null,"unk_token":"{SPECIAL_TOKEN}","continuing_subword_prefix":null,'
-    '"end_of_word_suffix":null,"fuse_unk":false,"byte_fallback":false,"ignore_merges":false'
-)
-
-
-def settings_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [("BPE", SPECIAL_TOKEN, SPECIAL_ID, False)],
-        "model_type string, special_token string, special_id int, add_prefix_space boolean",
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+DECODER = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+SPECIAL_FLAGS = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+MODEL_SETTINGS = {
+    "type": "BPE",
+    "dropout": None,
+    "unk_token": None,
+    "continuing_subword_prefix": None,
+    "end_of_word_suffix": None,
+    "fuse_unk": False,
+    "byte_fallback": False,
+    "ignore_merges": False,
+}
+
+
+def settings_table(model: BpeModel) -> DataFrame:
+    rows = [("BPE", model.prefix_space, model.unknown, [{"content": c, "id": i} for c, i in model.specials])]
+    return model.vocab.sparkSession.createDataFrame(
+        rows,
+        "model_type string, add_prefix_space boolean, unknown_id int, "
+        "specials array<struct<content: string, id: int>>",
     )
 
 
+def _unknown_token(model: BpeModel) -> str | None:
+    if model.unknown is None:
+        return None
+    row = model.vocab.where(F.col("token_id") == model.unknown).first()
+    return row["token"] if row else dict((i, c) for c, i in model.specials).get(model.unknown)
+
+
 def tokenizer_json(model: BpeModel) -> DataFrame:
     """The whole model as one JSON document; its size is that of the vocabulary, not of any text."""
     token = F.struct("token_id", "token").alias("token")
@@ -43,11 +57,19 @@ def tokenizer_json(model: BpeModel) -> DataFrame:
     )
     vocab = F.map_from_entries(F.transform("tokens", lambda t: F.struct(t["token"], t["token_id"])))
     merges = F.transform("merges", lambda m: F.array(m["left"], m["right"]))
-    head = (
-        f'{{"version":"1.0","truncation":null,"padding":null,"added_tokens":[{SPECIAL_ENTRY}],'
-        f'"normalizer":null,"pre_tokenizer":{PRE_TOKENIZER},"post_processor":null,'
-        f'"decoder":{DECODER},"model":{{{MODEL_SETTINGS},"vocab":'
-    )
+    document = {
+        "version": "1.0",
+        "truncation": None,
+        "padding": None,
+        "added_tokens": [{"id": i, "content": c} | SPECIAL_FLAGS for c, i in model.specials],
+        "normalizer": None,
+        "pre_tokenizer": PRE_TOKENIZER | {"add_prefix_space": model.prefix_space},
+        "post_processor": None,
+        "decoder": DECODER,
+        "model": MODEL_SETTINGS | {"unk_token": _unknown_token(model)},
+    }
+    # The two lists follow as the last entries of the last entry.
+    head = json.dumps(document, ensure_ascii=False, separators=(",", ":"))[:-2] + ',"vocab":'
     return lists.select(
         F.concat(
             F.lit(head), F.to_json(vocab), F.lit(',"merges":'), F.to_json(merges), F.lit("}}")
@@ -64,26 +86,66 @@ def save_model(model: BpeModel, folder: str) -> None:
     """Tables ``vocab``, ``merges`` and ``settings``, and ``tokenizer.json``, under ``folder``."""
     model.vocab.write.parquet(f"{folder}/vocab")
     model.merges.write.parquet(f"{folder}/merges")
-    settings_table(model.vocab.sparkSession).write.parquet(f"{folder}/settings")
+    settings_table(model).write.parquet(f"{folder}/settings")
     export_json(model, f"{folder}/tokenizer.json")
 
 
 def load_tables(spark: SparkSession, folder: str) -> BpeModel:
+    settings = spark.read.parquet(f"{folder}/settings").first()
     return BpeModel(
-        spark.read.parquet(f"{folder}/vocab"), spark.read.parquet(f"{folder}/merges"), folder
+        spark.read.parquet(f"{folder}/vocab"),
+        spark.read.parquet(f"{folder}/merges"),
+        folder,
+        tuple((s["content"], s["id"]) for s in settings["specials"]),
+        settings["unknown_id"],
+        settings["add_prefix_space"],
     )
 
 
+def _require(condition: bool, path: str, what: str) -> None:
+    if not condition:
+        raise ValueError(f"the tokenizer in {path} uses {what}, which is not supported")
+
+
+def _read_settings(head, path: str) -> tuple[tuple[tuple[str, int], ...], bool]:
+    """Special literals and the leading blank of a JSON model; raises on settings that encode differently."""
+    _require(head["normalizer"] in (None, "null"), path, "a normalizer")
+    cutting = json.loads(head["pre_tokenizer"] or "null") or {}
+    plain = cutting.get("type") == "ByteLevel" and cutting.get("use_regex", True)
+    _require(plain, path, f"the pre-tokenizer {cutting.get('type')}")
+    after = json.loads(head["post_processor"] or "null") or {"type": "ByteLevel"}
+    _require(after["type"] == "ByteLevel", path, f"the post-processor {after['type']}")
+    for name in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"):
+        _require(head[name] in (None, "", "null", "false", "0.0"), path, name)
+    specials = []
+    for entry in json.loads(head["added_tokens"] or "null") or []:
+        for flag in ("single_word", "lstrip", "rstrip"):
+            _require(not entry.get(flag), path, f"added tokens with {flag}")
+        specials.append((entry["content"], entry["id"]))
+    return tuple(specials), bool(cutting.get("add_prefix_space", True))
+
+
+def _token_id(vocab: DataFrame, token: str | None) -> int | None:
+    row = None if token is None else vocab.where(F.col("token") == token).first()
+    return row["token_id"] if row else None
+
+
 def load_json(spark: SparkSession, path: str) -> BpeModel:
     """Read and check a single-JSON model; merges may be pairs or ``"left right"`` strings."""
     if not is_file(spark, path):
         raise ValueError(f"tokenizer file was not found: {path}")
     document = spark.read.text(path, wholetext=True).select(
-        F.from_json("value", "model struct<type: string, vocab: string, merges: string>").alias("d")
+        F.from_json(
+            "value",
+            "normalizer string, pre_tokenizer string, post_processor string, added_tokens string, "
+            "model struct<type: string, vocab: string, merges: string, unk_token: string, dropout: string, "
+            "continuing_subword_prefix: string, end_of_word_suffix: string, byte_fallback: string, "
+            "ignore_merges: string>",
+        ).alias("d")
     )
-    model = store(document.select("d.model.*"), "tokenizer-json")
+    model = store(document.select("d.*").select("*", "model.*").drop("model"), "tokenizer-json")
     head = model.select(
-        "type",
+        *[c for c in model.columns if c not in ("vocab", "merges")],
         F.col("vocab").startswith("{").alias("has_vocab"),
         F.col("merges").startswith("[").alias("has_merges"),
     ).first()
@@ -91,14 +153,13 @@ def load_json(spark: SparkSession, path: str) -> BpeModel:
         raise ValueError(f"the tokenizer in {path} is not BPE")
     if not (head["has_vocab"] and head["has_merges"]):
         raise ValueError(f"the tokenizer in {path} has no valid vocabulary and merge list")
+    specials, prefix_space = _read_settings(head, path)
     vocab = store(
         model.select(
             F.explode(F.from_json("vocab", "map<string,int>")).alias("token", "token_id")
         ).select("token_id", "token"),
         "vocab",
     )
-    if vocab.count() > MAX_VOCAB_SIZE:
-        raise ValueError(f"the vocabulary in {path} has more than {MAX_VOCAB_SIZE:,} entries")
     raw = model.select(F.posexplode(F.from_json("merges", "array<string>")).alias("rank", "entry"))
     pair = F.from_json("entry", "array<string>")
     parts = F.when(F.col("entry").startswith('["'), pair).otherwise(F.split("entry", " ", 2))
@@ -116,6 +177,9 @@ def load_json(spark: SparkSession, path: str) -> BpeModel:
             "merges",
         ),
         path,
+        specials,
+        dict(specials).get(head["unk_token"], _token_id(vocab, head["unk_token"])),
+        prefix_space,
     )
     if not result.merges.where("token_id IS NULL OR left_id IS NULL OR right_id IS NULL").isEmpty():
         raise ValueError(f"a merge in {path} names a token that is not in the vocabulary")

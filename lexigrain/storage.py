@@ -62,16 +62,6 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return StoredTable(df, label).df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a scan of fewer files than the session has cores.
-
-    Files of one row group cannot be split, so heavy work on a few of them would leave cores idle.
-    Large inputs have more files than that and pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
-
-
 def _filesystem(spark: SparkSession, path: str):
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     return location.getFileSystem(spark._jsc.hadoopConfiguration()), location

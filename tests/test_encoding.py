@@ -1,14 +1,18 @@
 import json
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, decoders, models, pre_tokenizers
+from tokenizers import Tokenizer, decoders, models, pre_tokenizers, trainers
 
 import lexigrain.operators.encoding as E
 from lexigrain.operators.model import model_from_merges
+from lexigrain.functions.bpe import WordEncoder
 from lexigrain.functions.symbols import base_tokens
 from lexigrain.operators.prefixes import measure_prefix, prefix_sweep, size_grid, vocabulary_grid
-from lexigrain.operators.scoring import token_totals, tokenizer_report
+from lexigrain.operators.scoring import corpus_token_totals, token_totals, tokenizer_report
+from lexigrain.sources.tokenizer_files import load_json, load_tables, save_model
 from reference_rules import UNICODE_TEXTS, library_model
 
 TEXTS = [*UNICODE_TEXTS, "a[UNK]b", "[UNK]", "x [UNK] y[[UNK]]!! [UNK][UNK]", "   [UNK]", "banana bandana ananas"]
@@ -41,33 +45,68 @@ def words(corpus):
     return E.word_table(corpus)
 
 
-def test_ids_and_counts_equal_the_library(corpus, words, library, model):
-    encoded = E.encode_word_types(words, model)
-    ids = {r["doc"]: r["ids"] for r in E.document_token_ids(corpus, ["doc"], encoded).collect()}
-    counts = {r["doc"]: r["n_tokens"] for r in E.document_token_counts(corpus, ["doc"], encoded).collect()}
+def test_ids_and_counts_equal_the_library(corpus, library, model):
+    ids = {r["doc"]: r["ids"] for r in E.document_token_ids(corpus, ["doc"], model).collect()}
+    counts = {r["doc"]: r["n_tokens"] for r in E.document_token_counts(corpus, ["doc"], model).collect()}
     for doc, text in enumerate(TEXTS):
         expected = library.encode(text).ids
         assert ids[doc] == expected
         assert counts[doc] == len(expected)
 
 
-def test_decode_restores_text_without_specials(corpus, words, model):
-    encoded = E.encode_word_types(words, model)
-    ids = E.document_token_ids(corpus, ["doc"], encoded)
+def test_decode_restores_text_without_specials(corpus, model):
+    ids = E.document_token_ids(corpus, ["doc"], model)
     texts = {r["doc"]: r["text"] for r in E.decode_documents(ids, ["doc"], model).collect()}
-    for doc, text in enumerate(TEXTS):
-        assert texts.get(doc, "") == text.replace("[UNK]", "")
+    assert texts == {doc: text.replace("[UNK]", "") for doc, text in enumerate(TEXTS)}
+
+
+def test_a_literal_before_many_wide_characters_is_cut_off(spark, library, model):
+    text = "[UNK]" + "-😀" * 8000
+    corpus = spark.createDataFrame([(0, text)], "doc int, text string")
+    assert E.document_token_ids(corpus, ["doc"], model).first()["ids"] == library.encode(text).ids
+
+
+LAYOUTS = {
+    "no special token": {"specials": [], "unk": None, "space": False},
+    "two special tokens": {"specials": ["<eot>", "<eot>>"], "unk": "<eot>", "space": False},
+    "leading blank": {"specials": ["[UNK]"], "unk": "[UNK]", "space": True},
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_other_base_vocabularies_encode_as_the_library(spark, tmp_path, layout):
+    form = LAYOUTS[layout]
+    other = Tokenizer(models.BPE(unk_token=form["unk"]))
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=form["space"])
+    other.decoder = decoders.ByteLevel()
+    trainer = trainers.BpeTrainer(
+        vocab_size=330,
+        special_tokens=form["specials"],
+        initial_alphabet=pre_tokenizers.ByteLevel.alphabet(),
+        show_progress=False,
+    )
+    texts = ["the cat<eot> sat on the mat and that is that", "  <eot>><eot>the the", "that[UNK] that", "é <eot>"]
+    other.train_from_iterator(texts * 2, trainer)
+    path = str(tmp_path / "tokenizer.json")
+    other.save(path)
+    loaded = load_json(spark, path)
+    corpus = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    ids = {r["doc"]: r["ids"] for r in E.document_token_ids(corpus, ["doc"], loaded).collect()}
+    assert ids == {doc: other.encode(text).ids for doc, text in enumerate(texts)}
+    totals = corpus_token_totals(corpus, {"a": loaded, "b": loaded}).collect()
+    assert {r["token_count"] for r in totals} == {sum(map(len, ids.values()))}
+    save_model(loaded, str(tmp_path / "saved"))
+    for again in (load_tables(spark, str(tmp_path / "saved")), load_json(spark, str(tmp_path / "saved/tokenizer.json"))):
+        assert (again.specials, again.unknown, again.prefix_space) == (loaded.specials, loaded.unknown, loaded.prefix_space)
 
 
-def test_lookup_rare_words_and_sliced_rules_give_the_same_ids(corpus, words, model, monkeypatch):
-    encoded = E.encode_word_types(words, model)
-    expected = {tuple(r) for r in E.document_token_counts(corpus, ["doc"], encoded).collect()}
-    monkeypatch.setattr(E, "BATCH_RULES", 0)
-    monkeypatch.setattr(E, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(E, "FREQUENT_WORDS", 5)
-    monkeypatch.setattr(E, "RULES_PER_BROADCAST", 17)
-    again = E.encode_word_types(words, model)
-    assert {tuple(r) for r in E.document_token_counts(corpus, ["doc"], again).collect()} == expected
+def test_settings_that_encode_differently_are_refused(spark, tmp_path, library):
+    source = json.loads(library.to_str())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        path = tmp_path / "tokenizer.json"
+        path.write_text(json.dumps(source | change))
+        with pytest.raises(ValueError, match="not supported"):
+            load_json(spark, str(path))
 
 
 def hand_made(spark, pairs):
@@ -92,42 +131,47 @@ def hand_made(spark, pairs):
         [("ab", "c"), ("abc", "cd"), ("a", "b"), ("c", "d"), ("b", "c")],
     ],
 )
-def test_lists_out_of_order_use_the_step_by_step_encoder(spark, pairs):
+def test_lists_out_of_order_encode_as_the_library(spark, pairs):
     model, library = hand_made(spark, pairs)
-    assert not model.applies_in_order
     texts = ["abc", "abcd", "abcabcd", "bcabcabcd abccd", "aabbccdd", "xyz", "abcdabcdab abcbc"]
     corpus = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
-    encoded = E.encode_word_types(E.word_table(corpus), model)
-    ids = {r["doc"]: r["ids"] for r in E.document_token_ids(corpus, ["doc"], encoded).collect()}
+    ids = {r["doc"]: r["ids"] for r in E.document_token_ids(corpus, ["doc"], model).collect()}
     assert ids == {doc: library.encode(text).ids for doc, text in enumerate(texts)}
 
 
-def test_all_encoders_agree(words, model, monkeypatch):
-    def results():
-        symbols = {r["word"]: r["symbols"] for r in E.encode_word_types(words, model).collect()}
-        return symbols, {tuple(r) for r in E.merge_events(words, model).collect()}
-
-    batches = results()
-    monkeypatch.setattr(E, "BATCH_RULES", 0)
-    assert results() == batches
-    monkeypatch.setattr(E, "_apply_in_order", E._apply_one_by_one)
-    assert results() == batches
-
-
 def test_long_word_is_encoded_whole(spark, library, model):
     text = "banana" * 3000 + "an"
     corpus = spark.createDataFrame([(0, text)], "doc int, text string")
     encoded = E.encode_word_types(E.word_table(corpus), model)
-    assert encoded.first()["n_tokens"] == len(library.encode(text).ids)
+    assert encoded.first()["ids"] == library.encode(text).ids
+
+
+def test_a_long_word_is_quick_with_long_tokens():
+    """8,001 bytes against a list whose longest token has 1,024."""
+    rules = {"left": [], "right": [], "token": [], "rank": []}
+    for rank in range(10):
+        last = 65 if rank == 0 else 256 + rank
+        for column, value in zip(rules, (last, last, 257 + rank, rank)):
+            rules[column].append(value)
+    content = {k: np.array(v, np.int32) for k, v in rules.items()}
+    content |= {"key": "long", "bytes": list(range(256)), "unknown": None, "specials": {}}
+    started = time.perf_counter()
+    ids, events = WordEncoder(content).encode("A" * 8001)
+    assert time.perf_counter() - started < 1
+    assert ids == [266] * 7 + [265, 264, 262, 65] and len(events) == 8001 - len(ids)
 
 
-def test_sweep_equals_prefix_models_and_the_library(words, model, library):
+def test_sweep_equals_prefix_models_and_the_library(spark, words, model, library):
     sizes = [257, 270, 301, 355, model.vocab_size]
     grid = words.sparkSession.createDataFrame([(s,) for s in sizes], "vocab_size int")
     sweep = {r["vocab_size"]: r["token_count"] for r in prefix_sweep(words, model, grid, 1).collect()}
     assert list(sweep.values()) == sorted(sweep.values(), reverse=True)
     for size in (257, 301):
         assert measure_prefix(words, model, size, 1).first()["token_count"] == sweep[size]
+    every = size_grid(spark, 257, model.vocab_size, 1)
+    all_points = {r["vocab_size"]: r["token_count"] for r in prefix_sweep(words, model, every, 1).collect()}
+    assert len(all_points) == model.vocab_size - 256
+    assert {size: all_points[size] for size in sizes} == sweep
     assert sweep[model.vocab_size] == sum(len(library.encode(t).ids) for t in TEXTS)
     source = json.loads(library.to_str())
     source["model"]["vocab"] = {t: i for t, i in source["model"]["vocab"].items() if i < 301}
