@@ -169,9 +169,8 @@ def heldout_slice_query(spark, sf):
 
 def progress_marks_query(spark, sf):
     corpus = ordered_documents(spark, sf)
-    budget = share(corpus.total_bytes, 60)
-    taken = OrderedCorpus(byte_budget_prefix(corpus, budget), ["doc_id"])
-    return progress_marks(taken, budget, share(corpus.total_bytes, 2))
+    total = corpus.total_bytes
+    return progress_marks(corpus, share(total, 60), share(total, 2))
 
 
 def shortfall_check(spark, sf):

@@ -1,17 +1,17 @@
 """Cutting an ordered corpus by UTF-8 byte budget, and accounting for the bytes used.
 
-A budget needs a running byte sum over the whole corpus, which as one unpartitioned window would run
-on a single task. Here only ``(order, size)`` pairs are laid out in ranges of the order column; the
-per-range totals (one row per range) locate the range holding a boundary, and only that range is
-scanned for the boundary row. The text itself is never shuffled: a slice is a filter on the order
-column, which reaches the file scan, plus a cut of its last row.
+A budget needs a running byte sum along the order, which as one unpartitioned window would run on a
+single task. Here only ``(order, size)`` pairs are laid out in ranges of the order column; the per-range
+totals (one row per range) locate the range holding a boundary, and only that range is scanned for the
+boundary row. The corpus is sized in steps that double, each a filter on the order column that reaches the
+file scan, and only as far as the budgets ask. The text itself is never shuffled: a slice is a filter on
+the order column plus a cut of its last row.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from dataclasses import dataclass
-from itertools import accumulate
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -21,6 +21,10 @@ from lexigrain.storage import store
 
 ROWS_PER_RANGE = 500_000
 PROGRESS_BYTES = 500_000_000
+#: The first step covers about 2 ** -STEPS of the rows; each further one as much as all before.
+STEPS = 10
+#: Order values drawn to place the steps. They steer how much is sized at a time, never a result.
+STEP_SAMPLE = 2_000
 
 _RANGE = "__range"
 _MEASURES = {"n_bytes", "bytes_before", "documents_before", "bytes_end", "bytes_used", "documents_used"}
@@ -28,10 +32,11 @@ _MEASURES = {"n_bytes", "bytes_before", "documents_before", "bytes_end", "bytes_
 
 @dataclass(frozen=True)
 class Position:
-    """A point between two rows: the last row consumed and the whole bytes before the next one."""
+    """A point between two rows: the last row consumed, and the whole bytes and rows before the next one."""
 
     last: tuple | None = None
     byte_offset: int = 0
+    row_offset: int = 0
 
 
 @dataclass(frozen=True)
@@ -41,7 +46,11 @@ class CorpusStats:
 
 
 class OrderedCorpus:
-    """A corpus with a unique order (one or more columns) and its byte layout along that order."""
+    """A corpus with a unique order (one or more columns) and its byte layout along that order.
+
+    Order values must be unique and not null, as rows could not be told apart at a boundary otherwise; rows
+    that break this raise an error as soon as they are sized.
+    """
 
     def __init__(
         self,
@@ -54,47 +63,96 @@ class OrderedCorpus:
             raise ValueError(f"order columns may not be named {', '.join(sorted(clash))}")
         self.order_by = list(order_by)
         self.text = text
+        self.rows_per_range = rows_per_range
         self.rows = corpus.where(is_nonempty(F.col(text))).select(*self.order_by, text)
-        # The only pass over the text: afterwards the layout works on a few bytes per document.
-        sizes = store(
-            self.rows.select(*self.order_by, utf8_bytes(F.col(text)).alias("n_bytes")), "sizes"
-        )
-        n_ranges = max(1, ceil(sizes.count() / rows_per_range))
-        self.sizes = store(
+        keys = corpus.select(*self.order_by)
+        unordered = " OR ".join(f"`{c}` IS NULL" for c in self.order_by)
+        if not keys.where(unordered).isEmpty():
+            raise ValueError(f"the order columns {', '.join(self.order_by)} hold nulls")
+        self._bounds = self._step_bounds(keys.select(self.order_by[0]))
+        self._sized: list[DataFrame] = []
+        self._parts: list[tuple[int, int]] = []  # bytes and documents of each range
+        self._ends: list[int] = []
+
+    def _step_bounds(self, first: DataFrame) -> list:
+        """Upper bounds of the sizing steps; the last step has none."""
+        n = first.count()
+        if n <= self.rows_per_range:
+            return [None]
+        drawn = sorted(row[0] for row in first.sample(min(1.0, STEP_SAMPLE / n), seed=7).collect())
+        picked = {drawn[len(drawn) >> k] for k in range(1, STEPS + 1) if len(drawn) >> k < len(drawn)} if drawn else ()
+        return [*sorted(picked), None]
+
+    def _grow(self) -> bool:
+        """Sizes the next step; false if all is sized. This pass over the step's text is the only one."""
+        done = len(self._sized)
+        if done == len(self._bounds):
+            return False
+        first, rows = F.col(self.order_by[0]), self.rows
+        if done:
+            rows = rows.where(first > self._value(self._bounds[done - 1]))
+        if self._bounds[done] is not None:
+            rows = rows.where(first <= self._value(self._bounds[done]))
+        sizes = store(rows.select(*self.order_by, utf8_bytes(F.col(self.text)).alias("n_bytes")), "sizes")
+        n_ranges = max(1, ceil(sizes.count() / self.rows_per_range))
+        repeated = sizes.groupBy(*self.order_by).count().where("count > 1").first()
+        if repeated is not None:
+            raise ValueError(f"the order {tuple(repeated)[:-1]} stands on several rows")
+        laid = store(
             sizes.repartitionByRange(n_ranges, *self.order_by).withColumn(
-                _RANGE, F.spark_partition_id()
+                _RANGE, F.spark_partition_id() + len(self._parts)
             ),
             "ranges",
         )
-        self._parts = (
-            self.sizes.groupBy(_RANGE)
+        found = {
+            row[_RANGE]: (row["bytes"], row["documents"])
+            for row in laid.groupBy(_RANGE)
             .agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("documents"))
-            .orderBy(_RANGE)
             .collect()  # one row per range
-        )
-        self._ends = list(accumulate(row["bytes"] for row in self._parts))
+        }
+        for number in range(len(self._parts), len(self._parts) + n_ranges):
+            part = found.get(number, (0, 0))
+            self._ends.append((self._ends[-1] if self._ends else 0) + part[0])
+            self._parts.append(part)
+        self._sized.append(laid)
+        return True
+
+    def _grow_to(self, target: int | None) -> None:
+        """Sizes until the running sum reaches ``target``, or everything."""
+        while (target is None or not self._ends or self._ends[-1] < target) and self._grow():
+            pass
+
+    @property
+    def sizes(self) -> DataFrame:
+        """``(order, n_bytes, range)`` of what is sized so far."""
+        if not self._sized:
+            self._grow()
+        df = self._sized[0]
+        for more in self._sized[1:]:
+            df = df.unionByName(more)
+        return df
 
     @property
     def total_bytes(self) -> int:
-        return self._ends[-1] if self._ends else 0
-
-    def _offsets(self) -> DataFrame:
-        documents = [0, *accumulate(row["documents"] for row in self._parts)]
-        data = [
-            (row[_RANGE], end - row["bytes"], done)
-            for row, end, done in zip(self._parts, self._ends, documents)
-        ]
-        return self.sizes.sparkSession.createDataFrame(
-            data, f"{_RANGE} int, {_RANGE}_bytes bigint, {_RANGE}_documents bigint"
-        )
+        self._grow_to(None)
+        return self._ends[-1]
 
-    def running_totals(self) -> DataFrame:
-        """Per row: its size and the bytes and documents before it, by a two-level prefix sum."""
-        before = Window.partitionBy(_RANGE).orderBy(*self.order_by).rowsBetween(
-            Window.unboundedPreceding, -1
+    def running_totals(self, target: int | None = None) -> DataFrame:
+        """Per row: its size and the bytes and documents before it, by a two-level prefix sum.
+
+        With a ``target`` at least the rows up to that running sum are there.
+        """
+        self._grow_to(target)
+        before = Window.partitionBy(_RANGE).orderBy(*self.order_by).rowsBetween(Window.unboundedPreceding, -1)
+        data, documents = [], 0
+        for number, (part, end) in enumerate(zip(self._parts, self._ends)):
+            data.append((number, end - part[0], documents))
+            documents += part[1]
+        offsets = self.rows.sparkSession.createDataFrame(
+            data, f"{_RANGE} int, {_RANGE}_bytes bigint, {_RANGE}_documents bigint"
         )
         # One row per range, so the broadcast side stays small by construction.
-        return self.sizes.join(F.broadcast(self._offsets()), _RANGE).select(
+        return self.sizes.join(F.broadcast(offsets), _RANGE).select(
             *self.order_by,
             "n_bytes",
             (F.col(f"{_RANGE}_bytes") + F.coalesce(F.sum("n_bytes").over(before), F.lit(0))).alias(
@@ -105,14 +163,17 @@ class OrderedCorpus:
 
     def _row_reaching(self, target: int):
         """The first row at whose end the running byte sum is at least ``target``."""
+        self._grow_to(target)
         index = bisect_left(self._ends, target)
         if index == len(self._ends):
             return None
-        start = self._ends[index] - self._parts[index]["bytes"]
-        running = Window.orderBy(*self.order_by)  # within one range of bounded size
+        start = self._ends[index] - self._parts[index][0]
+        documents = sum(part[1] for part in self._parts[:index])
+        running = Window.orderBy(*self.order_by).rowsBetween(Window.unboundedPreceding, 0)  # in one range
         return (
-            self.sizes.where(F.col(_RANGE) == self._parts[index][_RANGE])
+            self.sizes.where(F.col(_RANGE) == index)
             .withColumn("bytes_end", F.lit(start) + F.sum("n_bytes").over(running))
+            .withColumn("documents_used", F.lit(documents) + F.count("*").over(running))
             .where(F.col("bytes_end") >= target)
             .orderBy(*self.order_by)
             .limit(1)
@@ -122,36 +183,67 @@ class OrderedCorpus:
     def _key(self) -> Column:
         return F.col(self.order_by[0]) if len(self.order_by) == 1 else F.struct(*self.order_by)
 
+    def _value(self, value) -> Column:
+        return F.lit(value).cast(self.rows.schema[self.order_by[0]].dataType)
+
     def _literal(self, values: tuple) -> Column:
         types = {f.name: f.dataType for f in self.rows.schema.fields}
         parts = [F.lit(v).cast(types[c]).alias(c) for c, v in zip(self.order_by, values)]
         return parts[0] if len(parts) == 1 else F.struct(*parts)
 
+    def _edge(self, max_bytes: int, start: Position) -> tuple[Position, int, int | None]:
+        """Where a slice ends, its number of whole rows, and the bytes that fit of its cut row if it has one."""
+        if max_bytes < 1:
+            raise ValueError("a byte budget must be positive")
+        target = start.byte_offset + max_bytes
+        edge = self._row_reaching(target)
+        if edge is None:
+            documents = sum(part[1] for part in self._parts)
+            return Position(self._last_key(), self._ends[-1], documents), documents - start.row_offset, None
+        end = Position(tuple(edge[c] for c in self.order_by), edge["bytes_end"], edge["documents_used"])
+        cut = edge["bytes_end"] > target
+        room = target - (edge["bytes_end"] - edge["n_bytes"])
+        return end, edge["documents_used"] - start.row_offset - cut, room if cut else None
+
     def take(self, max_bytes: int, start: Position = Position()) -> tuple[DataFrame, Position]:
         """Whole rows after ``start`` while bytes remain, the last one cut to fit.
 
         Returns the slice and the position after its boundary row; what the cut left of that row
         belongs to no slice.
         """
-        if max_bytes < 1:
-            raise ValueError("a byte budget must be positive")
+        end, _, room = self._edge(max_bytes, start)
         rows, first = self.rows, F.col(self.order_by[0])
         if start.last is not None:
-            rows = rows.where((first >= F.lit(start.last[0])) & (self._key() > self._literal(start.last)))
-        target = start.byte_offset + max_bytes
-        edge = self._row_reaching(target)
-        if edge is None:
-            return rows, Position(self._last_key(), self.total_bytes)
-        last = tuple(edge[c] for c in self.order_by)
-        room = target - (edge["bytes_end"] - edge["n_bytes"])
-        rows = rows.where((first <= F.lit(last[0])) & (self._key() <= self._literal(last)))
-        if room < edge["n_bytes"]:
+            rows = rows.where((first >= self._value(start.last[0])) & (self._key() > self._literal(start.last)))
+        if end.last is None:
+            return rows, end
+        rows = rows.where((first <= self._value(end.last[0])) & (self._key() <= self._literal(end.last)))
+        if room is not None:
             text = F.col(self.text)
             rows = rows.withColumn(
                 self.text,
-                F.when(self._key() == self._literal(last), utf8_prefix(text, room)).otherwise(text),
+                F.when(self._key() == self._literal(end.last), utf8_prefix(text, room)).otherwise(text),
             ).where(F.col(self.text) != "")
-        return rows, Position(last, edge["bytes_end"])
+        return rows, end
+
+    def _cut_size(self, end: Position, room: int | None) -> int:
+        """Bytes left of the boundary row; reads that row alone."""
+        if room is None:
+            return 0
+        row = (
+            self.rows.where((F.col(self.order_by[0]) == self._value(end.last[0])) & (self._key() == self._literal(end.last)))
+            .select(utf8_bytes(utf8_prefix(F.col(self.text), room)).alias("n"))
+            .first()
+        )
+        return row["n"]
+
+    def stats(self, max_bytes: int, start: Position = Position()) -> CorpusStats:
+        """Bytes and documents of the slice, from the layout and the boundary row, without its text."""
+        end, documents, room = self._edge(max_bytes, start)
+        if room is None:
+            return CorpusStats(end.byte_offset - start.byte_offset, documents)
+        kept = self._cut_size(end, room)
+        return CorpusStats(max_bytes - room + kept, documents + (kept > 0))
 
     def _last_key(self) -> tuple | None:
         descending = [F.col(c).desc() for c in self.order_by]
@@ -214,20 +306,21 @@ def require_bytes(stats: CorpusStats, requested: int, what: str) -> None:
         )
 
 
-def progress_marks(
-    taken: OrderedCorpus, max_bytes: int, step: int = PROGRESS_BYTES
-) -> DataFrame:
-    """One mark per row that carries the running byte count across a multiple of ``step``."""
-    after = F.col("bytes_before") + F.col("n_bytes")
+def progress_marks(corpus: OrderedCorpus, max_bytes: int, step: int = PROGRESS_BYTES) -> DataFrame:
+    """One mark per row of the prefix that carries the running byte count across a multiple of ``step``."""
+    end, _, room = corpus._edge(max_bytes, Position())
+    kept = corpus._cut_size(end, room)
+    size = F.col("n_bytes")
+    rows = corpus.running_totals(max_bytes)
+    if room is not None:
+        at_edge = corpus._key() == corpus._literal(end.last)
+        size = F.when(at_edge, kept).otherwise(size)
+    after = F.col("bytes_before") + size
     crossed = F.floor(after / F.lit(step)) > F.floor(F.col("bytes_before") / F.lit(step))
-    return (
-        taken.running_totals()
-        .where(crossed)
-        .select(
-            *taken.order_by,
-            after.alias("bytes_used"),
-            F.lit(max_bytes).cast("bigint").alias("max_bytes"),
-            (F.lit(100) * after / F.lit(max_bytes)).alias("pct"),
-            (F.col("documents_before") + 1).alias("documents_used"),
-        )
+    return rows.where((F.col("bytes_before") < max_bytes) & crossed).select(
+        *corpus.order_by,
+        after.alias("bytes_used"),
+        F.lit(max_bytes).cast("bigint").alias("max_bytes"),
+        (F.lit(100) * after / F.lit(max_bytes)).alias("pct"),
+        (F.col("documents_before") + 1).alias("documents_used"),
     )

@@ -9,7 +9,6 @@ from lexigrain.operators.slicing import (
     OrderedCorpus,
     Position,
     check_budgets,
-    read_stats,
     require_bytes,
 )
 from lexigrain.sources.reports import read_json_file, write_summary
@@ -74,11 +73,10 @@ def prepare_heldout(
     corpus: OrderedCorpus = open_corpus()
     start, skipped = Position(), None
     if skip_bytes:
-        prefix, start = corpus.take(skip_bytes)
-        skipped = read_stats(prefix, corpus.text)
+        start, skipped = corpus.take(skip_bytes)[1], corpus.stats(skip_bytes)
         require_bytes(skipped, skip_bytes, "held-out slice")
     taken = corpus.take(eval_bytes, start)[0]
-    used = read_stats(taken, corpus.text)
+    used = corpus.stats(eval_bytes, start)
     require_bytes(used, eval_bytes, "evaluation size")
     write_texts(taken, corpus.order_by, text_path(folder), corpus.text)
     metadata = {
@@ -100,29 +98,39 @@ def prepare_heldout(
 
 
 def legacy_texts(lines: DataFrame) -> DataFrame:
-    """``(text, ok)`` from lines that each hold one bare JSON string."""
-    parsed = F.from_json(F.concat(F.lit('{"text":'), F.col("value"), F.lit("}")), TEXT_SCHEMA)
-    is_string = F.col("value").rlike(r'^\s*"')  # from_json would also turn numbers into strings
+    """``(text, ok)`` from lines that each hold one bare JSON string and nothing else."""
+    # As the one element of an array a line can neither add fields nor further values.
+    parsed = F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), "array<string>", {"mode": "PERMISSIVE"})
+    is_string = F.col("value").rlike(r'^\s*"(?:[^"\\]|\\.)*+"\s*$')
     return lines.select(
-        parsed["text"].alias("text"), (is_string & parsed["text"].isNotNull()).alias("ok")
+        F.get(parsed, F.lit(0)).alias("text"), (is_string & (F.size(parsed) == 1) & F.get(parsed, F.lit(0)).isNotNull()).alias("ok")
     )
 
 
 def migrate(spark: SparkSession, folder: str, metadata: dict) -> dict:
-    """Rewrite a legacy cache as JSON objects and update its format tag."""
-    target = text_path(folder)
-    staging = f"{target}.migrating"
-    if path_exists(spark, staging):
-        raise ValueError(f"incomplete held-out migration: {staging}")
+    """Rewrite a legacy cache as JSON objects and update its format tag.
+
+    The new texts and metadata are written in full before the old ones are moved aside, and those are
+    deleted last, so that at every moment either the old or the new cache lies on disk whole.
+    """
+    target, described = text_path(folder), meta_path(folder)
+    staging, old = f"{target}.migrating", f"{target}.legacy"
+    new_meta, old_meta = f"{described}.migrating", f"{described}.legacy"
+    for path in (staging, old, new_meta, old_meta):
+        if path_exists(spark, path):
+            raise ValueError(f"incomplete held-out migration: {path}")
     texts = legacy_texts(spark.read.text(target))
-    if not texts.where(~F.col("ok")).isEmpty():
+    if not texts.where(~F.coalesce("ok", F.lit(False))).isEmpty():
         raise ValueError(f"a legacy held-out cache must hold JSON strings: {target}")
     texts.select("text").write.json(staging)
-    remove(spark, target)
-    move(spark, staging, target)
     metadata = {**metadata, "format": CACHE_FORMAT}
-    remove(spark, meta_path(folder))
-    write_summary(spark, metadata, meta_path(folder))
+    write_summary(spark, metadata, new_meta)
+    move(spark, target, old)
+    move(spark, staging, target)
+    move(spark, described, old_meta)
+    move(spark, new_meta, described)
+    remove(spark, old)
+    remove(spark, old_meta)
     return metadata
 
 

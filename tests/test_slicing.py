@@ -36,7 +36,10 @@ def test_slices_follow_the_sequential_rule(spark, seed):
     rng = random.Random(seed + 100)
     for _ in range(2):
         skip, size = rng.randint(0, total), rng.randint(1, total + 4)
-        assert collected(C.byte_budget_prefix(taken, size)) == take_bytes(plain, size)[0]
+        kept = take_bytes(plain, size)[0]
+        assert collected(C.byte_budget_prefix(taken, size)) == kept
+        used = taken.stats(size)
+        assert (used.bytes_used, used.documents_used) == (sum(len(t.encode()) for _, t in kept), len(kept))
         after = take_bytes(plain, skip)[1] if skip else 0
         assert collected(C.heldout_slice(taken, skip, size)) == take_bytes(plain[after:], size)[0]
 
@@ -68,6 +71,28 @@ def test_row_cut_to_nothing_is_not_counted(spark):
         C.require_bytes(stats, 6, "size")
 
 
+def test_order_keys_must_be_unique_and_known(spark):
+    for keys in ([(None, 0, "abc"), (1, 0, "def")], [(1, 0, "abc"), (1, 0, "def"), (2, 0, "g")]):
+        with pytest.raises(ValueError):
+            C.byte_budget_prefix(corpus(spark, keys), 3)
+
+
+def test_a_small_budget_sizes_the_first_rows_only(spark):
+    rows = [(d, 0, "x" * 10) for d in range(4000)]
+    taken = corpus(spark, rows, rows_per_range=50)
+    assert C.byte_budget_prefix(taken, 95).count() == 10
+    assert taken.sizes.count() < 400
+    assert taken.stats(95) == C.CorpusStats(95, 10)
+    assert C.heldout_slice(taken, 20_000, 30).count() == 3
+    assert taken.total_bytes == 40_000 and taken.sizes.count() == 4000
+
+
+def test_marks_of_a_cut_prefix(spark):
+    taken = corpus(spark, [(i, 0, "x" * n) for i, n in enumerate([4, 7, 25, 1, 3])])
+    marks = C.progress_marks(taken, 30, 10).orderBy("doc").collect()
+    assert [(m["doc"], m["bytes_used"], m["documents_used"]) for m in marks] == [(1, 11, 2), (2, 30, 3)]
+
+
 def test_progress_marks(spark):
     taken = corpus(spark, [(i, 0, "x" * n) for i, n in enumerate([4, 7, 25, 1, 3])])
     marks = C.progress_marks(taken, 40, 10).orderBy("doc").collect()
