@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, functions as F
 
 # Decimal size units.
@@ -38,10 +36,12 @@ def utf8_prefix(text: Column, n_bytes: Column | int) -> Column:
 
 def parse_size(value: str) -> int:
     """``"10GB"`` -> 10_000_000_000; raises ``ValueError`` for anything but digits and a unit."""
-    match = re.fullmatch(SIZE_PATTERN, value.upper())
-    if match is None:
+    spelled = value.upper()
+    # Every unit ends in that of bytes, so the longest that fits is the one meant.
+    unit = max((u for u in SIZE_UNITS if spelled.endswith(u)), key=len, default="")
+    digits = spelled.removesuffix(unit).rstrip() if unit else ""
+    if not (digits.isascii() and digits.isdigit() and digits[0] != "0"):
         raise ValueError(f"not a byte size: {value!r} (examples: 1MB, 10MB, 10GB)")
-    digits, unit = match.groups()
     return int(digits) * SIZE_UNITS[unit]
 
 

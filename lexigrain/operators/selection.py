@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+#: White space of any kind at both ends.
+EDGE_BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
+
 def parse_tokenizer_spec(value: str) -> tuple[str, str]:
     """``"name=path"`` -> ``(name, path)``, split at the first equals sign."""
     name, found, path = value.partition("=")
@@ -23,7 +27,8 @@ def parse_tokenizer_specs(values: list[str]) -> dict[str, str]:
 def requested_names(requests: DataFrame, column: str = "names") -> DataFrame:
     """``(name, times)`` from comma lists: names trimmed, blanks dropped."""
     return (
-        requests.select(F.explode(F.transform(F.split(column, ","), lambda name: F.trim(name))).alias("name"))
+        requests.select(F.explode(F.split(column, ",")).alias("name"))
+        .select(F.regexp_replace("name", EDGE_BLANKS, "").alias("name"))
         .where("name <> ''")
         .groupBy("name")
         .agg(F.count("*").alias("times"))

@@ -29,11 +29,13 @@ from lexigrain.functions.symbols import (
     to_symbols,
 )
 from lexigrain.operators.model import BpeModel, check_vocab_size, model_from_merges
-from lexigrain.storage import StoredTable
+from lexigrain.storage import StoredTable, store
 
 FRONTIER_SIZE = 4_096  # best pairs fetched at a recount
 ROUND_LENGTH = 256  # merges proposed per job
 ROUNDS_PER_STORE = 16  # rounds kept as cached rewrites before the words are written out again
+WORDS_PER_TASK = 20_000  # word types that a task plays a round on
+
 
 def symbol_words(word_types: DataFrame) -> DataFrame:
     """``(s, freq)``: word types as one character per byte."""
@@ -68,11 +70,11 @@ def replay(words: DataFrame, steps: list[str]) -> DataFrame:
 def _round_changes(
     words: DataFrame, steps: list[str], known: set[str], first_new: str, floor: int
 ) -> DataFrame:
-    """``(step, pair, d)``: how playing the steps changes the counts of the pairs that matter.
+    """``(pair, changes)``: how playing the steps changes the counts of the pairs that matter.
 
     A pair is at its most frequent when the younger of its symbols is made and only falls later, so
-    the pairs that matter are the known ones and those that start with at least ``floor``. Tasks add
-    up changes per step and pair before the shuffle.
+    the pairs that matter are the known ones and those that start with at least ``floor``; the others
+    are left out whole. Tasks add up changes per step and pair before the shuffle.
     """
 
     def run(batches):
@@ -81,17 +83,20 @@ def _round_changes(
             if len(batch):
                 count_changes(batch["s"].tolist(), batch["freq"].to_numpy(), steps, totals)
         rows = [
-            (i, pair, d)
+            (i, pair, d, pair in known)
             for (i, pair), d in totals.items()
             if d and (pair in known or max(pair) >= first_new)
         ]
-        yield pd.DataFrame(rows, columns=["step", "pair", "d"])
+        yield pd.DataFrame(rows, columns=["step", "pair", "d", "known"])
 
     return (
-        words.mapInPandas(run, "step int, pair string, d bigint")
-        .groupBy("step", "pair")
+        words.mapInPandas(run, "step int, pair string, d bigint, known boolean")
+        .groupBy("pair", "step", "known")
         .agg(F.sum("d").alias("d"))
-        .where(f"d < 0 OR d >= {floor}")
+        .groupBy("pair", "known")
+        .agg(F.max("d").alias("most"), F.collect_list(F.struct("step", "d")).alias("changes"))
+        .where(F.col("known") | (F.col("most") >= floor))
+        .select("pair", "changes")
     )
 
 
@@ -222,11 +227,10 @@ def train_bpe(
     spark = word_types.sparkSession
     report = report or TrainingReport()
     vocab = _Vocabulary()
-    cores = spark.sparkContext.defaultParallelism
-    stored = StoredTable(
-        symbol_words(word_types).where(F.char_length("s") > 1).repartition(cores), "words"
-    )
-    words = stored.df.persist()
+    stored = StoredTable(symbol_words(word_types).where(F.char_length("s") > 1), "words")
+    tasks = max(1, -(-stored.df.count() // WORDS_PER_TASK))
+    words = stored.df.repartition(tasks).persist()
+    kept = [words]  # cached generations since the words were last written
 
     while len(vocab.tokens) < vocab_size:
         best = pair_counts(words).orderBy(F.desc("n"), "pair").limit(frontier_size).collect()
@@ -245,7 +249,8 @@ def train_bpe(
             first_new = symbol_char(len(vocab.tokens))
             updates: dict[str, list] = {step: [] for step in proposed}
             for row in _round_changes(words, proposed, set(counts), first_new, -cut[0]).collect():
-                updates[proposed[row["step"]]].append((row["pair"], row["d"]))
+                for step, d in row["changes"]:
+                    updates[proposed[step]].append((row["pair"], d))
             report.rounds += 1
             vocab.learn(proposed, updates)
 
@@ -261,14 +266,17 @@ def train_bpe(
                         ranking[pair] = value
                     else:
                         counts.pop(pair, None)
-            older, words = words, replay(words, accepted)
+            words = replay(words, accepted)
             if report.rounds % ROUNDS_PER_STORE == 0:
                 newer = StoredTable(words, "words")
-                older.unpersist()
+                for generation in kept:
+                    generation.unpersist()
                 stored.drop()
-                stored, words = newer, newer.df.persist()
-            else:
-                words = words.persist()
-    words.unpersist()
+                stored, words, kept = newer, newer.df, []
+            words = words.persist()
+            kept.append(words)
+    for generation in kept:
+        generation.unpersist()
     stored.drop()
-    return model_from_merges(spark, vocab.merges, vocab.tokens)
+    made = model_from_merges(spark, vocab.merges, vocab.tokens)
+    return BpeModel(store(made.vocab, "vocab"), store(made.merges, "merges"))

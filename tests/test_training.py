@@ -61,3 +61,9 @@ def test_vocab_size_bounds():
     for size in (256, 2_000_000):
         with pytest.raises(ValueError):
             check_vocab_size(size)
+
+
+def test_training_keeps_nothing_cached(spark):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    trained(spark, [random_text(9)], 300, round_length=2)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
