@@ -289,6 +289,26 @@ ORACLES: dict[str, str] = {
         SELECT vocab_size, token_count, earlier_count, token_count = earlier_count AS equal
         FROM points LEFT JOIN direct USING (vocab_size)""",
     "points_csv": f"{_points('f_conv', 'conversations')} SELECT vocab_size, token_count FROM points",
+    "special_literal": f"""
+        SELECT doc_id, len(w)::INT AS n_words, array_to_string(w, '|') AS words FROM (
+            SELECT doc_id, list_concat(list_concat({_pretokens('head')}, ['[UNK]']), {_pretokens('tail')}) AS w
+            FROM (SELECT doc_id, substr(text, 1, length(text) // 2) AS head,
+                         substr(text, length(text) // 2 + 1) AS tail FROM documents))""",
+    "bpe_encode_other_base": f"""{_STATES}
+        SELECT word, f_conv AS freq, length(s)::INT AS n_tokens, {_IDS.replace('- 32', '- 33')} AS ids
+        FROM states WHERE k = {FULL} AND f_conv > 0""",
+    "prefix_sweep_large": f"""{_points('f_conv', 'conversations')}
+        SELECT vocab_size, token_count, {_RATIOS} FROM points, used WHERE vocab_size < 320""",
+    "heldout_meta": f"""{_HELDOUT},
+        taken AS (SELECT sum({_SIZE})::BIGINT AS b, count(*) AS d FROM slice WHERE text <> ''),
+        skipped AS (SELECT {_cut('(total * 60 // 100 - (done - n))')} AS text FROM sized, total
+                    WHERE done - n < total * 60 // 100),
+        passed AS (SELECT sum({_SIZE})::BIGINT AS b, count(*) AS d FROM skipped WHERE text <> '')
+        SELECT passed.b AS skipped_utf8_bytes, passed.d AS skipped_documents,
+               taken.b AS cached_utf8_bytes, taken.d AS cached_documents FROM taken, passed""",
+    "heldout_migrated": "SELECT text FROM conversations WHERE text <> ''",
+    "points_read": f"""{_points('f_conv', 'conversations')}
+        SELECT vocab_size, token_count, {_RATIOS} FROM points, used""",
     "axis_label": """
         SELECT size, CASE WHEN size = 0 THEN '0' WHEN size = 1000000 THEN '1M' ELSE size // 1000 || 'k' END AS label
         FROM (SELECT ((o_orderkey - 1) * 1000)::BIGINT AS size FROM orders)""",

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrain.functions.pretokens import pretokens
-from lexigrain.functions.symbols import symbols_to_ids, to_byte_alphabet, to_symbols
+from lexigrain.functions.pretokens import encoding_pretokens, pretokens
+from lexigrain.functions.symbols import SPECIAL_ID, SPECIAL_TOKEN, symbols_to_ids, to_byte_alphabet
 from lexigrain.functions.text import (
     is_nonempty,
     size_bytes,
@@ -22,11 +22,12 @@ from lexigrain.operators.encoding import (
     encode_word_types,
     word_table,
 )
-from lexigrain.operators.model import BASE_SIZE, BpeModel, base_vocabulary
+from lexigrain.operators.model import BASE_SIZE, PLAIN, BpeModel, base_vocabulary
 from lexigrain.operators.prefixes import (
     measure_prefix,
     parity,
     prefix_sweep,
+    size_grid,
     sweep_summary,
     vocabulary_grid,
 )
@@ -44,16 +45,23 @@ from lexigrain.operators.slicing import (
 from lexigrain.operators.training import pair_counts, symbol_words, train_bpe
 from lexigrain.operators.words import word_types
 from lexigrain.sources.corpus import read_corpus
-from lexigrain.sources.heldout import legacy_texts, write_texts
-from lexigrain.sources.reports import write_points_csv
-from lexigrain.sources.tokenizer_files import load_json, load_tables, save_model
+from lexigrain.sources.heldout import (
+    legacy_texts,
+    meta_path,
+    migrate,
+    open_heldout,
+    prepare_heldout,
+    text_path,
+    write_texts,
+)
+from lexigrain.sources.reports import read_points, write_points_csv, write_summary
+from lexigrain.sources.tokenizer_files import export_json, load_json, load_tables, save_model
 from lexigrain.storage import checkpoint_root
 
 SMALL_VOCAB = BASE_SIZE + 8
 VOCAB = 320
+LARGE_VOCAB = BASE_SIZE + 4_200
 GRID_STEP = 16
-# Small ranges, so that the prefix sum of even the test corpora spans several of them.
-ROWS_PER_RANGE = 200
 TURN_KEYS = ["conv_id", "turn"]
 
 _models: dict[tuple[str, str], BpeModel] = {}
@@ -72,7 +80,9 @@ def ordered_documents(spark: SparkSession, sf: str) -> OrderedCorpus:
 
 
 def ordered_turns(spark: SparkSession, sf: str) -> OrderedCorpus:
-    return OrderedCorpus(conversations(spark, sf), TURN_KEYS, rows_per_range=ROWS_PER_RANGE)
+    """Turns in about eight ranges, so that the prefix sum of any corpus spans several of them."""
+    turns = conversations(spark, sf)
+    return OrderedCorpus(turns, TURN_KEYS, rows_per_range=max(1, turns.count() // 8))
 
 
 def share(total: int, percent: int) -> int:
@@ -391,6 +401,79 @@ def points_csv(spark, sf):
     return spark.read.option("header", True).schema(points.schema).csv(path)
 
 
+# --- further layouts and longer lists ----------------------------------------------------------------
+
+
+def special_literal(spark, sf):
+    """Every document with the special literal put into its middle, cut the way encoding cuts it."""
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    marked = F.concat(
+        F.substring(F.col("text"), F.lit(1), half), F.lit(SPECIAL_TOKEN), F.substring(F.col("text"), half + 1, F.char_length("text"))
+    )
+    words = encoding_pretokens(F.col("text"), PLAIN)
+    return (
+        documents(spark, sf)
+        .select("doc_id", marked.alias("text"))
+        .select("doc_id", F.size(words).alias("n_words"), F.array_join(words, "|").alias("words"))
+    )
+
+
+def bpe_encode_other_base(spark, sf):
+    """Words under a JSON model without a special token, whose ids therefore start one lower."""
+    model = trained(spark, sf)
+    vocab = model.vocab.where(F.col("token_id") != SPECIAL_ID).withColumn("token_id", F.col("token_id") - 1)
+    ids = {c: F.col(c) - 1 for c in ("token_id", "left_id", "right_id")}
+    path = f"{checkpoint_root(spark)}/other-{_fresh()}.json"
+    export_json(BpeModel(vocab, model.merges.withColumns(ids), specials=(), unknown=None), path)
+    other = load_json(spark, path)
+    words = word_table(conversations(spark, sf), splitting=other.splitting)
+    return encode_word_types(words, other).select("word", "freq", "n_tokens", joined(F.col("ids")).alias("ids"))
+
+
+def prefix_sweep_large(spark, sf):
+    """The first points of a sweep over a model of more than 4,096 merges."""
+    corpus = conversations(spark, sf)
+    key = (spark.sparkContext.applicationId, f"{sf}, large")
+    if key not in _models:
+        _models[key] = train_bpe(word_types(documents(spark, sf)), LARGE_VOCAB)
+    model = _models[key]
+    grid = size_grid(spark, model.base_size, model.vocab_size, GRID_STEP)
+    points = prefix_sweep(word_table(corpus), model, grid, read_stats(corpus).bytes_used)
+    return points.where(F.col("vocab_size") <= VOCAB)
+
+
+def heldout_meta(spark, sf):
+    """Totals of a prepared cache, after preparing it, finding it complete, and reading its metadata."""
+    folder = f"{checkpoint_root(spark)}/cache-{_fresh()}"
+    corpus = ordered_documents(spark, sf)
+    total = corpus.total_bytes
+    for _ in range(2):  # the second call finds the cache complete
+        prepare_heldout(lambda: corpus, spark, folder, share(total, 60), share(total, 20))
+    fields = ("skipped_utf8_bytes", "skipped_documents", "cached_utf8_bytes", "cached_documents")
+    found = spark.read.json(meta_path(folder), multiLine=True)
+    return found.select(*(F.col(f).cast("bigint").alias(f) for f in fields))
+
+
+def heldout_migrated(spark, sf):
+    """Conversation turns written as a legacy cache, migrated and read."""
+    folder = f"{checkpoint_root(spark)}/legacy-{_fresh()}"
+    lines = conversations(spark, sf).select(F.to_json(F.struct("text")).alias("value")).select(
+        F.expr("substr(value, 9, char_length(value) - 9)").alias("value")
+    )
+    lines.write.text(text_path(folder))
+    write_summary(spark, {"format": "older"}, meta_path(folder))
+    migrate(spark, folder, {"format": "older"})
+    return open_heldout(spark, folder)[0]
+
+
+def points_read(spark, sf):
+    """The sweep's points after writing a compression summary and reading them from it."""
+    path = f"{checkpoint_root(spark)}/compression-{_fresh()}.json"
+    listed = [r.asDict() | {"seconds": 0.0} for r in _points(spark, sf).collect()]  # one row per grid size
+    write_summary(spark, {"points": listed}, path)
+    return read_points(spark, path).select("vocab_size", "token_count", "bytes_per_token", "tokens_per_byte")
+
+
 def axis_label(spark, sf):
     """Axis labels of sizes taken from all order keys, in thousands."""
     keys = spark.read.parquet(f"{sf}/orders.parquet").select(
@@ -442,4 +525,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parity_check": parity_check,
     "points_csv": points_csv,
     "axis_label": axis_label,
+    "special_literal": special_literal,
+    "bpe_encode_other_base": bpe_encode_other_base,
+    "prefix_sweep_large": prefix_sweep_large,
+    "heldout_meta": heldout_meta,
+    "heldout_migrated": heldout_migrated,
+    "points_read": points_read,
 }
