@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from lexigrain.checks.queries import QUERIES
 from compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -18,7 +19,7 @@ pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables a
 
 
 def test_every_query_has_a_statement():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
