@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexigrain.llm.licenses import PHRASES, TEMPLATES, THRESHOLD
+from lexigrain.llm.linededup import MIN_WORDS
 
 _VALUES = ", ".join(f"('{phrase}', '{label}')" for phrase, label in PHRASES)
 _TEMPLATES = ", ".join(f"({n}, '{text}', '{label}')" for n, (text, label) in enumerate(TEMPLATES))
@@ -51,4 +52,87 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
 FROM docs JOIN words USING (r) LEFT JOIN base USING (r) LEFT JOIN found USING (r)
 """
 
-ORACLES: dict[str, str] = {"op3_license_scan": LICENSES}
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NEAR_DUPLICATES = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^ 	-
+]+') AS w FROM documents
+),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, chr(32))]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], chr(32)))) END AS s
+  FROM words
+),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+),
+reached AS (
+  SELECT doc_id AS start, doc_id AS node FROM documents
+  UNION SELECT start, b FROM reached JOIN links ON node = a
+),
+components AS (SELECT start AS doc_id, min(node) AS component_id FROM reached GROUP BY start)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN components USING (doc_id)
+"""
+
+LINES = rf"""
+WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT doc_id, spot, line, array_to_string(w, ' ') AS norm, len(w) AS n FROM (
+    SELECT doc_id, spot, line, regexp_extract_all({_LOWER.format("line")}, '[^\x20\x09-\x0D]+') AS w FROM (
+      SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS spot FROM split))
+),
+summed AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY spot) AS done FROM lines),
+bodies AS (SELECT doc_id, list(norm ORDER BY spot) AS norms FROM lines GROUP BY doc_id),
+runs AS (
+  SELECT a.doc_id, a.spot AS first, min(b.spot) AS last FROM summed a JOIN summed b
+    ON a.doc_id = b.doc_id AND b.spot >= a.spot AND b.done - a.done + a.n >= {MIN_WORDS} GROUP BY a.doc_id, a.spot
+  UNION
+  SELECT b.doc_id, max(a.spot), b.spot FROM summed a JOIN summed b
+    ON a.doc_id = b.doc_id AND b.spot >= a.spot AND b.done - a.done + a.n >= {MIN_WORDS} GROUP BY b.doc_id, b.spot
+),
+placed AS (
+  SELECT doc_id, first, last, min((doc_id, first, last)) OVER (PARTITION BY norms[first : last]) AS source
+  FROM runs JOIN bodies USING (doc_id)
+),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS spot FROM placed
+  WHERE source[1] <> doc_id OR first > source[3]
+),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY spot) AS text
+  FROM lines ANTI JOIN gone USING (doc_id, spot) GROUP BY doc_id
+)
+SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+_DIGITS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+_BITS = (
+    "array_to_string(list_transform(range(1, 41), "
+    "lambda i: right(bin(strpos('0123456789abcdef', substr(h, i, 1)) + 15), 4)), '')"
+)
+
+WARC = f"""
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
+),
+bits AS (SELECT *, {_BITS} AS bits, min(page_id) OVER (PARTITION BY body) AS first FROM payloads)
+SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr({_DIGITS}, ('0b' || substr(bits, 5 * i + 1, 5))::INT + 1, 1)), '')
+    AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to,
+  NULL::VARCHAR AS error
+FROM bits
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": NEAR_DUPLICATES,
+    "op2_warc_round_trip": WARC,
+    "op3_license_scan": LICENSES,
+    "op9_line_dedup": LINES,
+}
