@@ -12,7 +12,7 @@ all other steps cover all rows.
 
 Defined results: a null text is empty, and an empty text has no evidence, so its site's rate decides. Null
 sites share the site ''. Labels with a null id or value are left out; of several labels of one id the worst
-counts. A trait with no label, or labels of one kind only, is never a reason to reject. Repeated rows are
+counts, and of several texts the first in order is learned from. A trait with no label, or labels of one kind only, is never a reason to reject. Repeated rows are
 decided each. An empty table gives no rows. Other columns are passed on untouched, whatever their names.
 """
 
@@ -135,7 +135,10 @@ def fit_traits(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, s
     """Classifiers of both traits from a bounded sample. The driver gets the sample's figures and word counts."""
     chosen = labels.orderBy(F.xxhash64("label_id"), "label_id").limit(sample_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text"))
-    sample = rows.join(F.broadcast(chosen), "label_id").select("label_id", "text", *TRAITS)
+    chosen = F.broadcast(chosen)  # at most sample_rows
+    # One text per id keeps the sample bounded however often an id stands; it is read three times.
+    texts = rows.join(chosen.select("label_id"), "label_id", "left_semi").groupBy("label_id").agg(F.min("text").alias("text"))
+    sample = StoredTable(texts.join(chosen, "label_id").select("label_id", "text", *TRAITS), "sample").df
 
     def word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
