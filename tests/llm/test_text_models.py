@@ -286,3 +286,22 @@ def test_pipeline_stages_hold_on_their_own_input(spark):
         packing.CAPACITY,
     )
     assert before.where("n_chars <> length(text)").count() == 0
+
+
+def test_pipeline_stages_take_odd_rows(spark):
+    """Nulls, empty texts, repeated rows, clashing names and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, band array<int>, c1 string"
+    rows = [
+        (1, None, None, None, None, None, None, None),
+        (None, "some words that nobody else has", "en", "s", 31, True, [1], "x"),
+        (2, "", "", "", 0, False, [], ""),
+        (3, "twice the same row", "en", "s", 18, None, None, "y"),
+        (3, "twice the same row", "en", "s", 18, None, None, "y"),
+    ]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            docs = corpus_pipeline.store(stage(spark, docs, FOLDER), name)
+            assert docs.count() == n, name
+            if name != "best_fit_packing":
+                assert docs.schema.simpleString().split("<", 1)[1] == spark.createDataFrame([], schema).schema.simpleString().split("<", 1)[1]
