@@ -13,13 +13,13 @@ full sets confirm it:
 1. Each class is compared with the class it shares most bands with as their smallest member, which joins
    the copies of a group; confirmed links make components.
 2. Bands whose members are still in different components are searched completely. A band of up to
-   ``GROUP`` members is searched in one task, in blocks, by the agreement of whole sketches (``ESTIMATE``
-   lies five standard deviations below the threshold). A larger one is cut by further bands: its members
+   ``GROUP`` members is searched in one task, in blocks: pairs whose whole sketches agree in a share of
+   ``ESTIMATE`` (five standard deviations below the threshold) are confirmed there on full sets, until the
+   band's components are joined or all pairs are refused. A larger band is cut by further bands: its members
    meet again if they also share a second band, then a third. Two sets of similarity 0.75 share 11 bands
-   on average. No band is capped; after ``LEVELS`` cuts the members that are left agree in so many
-   coordinates that they were joined in the first step, or they are compared all the same.
+   on average. No band is capped; what is left after ``LEVELS`` cuts is searched whatever its size.
 
-Only links between different components are confirmed in the second step, as links inside one change
+Only links between different components are looked for in the second step, as links inside one change
 nothing. Copies are never expanded into pairs.
 
 Words are runs of anything but ASCII white space, A-Z in lower case. Defined results: a text with fewer
@@ -45,11 +45,16 @@ SHINGLE = 5
 SIMILAR = 75  # per cent
 BANDS, ROWS = 64, 6
 BINS = BANDS * ROWS
+#: Classes, and shingles of all together, that a group is searched with in one task.
 GROUP = 2_000
+GROUP_SHINGLES = 8_000_000
 ESTIMATE = 0.75 - 5 * 0.022
 LEVELS = 3
 #: Ids sent to all tasks; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows and shingles that a worker holds at once.
+ROWS_AT_ONCE = 512
+SHINGLES_AT_ONCE = 1 << 19
 _BLOCK = 4096
 
 
@@ -92,41 +97,56 @@ def _shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield a + k, shingle_hashes(words[bounds[k] : bounds[k + 1]], SHINGLE)
 
 
-def set_key(shingles: np.ndarray) -> int:
-    return int(mix(mix(shingles, 71).sum(dtype=np.uint64, keepdims=True))[0].astype(np.int64))
+def _set_hash(shingles: np.ndarray, seed: int) -> int:
+    """A hash of the set that does not depend on order."""
+    return int(mix(mix(shingles, seed).sum(dtype=np.uint64, keepdims=True))[0].astype(np.int64))
 
 
 SKETCHES = "id long, n long, set_key long, set_check long, bands array<bigint>, bytes binary"
 
 
+def _in_parts(column: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """Row ranges of a batch with their shingle sets, a bounded number at a time."""
+    sets, first, held = [], 0, 0
+    for row, shingles in _shingle_sets(column):
+        sets.append(shingles)
+        held += len(shingles)
+        if len(sets) >= ROWS_AT_ONCE or held >= SHINGLES_AT_ONCE:
+            yield first, row + 1, sets
+            sets, first, held = [], row + 1, 0
+    if sets:
+        yield first, first + len(sets), sets
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    """Arrays as one Arrow list column, without Python numbers."""
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    values = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
+
+
 def sketch_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``SKETCHES`` of every row: set size, two hashes of the set, band keys, and a byte per coordinate."""
+    none = np.zeros(0, np.uint64)
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, checks, sketches = [], [], [], []
-            for _, shingles in _shingle_sets(batch.column(1)):
-                n.append(len(shingles))
-                keys.append(set_key(shingles))
-                checks.append(int(mix(mix(shingles, 73).sum(dtype=np.uint64, keepdims=True))[0].astype(np.int64)))
-                sketches.append(sketch(shingles) if len(shingles) else np.zeros(BINS, np.uint64))
-            if not n:
-                continue
-            table = np.array(sketches)
-            bands = band_keys(table).view(np.int64)
-            low = (mix(table, 79) & np.uint64(0xFF)).astype(np.uint8)
-            used = np.array(n) > 0
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(n, pa.int64()),
-                    pa.array(keys, pa.int64()),
-                    pa.array(checks, pa.int64()),
-                    pa.array([b if u else [] for b, u in zip(bands.tolist(), used)], pa.list_(pa.int64())),
-                    pa.array([r.tobytes() if u else b"" for r, u in zip(low, used)], pa.binary()),
-                ],
-                names=["id", "n", "set_key", "set_check", "bands", "bytes"],
-            )
+            for a, b, sets in _in_parts(batch.column(1)):
+                used = [len(s) > 0 for s in sets]
+                table = np.array([sketch(s) if len(s) else np.zeros(BINS, np.uint64) for s in sets])
+                bands = band_keys(table)
+                low = (mix(table, 79) & np.uint64(0xFF)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(a, b - a),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([_set_hash(s, 71) for s in sets], pa.int64()),
+                        pa.array([_set_hash(s, 73) for s in sets], pa.int64()),
+                        _lists([k if u else none for k, u in zip(bands, used)]),
+                        pa.array([r.tobytes() if u else b"" for r, u in zip(low, used)], pa.binary()),
+                    ],
+                    names=["id", "n", "set_key", "set_check", "bands", "bytes"],
+                )
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(measure, SKETCHES)
 
@@ -135,22 +155,27 @@ def _few(df: DataFrame) -> bool:
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Those of ``pairs`` (``a``, ``b``) whose full sets are similar enough.
-
-    The sets are made anew for the documents concerned only. Each pair carries one of its two sets through
-    one shuffle; a document with many pairs is split by adaptive execution.
-    """
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+def stored_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, shingles`` of the documents in ``ids``, made anew from their texts and stored."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     own = rows.join(F.broadcast(ids) if _few(ids) else ids, "id", "left_semi")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s.view(np.int64).tolist() for _, s in _shingle_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
+            for a, b, found in _in_parts(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(found)], names=["id", "shingles"])
+
+    return StoredTable(own.mapInArrow(sets, "id long, shingles array<bigint>"), "sets").df
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Those of ``pairs`` (``a``, ``b``; at most one per ``b``) whose full sets are similar enough.
 
-    stored = StoredTable(own.mapInArrow(sets, "id long, shingles array<bigint>"), "sets").df
+    Each pair carries one of its two sets through one shuffle; a document with many pairs is split by
+    adaptive execution.
+    """
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    stored = stored_sets(docs, ids, id_col, text_col)
     left = stored.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = stored.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -189,61 +214,105 @@ def _first_pairs(keyed: DataFrame) -> DataFrame:
 
 
 def _open_groups(keyed: DataFrame, component: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` (``band, id, n``) with their component, for bands held by several components."""
+    """Rows of ``keyed`` (``band, path, id, n``) with their component, for bands held by several components."""
     labelled = keyed.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = (
         labelled.groupBy("band")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"),
+             F.count("*").alias("members"), F.sum("n").alias("shingles"))
         .where("low <> high")
-        .select("band", "members")
+        .select("band", "members", "shingles")
     )
     return labelled.join(mixed, "band")
 
 
-def _search_group(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one band that lie in different components and whose sketches agree well enough."""
-    frame = frame.sort_values("id", kind="stable")
+def _candidates(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Per row of a group the later rows in other components whose sketches agree well enough.
+
+    Every pair belongs to one group only, the one whose bands are the first that the pair shares.
+    """
     ids, component, n = (frame[c].to_numpy() for c in ("id", "component", "n"))
+    path = frame["path"].iloc[0]
+    # A pair shares the bands of the path; it belongs here if it shares no other up to the last of them.
+    bands = np.stack(frame["bands"].to_numpy())[:, : path[-1] + 1]
     table = np.frombuffer(b"".join(frame["bytes"]), np.uint8).reshape(len(frame), BINS)
-    out_a, out_b = [], []
     for i in range(len(frame) - 1):
-        others = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
+        others = np.flatnonzero((component[i + 1 :] != component[i]) & (ids[i + 1 :] != ids[i])) + i + 1
         low, high = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
         others = others[100 * low >= SIMILAR * high]
+        others = others[(bands[others] == bands[i]).sum(axis=1) == len(path)]
         if len(others):
             others = others[(table[others] == table[i]).mean(axis=1) >= ESTIMATE]
-            out_a.append(np.full(len(others), ids[i]))
-            out_b.append(ids[others])
-    none = np.zeros(0, np.int64)
-    return pd.DataFrame({"a": np.concatenate(out_a or [none]), "b": np.concatenate(out_b or [none])}).query("a != b")
+            if len(others):
+                yield i, others
+
+
+def _mark_group(frame: pd.DataFrame) -> pd.DataFrame:
+    """The members of a group that stand in a candidate pair."""
+    frame = frame.sort_values("id", kind="stable")
+    marked = np.zeros(len(frame), bool)
+    for i, others in _candidates(frame):
+        marked[i] = marked[others] = True
+    return frame.loc[marked, ["band", "id"]].drop_duplicates()
 
 
-def _remaining_pairs(keyed: DataFrame, classes: DataFrame, component: DataFrame, group: int = GROUP) -> DataFrame:
-    """Candidate pairs between components, complete over all bands."""
-    spark = keyed.sparkSession
+def _link_group(frame: pd.DataFrame) -> pd.DataFrame:
+    """Links between components of a group, each confirmed on full sets; no more than join its components."""
+    frame = frame.sort_values("id", kind="stable")
+    ids, component, sets = (frame[c].to_numpy() for c in ("id", "component", "shingles"))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    links = []
+    for i, others in _candidates(frame):
+        for j in others.tolist():
+            if root(component[i]) != root(component[j]):
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= SIMILAR * (len(sets[i]) + len(sets[j]) - both):
+                    parent[root(component[j])] = root(component[i])
+                    links.append((ids[i], ids[j]))
+    return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+
+def _remaining_links(
+    docs: DataFrame, classes: DataFrame, component: DataFrame, group: int, id_col: str, text_col: str
+) -> DataFrame:
+    """Links between components, searched for completely over all bands.
+
+    Pairs are formed and confirmed inside a group's task and never leave it; full sets are sent only to
+    groups, and only of members, that hold a candidate pair.
+    """
+    spark = classes.sparkSession
     found = spark.createDataFrame([], "a long, b long")
-    narrow = classes.select("id", "bytes")
-    level = keyed
+    bands = classes.select("id", F.posexplode("bands").alias("number", "key"), "n")
+    level = bands.select(F.col("key").alias("band"), F.array("number").alias("path"), "id", "n")
     for depth in range(LEVELS + 1):
         rows = StoredTable(_open_groups(level, component), "open-bands").df
+        large = (F.col("members") > group) | (F.col("shingles") > GROUP_SHINGLES)
         # The last level is searched whatever its groups' sizes.
-        within = rows if depth == LEVELS else rows.where(F.col("members") <= group)
-        searched = (
-            within.join(narrow, "id")
-            .select("band", "id", "n", "component", "bytes")
-            .groupBy("band")
-            .applyInPandas(_search_group, "a long, b long")
+        within = rows if depth == LEVELS else rows.where(~large)
+        within = within.join(classes.select("id", "bands", "bytes"), "id").select(
+            "band", "path", "id", "n", "component", "bands", "bytes"
         )
-        found = found.unionByName(searched)
-        if depth == LEVELS:
-            break
-        large = rows.where(F.col("members") > group).select("band", "id", "n")
-        if not large.limit(1).count():
+        marked = StoredTable(within.groupBy("band").applyInPandas(_mark_group, "band long, id long"), "marked").df
+        if marked.limit(1).count():
+            sets = stored_sets(docs, marked.select("id").distinct(), id_col, text_col)
+            members = within.join(marked, ["band", "id"], "left_semi").join(sets, "id")
+            found = found.unionByName(members.groupBy("band").applyInPandas(_link_group, "a long, b long"))
+        large_rows = rows.where(large).select("band", "path", "id")
+        if depth == LEVELS or not large_rows.limit(1).count():
             break
-        bands = classes.select("id", F.posexplode("bands").alias("number", "key"))
         # Members meet again where they share one more band.
-        level = large.join(bands, "id").where("band <> key").select(F.xxhash64("band", "key").alias("band"), "id", "n").distinct()
-    return found.distinct()
+        level = (
+            large_rows.join(bands, "id")
+            .where(F.col("number") > F.element_at("path", -1))
+            .select(F.xxhash64("band", "key").alias("band"), F.concat("path", F.array("number")).alias("path"), "id", "n")
+        )
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
@@ -268,8 +337,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = confirm(docs, StoredTable(_first_pairs(keyed), "pairs").df, id_col, text_col)
     links = StoredTable(first, "links").df
     component = connected_components(links).select(F.col("node").alias("id"), "component")
-    # Bands that one class alone holds need no further look.
-    more = confirm(docs, StoredTable(_remaining_pairs(keyed, classes, component, group), "pairs").df, id_col, text_col)
+    more = _remaining_links(docs, classes, component, group, id_col, text_col)
     edges = links.unionByName(more).unionByName(copies.select("a", "b"))
     final = connected_components(edges)
     final = F.broadcast(final) if _few(final) else final
