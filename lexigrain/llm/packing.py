@@ -30,22 +30,32 @@ END_ID = 0
 ITEMS_PER_TASK = 200_000
 #: A bin with at most this share of its room left is final before the last level.
 NEARLY_FULL = 0.01
-#: Words kept with their ids in each worker.
+#: Words kept with their ids in each worker, and the longest of them.
 MEMO_WORDS = 400_000
+MEMO_LENGTH = 40
 #: White space of the tokenizer's own splitting rule (Unicode White_Space); a token never starts before
 #: such a run and ends inside it with text on both sides, so texts may be cut where a run begins.
 BLANKS = "\t-\r \x85\xa0  -     　"
 _CHUNKS = re.compile(f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
-_FIELDS = ("doc_id", "piece", "start", "length", "ids_crc32", "is_null")
+#: A letter, then ASCII characters up to the end that are neither letters, digits nor apostrophes.
+_CLOSING = re.compile(r"[^\W\d_](?=[!-&(-/:-@\[-`{-~]+\Z)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BINS = "fill int, members binary, done boolean, sequence_id long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
+def byte_alphabet() -> dict[int, str]:
+    """Byte-level spelling: printable bytes stand for themselves, the others for characters from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 class WordEncoder:
     """Token ids as little-endian 32-bit bytes, with a memo of the words seen by this worker."""
 
     _shared: dict[int, WordEncoder] = {}
+    _spelling = byte_alphabet()
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,21 +72,33 @@ class WordEncoder:
             cls._shared[key] = cls(definition)
         return cls._shared[key]
 
+    def _encode_word(self, word: str) -> bytes:
+        """Ids of a stretch between blanks. Letters end a token where other characters follow, but for an
+        apostrophe, so closing punctuation is encoded by itself and most words are letters only."""
+        letters = word[1:] if word[0] == " " else word
+        if letters.isalpha():
+            spelled = word.encode("utf-8", "replace").decode("latin-1").translate(self._spelling)
+            return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+        if tail := _CLOSING.search(word):
+            return self._lookup(word[: tail.start() + 1]) + self._lookup(word[tail.start() + 1 :])
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _lookup(self, word: str) -> bytes:
+        ids = self.memo.get(word)
+        if ids is None:
+            ids = self._encode_word(word)
+            if len(word) <= MEMO_LENGTH:
+                if len(self.memo) >= MEMO_WORDS:
+                    self.memo.clear()
+                self.memo[word] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         parts = []
         words = (m.group() for m in _CHUNKS.finditer(text))
         while block := list(itertools.islice(words, 50_000)):
-            memo = self.memo
-            if new := [w for w in set(block) if w not in memo]:
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                    new = list(set(block))
-                for word, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    memo[word] = np.array(encoding.ids, "<u4").tobytes()
-            parts.append(b"".join([memo[w] for w in block]))
-            for word in new:
-                if len(word) > 64:
-                    del memo[word]
+            known = self.memo.get
+            parts.append(b"".join([known(w) or self._lookup(w) for w in block]))
         return b"".join(parts)
 
 
