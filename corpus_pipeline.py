@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexigrain.llm import decontaminate, linededup, minhash, packing, sitequality
-from lexigrain.llm.queries import table, tokenizer_definition
+from lexigrain.llm.queries import bound_batches, table, tokenizer_definition
 from lexigrain.storage import store
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,6 +20,7 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the runs of lines that stand earlier; documents that lose every line go."""
+    bound_batches(spark)
     left = linededup.dedup_lines(docs)
     if "n_chars" not in docs.columns:
         return left
@@ -28,6 +29,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near copies."""
+    bound_batches(spark)
     return minhash.keep_one_each(docs)
 
 
@@ -38,6 +40,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2,048 ids: where each piece of a document stands."""
+    bound_batches(spark)
     return packing.pack_documents(docs, tokenizer_definition())
 
 

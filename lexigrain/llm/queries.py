@@ -21,7 +21,19 @@ from lexigrain.llm import (
 )
 
 
+#: Rows that Spark hands to Python at once; batches of texts are then a few megabytes, not tens of them.
+ROWS_PER_BATCH = 1_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch size if it is larger, as whole texts travel in these batches."""
+    if not 0 < int(spark.conf.get(_BATCH_SETTING)) <= ROWS_PER_BATCH:
+        spark.conf.set(_BATCH_SETTING, str(ROWS_PER_BATCH))
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
