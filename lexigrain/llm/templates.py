@@ -55,6 +55,9 @@ FRAME_WORDS = frozenset(
     "replies respond related recommended recommendations widget widgets toolbar pagination pager skip".split()
 )
 STATES = frozenset("has with no without is not".split())
+# With one of the first, the second name the article's own heading.
+ARTICLE_WORDS = frozenset("article content entry post story".split())
+HEADINGS = frozenset("header masthead banner".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 # Elements that close an open paragraph, and elements that end others of their kind.
 _CLOSES_P = frozenset(
@@ -70,11 +73,20 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute: its whole name and its value, so that no part of a value is taken for a name.
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[a-z]+")
 _END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 
 
+def _names_frame(words: set[str]) -> bool:
+    """Whether a class name or id, given by its words, is that of a frame."""
+    # ``content-with-sidebar`` tells what an element contains or lacks, ``article-header`` a part of the article.
+    if not STATES.isdisjoint(words):
+        return False
+    return not FRAME_WORDS.isdisjoint(words - HEADINGS if not ARTICLE_WORDS.isdisjoint(words) else words)
+
+
 def _frames(tag: str, rest: str) -> bool:
     """Whether an element frames the article rather than being part of it."""
     if tag in FRAME_TAGS:
@@ -82,16 +94,13 @@ def _frames(tag: str, rest: str) -> bool:
     if tag in ("body", "html", "main") or not rest:
         return False
     for name, *values in _ATTRIBUTE.findall(rest):
-        value = "".join(values).lower()
-        if name.lower() == "hidden" or name.lower() == "aria-hidden" and value == "true":
+        name, value = name.lower(), "".join(values).lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return True
+        if name == "role" and value in FRAME_ROLES:
             return True
-        if name.lower() == "role" and value in FRAME_ROLES:
+        if name in ("class", "id") and any(_names_frame(set(_NAME.findall(v))) for v in value.split()):
             return True
-        if name.lower() in ("class", "id"):
-            # ``has-sidebar`` and the like tell what an element contains or lacks, not what it is.
-            own = (_NAME.findall(v) for v in value.split())
-            if any(words and words[0] not in STATES and not FRAME_WORDS.isdisjoint(words) for words in own):
-                return True
     return False
 
 

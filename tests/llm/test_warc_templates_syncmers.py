@@ -58,6 +58,22 @@ def test_pages_become_their_article(spark):
     assert templates.extract_main_text(pages.limit(0)).count() == 0
 
 
+def article_text(page):
+    return " ".join(t for _, t, framed, inside in templates.page_blocks(page)[0] if inside and not framed)
+
+
+def test_only_whole_attributes_frame():
+    kept = (
+        'style="overflow:hidden"', 'title="The hidden valley"', 'data-id="menu-7"', "data-class=menu data-hidden", "href=/v?id=menu",
+        'title=\'class="menu"\'', 'class="content-with-sidebar"', "class=article-header", 'class="page-no-ads"', 'aria-hidden="false"',
+    )
+    for attributes in kept:
+        assert article_text(f"<article><div {attributes}>in</div> text</article>") == "in text", attributes
+    assert article_text('<article><a href="/view?id=menu">in</a> text</article>') == "in text"
+    for attributes in ("hidden", "HIDDEN=''", 'a="x"hidden', "class = 'big menu'", "ID=menu-7", "role=search", "aria-hidden=true", "class=article-sidebar"):
+        assert article_text(f"<article><div {attributes}>in</div> text</article>") == "text", attributes
+
+
 def test_closed_syncmers_are_context_free():
     rng = np.random.default_rng(1)
     text = rng.integers(97, 103, 400).astype(np.uint32)
