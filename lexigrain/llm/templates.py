@@ -11,8 +11,8 @@ a page fills its slots.
 
 Which slots are the article follows from where they stand: if a page marks its article (``article``,
 ``main``), the slots in it are the main text; else all slots outside menus, headers, footers, sidebars,
-forms, adverts, notices and comments are. Text of a marked article always fills a slot, as an article that
-several pages share is still an article; copies of a page count as one page, so that they make no template.
+forms, adverts, notices and comments are. Pages with the same article count as one page, so that copies make
+no template, and an article that is template as a whole is kept, as an article that pages share is still one.
 
 Defined results: a null page is empty and has empty text. A null address has the host ''. Repeated rows and
 ids are extracted each. An empty table gives no rows. Only key, address and page are read.
@@ -25,6 +25,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -176,6 +177,16 @@ def _digest(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
+@lru_cache(1 << 14)
+def _path_digest(path: str) -> int:
+    """Pages repeat few paths."""
+    return _digest(path)
+
+
+def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url.cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
@@ -195,18 +206,16 @@ def page_tokens(pages: DataFrame, url: Column, page: Column) -> DataFrame:
             rows = []
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1)):
                 blocks, tags = page_blocks(source.as_py() or "")
-                number = _digest(*([t for _, t, _, inside in blocks if inside] or [t for _, t, _, _ in blocks]))
-                texts = Counter((path, text) for path, text, _, inside in blocks if not inside)
-                for path, n in tags.items():
-                    rows.append({"host": host, "page": number, "token": _digest(path), "path": path, "is_tag": True, "n": n})
-                for (path, text), n in texts.items():
-                    row = {"host": host, "page": number, "token": _digest(path, text), "path": path, "is_tag": False, "n": n}
-                    rows.append(row)
+                article = [t for _, t, framed, inside in blocks if inside and not framed]
+                number = _digest(*(article or [t for _, t, _, _ in blocks]))
+                texts = Counter((path, text) for path, text, _, _ in blocks)
+                rows += [(host, number, _path_digest(path), path, True, n) for path, n in tags.items()]
+                rows += [(host, number, _digest(path, text), path, False, n) for (path, text), n in texts.items()]
                 if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    yield _columns(rows, schema)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                yield _columns(rows, schema)
 
     return pages.select(host_of(url).alias("host"), page.cast("string").alias("page")).mapInArrow(tokenize, TOKENS)
 
@@ -260,11 +269,11 @@ def extract_main_text(
             texts = []
             for source, fixed in zip(batch.column(2), batch.column(3)):
                 blocks, _ = page_blocks(source.as_py() or "")
-                article = [text for _, text, framed, inside in blocks if inside and not framed]
-                if not article:
-                    known = set(fixed.as_py() or ())
-                    article = [t for path, t, framed, _ in blocks if not framed and _digest(path, t) not in known]
-                texts.append(" ".join(article))
+                known = set(fixed.as_py() or ())
+                article = [(path, text) for path, text, framed, inside in blocks if inside and not framed]
+                found = article or [(path, text) for path, text, framed, _ in blocks if not framed]
+                slots = [text for path, text in found if not known or _digest(path, text) not in known]
+                texts.append(" ".join(slots or [text for _, text in article]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["key", "url", "text"]
             )

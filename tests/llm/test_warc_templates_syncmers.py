@@ -58,6 +58,25 @@ def test_pages_become_their_article(spark):
     assert templates.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_template_is_cut_from_marked_articles(spark):
+    def page(story, notice="<div><p>Join our list</p></div>"):
+        return f"<main><h1>Daily</h1><article><p>{story}</p>{notice}</article></main>"
+
+    rows = [(i, f"http://h.org/{i}", page(f"story {i}")) for i in range(6)]
+    # Copies of one article are one page and stay; so does an article that is template as a whole.
+    rows += [(10 + i, f"http://c.org/{i}", page("shared", f"<aside>{i}</aside>")) for i in range(5)]
+    rows += [(20 + i, f"http://c.org/o{i}", page(f"other {i}", "")) for i in range(2)]
+    rows += [(30, "http://h.org/bare", page("", "<div><p>Join our list</p></div>"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.key: r.text for r in templates.extract_main_text(pages).collect()}
+    assert got == {
+        **{i: f"story {i}" for i in range(6)},
+        **{10 + i: "shared" for i in range(5)},
+        **{20 + i: f"other {i}" for i in range(2)},
+        30: "Daily Join our list",
+    }
+
+
 def article_text(page):
     return " ".join(t for _, t, framed, inside in templates.page_blocks(page)[0] if inside and not framed)
 
