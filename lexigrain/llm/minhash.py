@@ -13,11 +13,12 @@ full sets confirm it:
 1. Each class is compared with the class it shares most bands with as their smallest member, which joins
    the copies of a group; confirmed links make components.
 2. Bands whose members are still in different components are searched completely. A band of up to
-   ``GROUP`` members is searched in one task, in blocks: pairs whose whole sketches agree in a share of
-   ``ESTIMATE`` (five standard deviations below the threshold) are confirmed there on full sets, until the
-   band's components are joined or all pairs are refused. A larger band is cut by further bands: its members
-   meet again if they also share a second band, then a third. Two sets of similarity 0.75 share 11 bands
-   on average. No band is capped; what is left after ``LEVELS`` cuts is searched whatever its size.
+   ``GROUP`` members is searched in one task: pairs whose whole sketches agree in a share of ``ESTIMATE``
+   (five standard deviations below the threshold) are confirmed there on full sets, until the band's
+   components are joined or all pairs are refused. Members of a larger band are first compared with a few
+   leaders, and components are contracted after each. What is still apart is dealt into blocks, a task for
+   each pair of blocks, so that every pair between components is searched and no task holds more than
+   about two thirds of ``GROUP`` members and ``GROUP_SHINGLES``. Two blocks of one component are not compared.
 
 Only links between different components are looked for in the second step, as links inside one change
 nothing. Copies are never expanded into pairs.
@@ -49,7 +50,8 @@ BINS = BANDS * ROWS
 GROUP = 2_000
 GROUP_SHINGLES = 8_000_000
 ESTIMATE = 0.75 - 5 * 0.022
-LEVELS = 3
+#: Leaders that the members of larger groups are compared with before these are dealt into blocks.
+LEADERS = 3
 #: Ids sent to all tasks; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Rows and shingles that a worker holds at once.
@@ -193,17 +195,19 @@ def _sizes_fit(a: str, b: str):
     return 100 * F.least(a, b) >= SIMILAR * F.greatest(a, b)
 
 
-def _first_pairs(keyed: DataFrame) -> DataFrame:
-    """For each class the smallest member it shares most bands with: ``a`` (that member), ``b``."""
+def _first_pairs(keyed: DataFrame, order) -> DataFrame:
+    """For each class, of the first members by ``order`` in its bands and in other components, the one
+    it shares most bands with: ``a`` (that member), ``b``."""
     leaders = (
         keyed.groupBy("band")
-        .agg(F.min(F.struct("id", "n")).alias("lead"), F.max("id").alias("top"))
-        .where("lead.id <> top")
+        .agg(F.min_by(F.struct("id", "n", "component"), order).alias("lead"),
+             F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low <> high")
         .select("band", "lead")
     )
     return (
         keyed.join(leaders, "band")
-        .where((F.col("id") != F.col("lead.id")) & _sizes_fit("n", "lead.n"))
+        .where((F.col("component") != F.col("lead.component")) & (F.col("id") != F.col("lead.id")) & _sizes_fit("n", "lead.n"))
         .groupBy("id", "lead.id")
         .agg(F.count("*").alias("shared"))
         .toDF("b", "a", "shared")
@@ -214,7 +218,7 @@ def _first_pairs(keyed: DataFrame) -> DataFrame:
 
 
 def _open_groups(keyed: DataFrame, component: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` (``band, path, id, n``) with their component, for bands held by several components."""
+    """Rows of ``keyed`` (``band, number, id, n``) with their component, for bands held by several components."""
     labelled = keyed.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = (
         labelled.groupBy("band")
@@ -226,21 +230,52 @@ def _open_groups(keyed: DataFrame, component: DataFrame) -> DataFrame:
     return labelled.join(mixed, "band")
 
 
+MEMBER = ("band", "number", "id", "n", "component")
+
+
+def _dealt(rows: DataFrame, group: int) -> DataFrame:
+    """``MEMBER`` rows of groups of any size with ``task`` and ``side``, for every pair of a group's blocks.
+
+    A component that fills several blocks has them for itself, so that none is compared with another.
+    Sides 1 and 2 are compared with each other, side 0 with itself.
+    """
+    parts = F.ceil(F.greatest(F.col("m") / max(1, group // 3), F.col("s") / (GROUP_SHINGLES // 3)))
+    count = (F.sum("m").alias("m"), F.sum("s").alias("s"))
+    counted = rows.select(*MEMBER, F.lit(1).alias("m"), F.col("n").alias("s")).groupBy("band", "component").agg(*count)
+    counted = counted.withColumn("owned", parts > 1).withColumn("owner", F.when(F.col("owned"), F.col("component")).otherwise(0))
+    shares = counted.groupBy("band", "owned", "owner").agg(*count).withColumn("parts", parts)
+    place = counted.select("band", "component", "owned", "owner").join(
+        shares.select("band", "owned", "owner", "parts"), ["band", "owned", "owner"]
+    )
+    block = F.struct("owned", "owner", F.pmod(F.xxhash64("id"), F.col("parts")).alias("slot")).alias("block")
+    members = rows.select(*MEMBER).join(place, ["band", "component"]).select(*MEMBER, block)
+    slots = shares.select("band", "owned", "owner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("slot"))
+    low = slots.select("band", F.struct("owned", "owner", "slot").alias("x"))
+    tasks = low.join(low.withColumnRenamed("x", "y"), "band").where(
+        (F.col("x") <= F.col("y")) & ~(F.col("x.owned") & F.col("y.owned") & (F.col("x.owner") == F.col("y.owner")))
+    )
+    tasks = tasks.withColumn("task", F.xxhash64("x", "y"))
+    sides = tasks.select("band", "task", F.col("x").alias("block"), F.when(F.col("x") == F.col("y"), 0).otherwise(1).alias("side"))
+    sides = sides.unionByName(tasks.where("x <> y").select("band", "task", F.col("y").alias("block"), F.lit(2).alias("side")))
+    return members.join(sides, ["band", "block"]).select(*MEMBER, "task", "side")
+
+
 def _candidates(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    """Per row of a group the later rows in other components whose sketches agree well enough.
+    """Per row of a task the later rows in other components whose sketches agree well enough.
 
-    Every pair belongs to one group only, the one whose bands are the first that the pair shares.
+    Every pair belongs to one group only, that of the first band which the pair shares.
     """
-    ids, component, n = (frame[c].to_numpy() for c in ("id", "component", "n"))
-    path = frame["path"].iloc[0]
-    # A pair shares the bands of the path; it belongs here if it shares no other up to the last of them.
-    bands = np.stack(frame["bands"].to_numpy())[:, : path[-1] + 1]
+    ids, component, n, side = (frame[c].to_numpy() for c in ("id", "component", "n", "side"))
+    bands = np.stack(frame["bands"].to_numpy())[:, : frame["number"].iloc[0] + 1]
     table = np.frombuffer(b"".join(frame["bytes"]), np.uint8).reshape(len(frame), BINS)
     for i in range(len(frame) - 1):
-        others = np.flatnonzero((component[i + 1 :] != component[i]) & (ids[i + 1 :] != ids[i])) + i + 1
+        apart = (component[i + 1 :] != component[i]) & (ids[i + 1 :] != ids[i])
+        if side[i]:
+            apart &= side[i + 1 :] != side[i]
+        others = np.flatnonzero(apart) + i + 1
         low, high = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
         others = others[100 * low >= SIMILAR * high]
-        others = others[(bands[others] == bands[i]).sum(axis=1) == len(path)]
+        others = others[(bands[others] == bands[i]).sum(axis=1) == 1]
         if len(others):
             others = others[(table[others] == table[i]).mean(axis=1) >= ESTIMATE]
             if len(others):
@@ -248,16 +283,16 @@ def _candidates(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _mark_group(frame: pd.DataFrame) -> pd.DataFrame:
-    """The members of a group that stand in a candidate pair."""
+    """The members of a task that stand in a candidate pair."""
     frame = frame.sort_values("id", kind="stable")
     marked = np.zeros(len(frame), bool)
     for i, others in _candidates(frame):
         marked[i] = marked[others] = True
-    return frame.loc[marked, ["band", "id"]].drop_duplicates()
+    return frame.loc[marked, ["band", "task", "id"]].drop_duplicates()
 
 
 def _link_group(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links between components of a group, each confirmed on full sets; no more than join its components."""
+    """Links between components of a task, each confirmed on full sets; no more than join its components."""
     frame = frame.sort_values("id", kind="stable")
     ids, component, sets = (frame[c].to_numpy() for c in ("id", "component", "shingles"))
     parent: dict[int, int] = {}
@@ -283,35 +318,35 @@ def _remaining_links(
 ) -> DataFrame:
     """Links between components, searched for completely over all bands.
 
-    Pairs are formed and confirmed inside a group's task and never leave it; full sets are sent only to
-    groups, and only of members, that hold a candidate pair.
+    Pairs are formed and confirmed inside a task and never leave it; full sets are sent only to tasks,
+    and only of members, that hold a candidate pair.
     """
     spark = classes.sparkSession
     found = spark.createDataFrame([], "a long, b long")
-    bands = classes.select("id", F.posexplode("bands").alias("number", "key"), "n")
-    level = bands.select(F.col("key").alias("band"), F.array("number").alias("path"), "id", "n")
-    for depth in range(LEVELS + 1):
-        rows = StoredTable(_open_groups(level, component), "open-bands").df
-        large = (F.col("members") > group) | (F.col("shingles") > GROUP_SHINGLES)
-        # The last level is searched whatever its groups' sizes.
-        within = rows if depth == LEVELS else rows.where(~large)
-        within = within.join(classes.select("id", "bands", "bytes"), "id").select(
-            "band", "path", "id", "n", "component", "bands", "bytes"
-        )
-        marked = StoredTable(within.groupBy("band").applyInPandas(_mark_group, "band long, id long"), "marked").df
-        if marked.limit(1).count():
-            sets = stored_sets(docs, marked.select("id").distinct(), id_col, text_col)
-            members = within.join(marked, ["band", "id"], "left_semi").join(sets, "id")
-            found = found.unionByName(members.groupBy("band").applyInPandas(_link_group, "a long, b long"))
-        large_rows = rows.where(large).select("band", "path", "id")
-        if depth == LEVELS or not large_rows.limit(1).count():
+    keyed = classes.select("id", F.posexplode("bands").alias("number", "band"), "n")
+    rows = StoredTable(_open_groups(keyed, component), "open-bands").df
+    large = (F.col("members") > group) | (F.col("shingles") > GROUP_SHINGLES)
+    within = rows.where(~large).select(*MEMBER, F.lit(0).cast("long").alias("task"), F.lit(0).alias("side"))
+    apart = rows.where(large).select(*MEMBER)
+    for leader in range(LEADERS):
+        if not apart.limit(1).count():
             break
-        # Members meet again where they share one more band.
-        level = (
-            large_rows.join(bands, "id")
-            .where(F.col("number") > F.element_at("path", -1))
-            .select(F.xxhash64("band", "key").alias("band"), F.concat("path", F.array("number")).alias("path"), "id", "n")
-        )
+        pairs = StoredTable(_first_pairs(apart, F.xxhash64("id", F.lit(leader))), "pairs").df
+        joined = StoredTable(confirm(docs, pairs, id_col, text_col), "links").df
+        found = found.unionByName(joined)
+        joined = joined.unionByName(component.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        component = connected_components(joined).select(F.col("node").alias("id"), "component")
+        apart = StoredTable(_open_groups(apart.drop("component"), component).select(*MEMBER), "open-bands").df
+    if apart.limit(1).count():
+        within = within.unionByName(StoredTable(_dealt(apart, group), "blocks").df)
+    within = within.join(classes.select("id", "bands", "bytes"), "id")
+    marked = StoredTable(
+        within.groupBy("band", "task").applyInPandas(_mark_group, "band long, task long, id long"), "marked"
+    ).df
+    if marked.limit(1).count():
+        sets = stored_sets(docs, marked.select("id").distinct(), id_col, text_col)
+        members = within.join(marked, ["band", "task", "id"], "left_semi").join(sets, "id")
+        found = found.unionByName(members.groupBy("band", "task").applyInPandas(_link_group, "a long, b long"))
     return found
 
 
@@ -332,9 +367,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop = copies.select(F.col("b").alias("id"), "set_key")
     classes = sets.join(F.broadcast(drop) if _few(drop) else drop, ["id", "set_key"], "left_anti")
     classes = StoredTable(classes.select("id", "n", "bands", "bytes"), "classes").df
-    keyed = classes.select(F.explode("bands").alias("band"), "id", "n")
+    keyed = classes.select(F.explode("bands").alias("band"), "id", "n", F.col("id").alias("component"))
 
-    first = confirm(docs, StoredTable(_first_pairs(keyed), "pairs").df, id_col, text_col)
+    first = confirm(docs, StoredTable(_first_pairs(keyed, F.col("id")), "pairs").df, id_col, text_col)
     links = StoredTable(first, "links").df
     component = connected_components(links).select(F.col("node").alias("id"), "component")
     more = _remaining_links(docs, classes, component, group, id_col, text_col)

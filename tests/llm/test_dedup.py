@@ -88,6 +88,36 @@ def test_components_equal_brute_force(spark, group):
             assert (r.component_id, r.kept) == (union.find(r.id), union.find(r.id) == r.id)
 
 
+def test_large_groups_are_searched_completely(spark):
+    """A pair in a large group is found even if it shares no further band."""
+    rng = random.Random(6)
+    texts = {i: " ".join(prose(rng, 60)) for i in range(8)}
+    texts[5] = texts[2] + " more"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = [(i, len(shingles(t)), [7] + [1000 * i + b for b in range(1, minhash.BANDS)], bytes(minhash.BINS)) for i, t in texts.items()]
+    classes = spark.createDataFrame(rows, "id long, n long, bands array<bigint>, bytes binary")
+    component = spark.createDataFrame([], "id long, component long")
+    got = minhash._remaining_links(docs, classes, component, 3, "doc_id", "text").collect()
+    assert {tuple(sorted(r)) for r in got} == {(2, 5)}
+
+
+def test_tasks_of_large_groups_are_bounded(spark):
+    rows = [(9, 0, i, 10, 0 if i < 700 else i // 2) for i in range(1500)] + [(8, 0, i, 10, i) for i in range(5)]
+    group = spark.createDataFrame(rows, "band long, number int, id long, n long, component long")
+    tasks = collections.defaultdict(list)
+    for r in minhash._dealt(group, 200).collect():
+        tasks[r.band, r.task].append(r)
+    assert max(map(len, tasks.values())) <= 200
+    met = collections.Counter()
+    for own in tasks.values():
+        for i, a in enumerate(own):
+            for b in own[:i]:
+                if a.component != b.component and (not a.side or a.side != b.side):
+                    met[a.band, min(a.id, b.id), max(a.id, b.id)] += 1
+    pairs = [(a, b) for i, a in enumerate(rows) for b in rows[:i] if a[0] == b[0] and a[4] != b[4]]
+    assert len(met) == len(pairs) and set(met.values()) == {1}
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(docs).count() == 0
