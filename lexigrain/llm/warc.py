@@ -100,7 +100,8 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
 
 def _records(key, url, payload: bytes, first, segment_bytes: int) -> Iterator[bytes]:
     """The record of one row, as several segments if its block is long."""
-    name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}\n{url}\n' + payload_digest(payload))}>"
+    # Drawn for the row, as rows may repeat. All segments of a row come from this call, so they agree on it.
+    name = f"<urn:uuid:{uuid.uuid4()}>"
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     common = [
         ("WARC-Target-URI", target),

@@ -39,6 +39,16 @@ def test_archives_keep_every_row(spark):
     assert empty.count() == 0
 
 
+def test_repeated_rows_keep_their_segments(spark):
+    long = "payload " * 60
+    rows = [(1, "u", long)] * 3 + [(None, "n", long + "x")] * 2 + [(2, "v", long)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.archive_round_trip(pages, segment_bytes=100, records_per_file=2).collect()
+    assert sorted((r.key or 0, r.record_type, r.payload_bytes, r.error) for r in got) == (
+        [(0, "response", 481, None)] * 2 + [(1, "response", 480, None)] * 3 + [(2, "revisit", 480, None)]
+    )
+
+
 def test_pages_become_their_article(spark):
     page = (
         "<!DOCTYPE html><html><head><title>T</title><script>var a='</p>';</script></head><body><nav><a>Menu</a></nav>"
