@@ -1,6 +1,7 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification.
 
-An item of L words is found in a text if some stretch of it is within ``floor(EDIT_SHARE * L)`` word edits.
+An item of L words is found in a text if some stretch of it is within ``floor(EDIT_SHARE * L)`` word edits;
+an item with fewer than ``MIN_ITEM_WORDS`` words only where all its words stand in a row.
 Texts are searched in item-sized windows. A stretch so near to an item holds one of ``edits + 1`` equal
 pieces of the item unchanged, so windows are laid where such a piece stands, in line with the item; this
 loses nothing. Window and item are embedded by the same random walks (a walk repeats or passes a word by a
@@ -11,9 +12,8 @@ exact edit distance between the item and the text around the window.
 Items are held by the tasks in blocks of at most ``BLOCK_BYTES``; each further block is one more pass.
 
 Words are runs of letters and digits, A-Z in lower case. Defined results: null and empty texts hold no item;
-items with fewer than ``MIN_ITEM_WORDS`` words are not searched, as ordinary text holds such runs by chance;
-null item ids are searched and reported as null. Equal rows are searched each and reported once. Empty
-tables give no matches. Other columns pass untouched, whatever their names.
+items without words are not searched; null item ids are searched and reported as null. Equal rows are searched
+each and reported once. Empty tables give no matches. Other columns pass untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from lexigrain.llm.hashing import byte_classes, hash_words, mix, row_groups, text_buffers
 
 EDIT_SHARE = 0.2
+#: Shorter items are searched without edits.
 MIN_ITEM_WORDS = 8
 WALKS, SAMPLES, BITS = 4, 8, 2
 BLOCK_BYTES = 1 << 23
@@ -63,11 +64,11 @@ class ItemIndex:
     def __init__(self, ids: list, texts: list[str], edit_share: float = EDIT_SHARE, min_words: int = MIN_ITEM_WORDS):
         data, offsets = text_buffers(pa.array(texts, pa.string()))
         words, bounds, _ = hash_words(data, offsets, _WORDS)
-        keep = [k for k in range(len(ids)) if bounds[k + 1] - bounds[k] >= min_words]
+        keep = [k for k in range(len(ids)) if bounds[k + 1] > bounds[k]]
         self.ids = [ids[k] for k in keep]
         self.words = [words[bounds[k] : bounds[k + 1]] for k in keep]
         self.length = np.array([len(w) for w in self.words], np.int64)
-        self.edits = np.floor(self.length * edit_share + 1e-9).astype(np.int64)
+        self.edits = np.where(self.length < min_words, 0, np.floor(self.length * edit_share + 1e-9)).astype(np.int64)
         sizes: dict[int, list[tuple[int, int, int]]] = {}
         for k, own in enumerate(self.words):
             size = int(self.length[k] // (self.edits[k] + 1))

@@ -257,6 +257,15 @@ def test_items_are_found_within_their_edits(spark):
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_short_items_are_found_word_for_word(spark):
+    texts = [(1, "Well: what is the capital of France?"), (2, "what is the old capital of"), (3, "what is the capital"), (4, "Pi, pi")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "What is the capital of"), (2, "pi"), (3, "?!")], "item_id long, text string")
+    got = decontaminate.find_items(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance, r.item_words) for r in got) == [(1, 1, 0, 5), (4, 2, 0, 1)]
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {2, 3}
+
+
 # --- registration and pipeline -------------------------------------------------------------------
 
 
