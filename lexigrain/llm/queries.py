@@ -15,6 +15,7 @@ from lexigrain.llm import (
     minhash,
     packing,
     sitequality,
+    spelling,
     syncmers,
     templates,
     warc,
@@ -109,6 +110,10 @@ def op10_site_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(docs, keep_only=False).select("doc_id", "low_quality", "toxic", "kept")
 
 
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf, "documents"), plant_every=97)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -120,4 +125,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_site_quality": op10_site_quality,
+    "op11_spelling_variants": op11_spelling_variants,
 }
