@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexigrain.llm import (
     decontaminate,
+    hardnegatives,
     langid,
     licenses,
     linededup,
@@ -18,6 +19,7 @@ from lexigrain.llm import (
     spelling,
     syncmers,
     templates,
+    topk,
     warc,
 )
 
@@ -114,6 +116,15 @@ def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf, "documents"), plant_every=97)
 
 
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardnegatives.mine_hard_negatives(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op13_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -126,4 +137,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_site_quality": op10_site_quality,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_exact_top_k": op13_exact_top_k,
 }
