@@ -227,10 +227,14 @@ def deduce_templates(tokens: DataFrame, min_tokens: int = MIN_TOKENS, min_pages:
     class holds an element around it.
     """
     once = tokens.groupBy("host", "page", "token", "path", "is_tag").agg(F.max("n").alias("n"))
-    vectors = once.groupBy("host", "token", "path", "is_tag").agg(
-        F.count("*").alias("support"),
-        F.expr("sum(cast(xxhash64(page, n) as decimal(20, 0)))").alias("vector"),
-    )
+    # Read three times below, so the pages are parsed once for it.
+    vectors = StoredTable(
+        once.groupBy("host", "token", "path", "is_tag").agg(
+            F.count("*").alias("support"),
+            F.expr("sum(cast(xxhash64(page, n) as decimal(20, 0)))").alias("vector"),
+        ),
+        "token-vectors",
+    ).df
     size = vectors.where("is_tag").groupBy("host").agg(F.max("support").alias("pages"))
     shared = vectors.where(F.col("support") >= min_pages)
     classes = (
