@@ -281,8 +281,12 @@ class SiteQuality:
             t: F.coalesce(F.col(t).cast("double"), 1 / (1 + F.exp(-logits[t])) if self.traits[t].weights is not None else F.lit(0.0))
             for t in TRAITS
         }
-        sites = known.groupBy("host", "path").agg(F.count("*").alias("n"), *(F.sum(c).alias(t) for t, c in soft.items()))
-        self.rates = StoredTable(site_rates(sites), "site-rates").df
+        # Read by about ten jobs below, so the texts are judged once for it.
+        sites = StoredTable(
+            known.groupBy("host", "path").agg(F.count("*").alias("n"), *(F.sum(c).alias(t) for t, c in soft.items())), "site-sums"
+        )
+        self.rates = StoredTable(site_rates(sites.df), "site-rates").df
+        sites.drop()
 
     def _evidence(self, rows: DataFrame) -> DataFrame:
         traits = list(self.traits.values())
