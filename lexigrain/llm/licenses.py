@@ -1,22 +1,28 @@
 """License scan with DataFrame functions only.
 
-Phrases are counted where their words stand consecutively. Templates (license notices) are found by an
-exact set-similarity join: a text block matches a template if it holds at least ``threshold`` of the
-template's distinct words. Words are ordered by how many blocks hold them, rarest first. A block that
-matches must hold one of the template's first ``n - ceil(threshold * n) + 1`` words (prefix filter), must
-hold enough template words at all (length filter), and enough of them must stand from the first shared
-word on in both orders (positional filter). Survivors are compared word by word, so nothing is lost.
-Overlap only concerns template words, so blocks are cut down to these before they are exploded.
-
-Blocks are the parts between blank lines, or the lines of a text that has no blank line.
-
-Defined results: a null text is empty; an empty text has no words, no places and no labels. Rows with a
-null or repeated id are scanned each. An empty table gives no rows. Only id and text are read.
+Phrases are counted where their words stand consecutively. Templates (sentences of license notices) are found by
+an exact set-similarity join between template and text blocks. The blocks of a template are the windows of
+consecutive words in a text that begin with a word of any template and are ``SLACK`` longer than the template, so
+line breaks play no part and a long paragraph is no bag of words. A block matches if it holds at least ``threshold`` of the template's distinct words,
+among them all its required words, and none that point to another license. Templates of fewer than
+``EXACT_BELOW`` words match word for word.
+
+Template words are ordered by how many texts hold them, rarest first. A matching block must hold one of a
+template's first ``n - need + 1`` words (prefix filter). Each place of such a word is looked at with the words
+around it: only words not before it in the order count, as a block with an earlier one is met at that one's place
+(positional filter), and enough of them must be near (length filter). Survivors are compared window by window, so
+nothing is lost. Texts are worked through in segments of ``SEGMENT`` words with a margin, so the rows stay small
+however long a text is and however often it repeats a word.
+
+Defined results: a null text is empty; an empty text has no words, no places and no labels. Rows with a null or
+repeated id are scanned each. A very long text is scanned whole. An empty table gives no rows. Only id and text
+are read.
 """
 
 from __future__ import annotations
 
 from math import ceil
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -28,44 +34,103 @@ PHRASES = (
     ("mit license", "mit"),
 )
 
-# Usual sentences of license notices with their labels.
+class Template(NamedTuple):
+    """A sentence, its label, words that must stand in the block and words that must not."""
+
+    words: str
+    label: str
+    required: str = ""
+    without: str = ""
+
+
+# Usual sentences of license notices.
 TEMPLATES = (
-    (
+    Template(
         "this program is free software you can redistribute it and or modify it under the terms of the gnu "
         "general public license as published by the free software foundation",
-        "gpl",
+        "gpl", "gnu", "lesser affero library",
+    ),
+    Template("this work is licensed under the gnu general public license version 3", "gpl", "gnu general public", "lesser affero"),
+    Template("released under the gpl license", "gpl"),
+    Template(
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser "
+        "general public license as published by the free software foundation",
+        "lgpl", "gnu lesser",
+    ),
+    Template(
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero "
+        "general public license as published by the free software foundation",
+        "agpl", "gnu affero",
     ),
-    ("this work is licensed under the gnu general public license version 3", "gpl"),
-    ("licensed under the apache license version 2 0", "apache"),
-    (
+    Template("licensed under the apache license version 2 0", "apache", "apache"),
+    Template("released under the apache license", "apache"),
+    Template(
         "unless required by applicable law or agreed to in writing software distributed under the license is "
         "distributed on an as is basis without warranties or conditions of any kind",
         "apache",
     ),
-    (
+    Template(
         "permission is hereby granted free of charge to any person obtaining a copy of this software and "
         "associated documentation files the software to deal in the software without restriction",
         "mit",
     ),
-    ("released under the mit license", "mit"),
-    (
+    Template(
+        "the above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the software",
+        "mit", "permission substantial",
+    ),
+    Template("released under the mit license", "mit"),
+    Template("licensed under the mit license", "mit"),
+    Template(
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+        "granted provided that the above copyright notice and this permission notice appear in all copies",
+        "isc", "permission fee",
+    ),
+    Template(
         "redistribution and use in source and binary forms with or without modification are permitted provided "
         "that the following conditions are met",
-        "bsd",
+        "bsd", "redistribution",
+    ),
+    Template("released under the bsd license", "bsd"),
+    Template(
+        "this work is licensed under a creative commons attribution 4 0 international license",
+        "cc-by", "creative commons attribution", "sharealike noncommercial noderivatives noderivs",
     ),
-    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
-    (
+    Template(
+        "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+        "cc-by-sa", "creative commons sharealike", "noncommercial",
+    ),
+    Template(
+        "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+        "cc-by-nc", "creative commons noncommercial",
+    ),
+    Template(
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to "
+        "this work",
+        "cc0", "waived",
+    ),
+    Template(
         "this source code form is subject to the terms of the mozilla public license v 2 0",
-        "mpl",
+        "mpl", "mozilla",
+    ),
+    Template(
+        "this program and the accompanying materials are made available under the terms of the eclipse public "
+        "license",
+        "epl", "eclipse",
     ),
-    ("this is free and unencumbered software released into the public domain", "public-domain"),
-    ("all rights reserved", "all-rights-reserved"),
+    Template("this is free and unencumbered software released into the public domain", "public-domain", "public domain"),
+    Template("all rights reserved", "all-rights-reserved"),
 )
 
 THRESHOLD = 0.8
+#: Words that a block has beyond the template's own number, as a share of it.
+SLACK = 0.2
+#: Templates of fewer words match word for word only.
+EXACT_BELOW = 8
+#: Words of a text that are looked at together.
+SEGMENT = 256
 #: What separates words: ASCII characters that are neither digits nor letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLANK_LINE = r"\n[ \t\r]*\n"
 
 
 def _spread_words(text: Column) -> Column:
@@ -106,70 +171,132 @@ def scan_phrases(docs: DataFrame, keep: dict[str, Column], text: Column, phrases
     )
 
 
-def _needed(n: int, threshold: float) -> int:
+class _Rule(NamedTuple):
+    """A template as the join needs it."""
+
+    number: int
+    label: str
+    sequence: list[str]  # its words in their own order
+    words: list[str]  # its distinct words, rarest first
+    need: int  # distinct words that a block must hold
+    window: int  # words of a block
+    required: list[str]
+    without: list[str]
+
+
+def needed(n: int, threshold: float) -> int:
     """Words that a block must share with a template of ``n`` distinct words."""
     return max(1, ceil(round(threshold * n, 9)))
 
 
-def text_blocks(docs: DataFrame, keys: dict[str, Column], text: Column, vocabulary: list[str]) -> DataFrame:
-    """Per block: ``keys``, ``block`` (its number) and ``words``, its distinct words among ``vocabulary``."""
-    value = F.coalesce(text.cast("string"), F.lit(""))
-    parts = F.when(value.rlike(BLANK_LINE), F.split(value, BLANK_LINE)).otherwise(F.split(value, "\n"))
-    rows = docs.select(*(c.alias(k) for k, c in keys.items()), F.posexplode(parts).alias("block", "_part"))
-    words = F.array_intersect(F.split(F.lower("_part"), SEPARATORS), F.array(*map(F.lit, vocabulary)))
-    return rows.select(*keys, "block", words.alias("words"))
+def window_words(n: int) -> int:
+    """Words of the blocks of a template of ``n`` words."""
+    return n if n < EXACT_BELOW else n + ceil(round(SLACK * n, 9))
+
+
+def _rules(templates, threshold: float, rank: dict[str, int]) -> list[_Rule]:
+    rules = []
+    for number, (text, label, required, without) in enumerate(templates):
+        sequence = text.split()
+        words = sorted(set(sequence), key=rank.__getitem__)
+        need = len(words) if len(sequence) < EXACT_BELOW else needed(len(words), threshold)
+        window = window_words(len(sequence))
+        rules.append(_Rule(number, label, sequence, words, need, window, required.split(), without.split()))
+    return rules
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS)
+
+
+def text_segments(rows: DataFrame, keys: list[str], margin: int) -> DataFrame:
+    """``keys``, ``first`` and ``words``: stretches of ``SEGMENT`` words of ``_w`` with a margin on both sides.
+
+    ``first`` is the number of words before the stretch's own ones. An empty word, as splitting leaves it before
+    a leading separator, is a word here; it belongs to no template.
+    """
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - 1, F.lit(0)), F.lit(SEGMENT))
+    parts = F.transform(
+        starts,
+        lambda s: F.struct(
+            F.least(s, F.lit(margin)).alias("first"),
+            F.slice("_w", F.greatest(s - margin, F.lit(0)) + 1, F.lit(SEGMENT + margin) + F.least(s, F.lit(margin))).alias("words"),
+        ),
+    )
+    return rows.select(*keys, F.inline(parts))
 
 
 def match_templates(
     docs: DataFrame, keys: dict[str, Column], text: Column, templates=TEMPLATES, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """All matches: ``keys``, ``block``, ``label`` and ``containment`` per block and template.
+    """All matches: ``keys``, ``label`` and ``containment`` per text, template and place of a starting word.
 
-    The word order is learned from all blocks; what reaches the driver is one count per template word.
+    The word order is learned from all texts; what reaches the driver is one count per template word.
     """
-    sets = [sorted(set(t.split())) for t, _ in templates]
-    vocabulary = sorted(set().union(*sets))
-    least = min(_needed(len(s), threshold) for s in sets)
-    blocks = text_blocks(docs, keys, text, vocabulary)
-    # Blocks with fewer words match nothing; leaving them out here keeps the order one of all candidates.
-    candidates = blocks.where(F.size("words") >= least)
+    templates = [Template(*t) for t in templates]
+    vocabulary = sorted({w for t in templates for part in (t.words, t.required, t.without) for w in part.split()})
+    known = F.array(*map(F.lit, vocabulary))
+    texts = docs.select(*(c.alias(k) for k, c in keys.items()), _words(text.cast("string")).alias("_w"))
     counted = dict(
         (r.word, r.n)
-        for r in candidates.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
+        for r in texts.select(F.explode(F.array_intersect("_w", known)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
     )
-    order = sorted(vocabulary, key=lambda w: (counted.get(w, 0), w))
-    rank = {w: i for i, w in enumerate(order)}
-    prefixes = []
-    for number, (own, (_, label)) in enumerate(zip(sets, templates)):
-        own = sorted(own, key=rank.__getitem__)
-        need = _needed(len(own), threshold)
-        for place, word in enumerate(own[: len(own) - need + 1]):
-            prefixes.append((number, label, own, need, place, word))
-    spark = docs.sparkSession
-    prefix = F.broadcast(  # as many rows as the templates have prefix words
-        spark.createDataFrame(
-            prefixes, "template int, label string, template_words array<string>, need int, place int, word string"
+    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counted.get(w, 0), w)))}
+    rules = _rules(templates, threshold, rank)
+    starting = []  # one row per template and word that can be the rarest one of a matching block
+    for rule in rules:
+        for place, word in enumerate(rule.words[: len(rule.words) - rule.need + 1]):
+            exact = len(rule.sequence) < EXACT_BELOW
+            offsets = [i for i, w in enumerate(rule.sequence) if w == word]
+            starting.append(
+                (word, rule.label, rule.words[place:], len(rule.words), rule.need, rule.window, rule.required, rule.without,
+                 rule.sequence if exact else None, offsets)
+            )
+    starters = sorted({row[0] for row in starting})
+    prefix = F.broadcast(  # as many rows as the templates have starting words
+        docs.sparkSession.createDataFrame(
+            starting,
+            "word string, label string, later array<string>, n int, need int, window int, required array<string>, "
+            "without array<string>, sequence array<string>, offsets array<int>",
         )
     )
-    ranks = F.create_map(*(F.lit(x) for pair in rank.items() for x in pair))
-    starters = F.array(*map(F.lit, sorted({p[5] for p in prefixes})))
-    ordered = F.array_sort(F.transform("words", lambda w: F.struct(F.element_at(ranks, w).alias("r"), w.alias("w"))))
-    starting = (
-        candidates.where(F.arrays_overlap("words", starters))
-        .select(*keys, "block", ordered["w"].alias("words"))
-        .select(*keys, "block", "words", F.posexplode("words").alias("at", "word"))
+    margin = max(rule.window for rule in rules)
+    begins = F.array(*map(F.lit, starters))
+    segments = text_segments(texts.where(F.arrays_overlap("_w", begins)), list(keys), margin).where(F.arrays_overlap("words", begins))
+    # The template words of a segment with their places; the starting ones among its own words are the anchors.
+    placed = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("w")))
+    local = segments.select(*keys, "first", F.filter(placed, lambda x: F.array_contains(known, x["w"])).alias("near"))
+    own = F.filter(
+        "near",
+        lambda x: (x["at"] >= F.col("first")) & (x["at"] < F.col("first") + SEGMENT) & F.array_contains(begins, x["w"]),
     )
-    joined = starting.join(prefix, "word").where(
-        # Length filter, then positional filter: what can still follow in both orders.
-        (F.size("words") >= F.col("need"))
-        & (F.least(F.size("template_words") - F.col("place"), F.size("words") - F.col("at")) + F.least("place", "at") >= F.col("need"))
+    anchors = local.select(*keys, "near", F.inline(own).alias("at", "word"))
+    around = F.filter("near", lambda x: (x["at"] > F.col("at") - F.col("window")) & (x["at"] < F.col("at") + F.col("window")))
+    joined = anchors.join(prefix, "word").select(
+        *keys, "label", "at", "word", "later", "n", "need", "window", "required", "without", "sequence", "offsets", around.alias("near")
     )
-    overlap = F.size(F.array_intersect("words", "template_words"))
-    return (
-        # Of several shared prefix words, the first in order stands for the pair.
-        joined.where(F.element_at(F.array_intersect("template_words", "words"), 1) == F.col("word"))
-        .where(overlap >= F.col("need"))
-        .select(*keys, "block", "label", (overlap / F.size("template_words")).alias("containment"))
+    later = F.filter("near", lambda x: F.array_contains(F.col("later"), x["w"]))
+    close = joined.withColumn("counting", later).where(F.size(F.array_distinct(F.col("counting")["w"])) >= F.col("need"))
+    exact = F.exists(
+        "offsets",
+        lambda o: F.filter("near", lambda x: (x["at"] >= F.col("at") - o) & (x["at"] < F.col("at") - o + F.size("sequence")))["w"]
+        == F.col("sequence"),
+    )
+
+    def held(start: Column, words: str) -> Column:
+        inside = F.filter(words, lambda x: (x["at"] >= start) & (x["at"] < start + F.col("window")))
+        return F.array_distinct(F.transform(inside, lambda x: x["w"]))
+
+    def best(start: Column) -> Column:
+        words = held(start, "near")
+        allowed = (F.size(F.array_except("required", words)) == 0) & ~F.arrays_overlap("without", words)
+        return F.when(allowed, F.size(held(start, "counting"))).otherwise(0)
+
+    # All blocks that hold the anchor.
+    windows = F.transform(F.filter("near", lambda x: x["at"] <= F.col("at")), lambda x: best(x["at"]))
+    overlap = F.when(F.col("sequence").isNull(), F.array_max(windows)).when(exact, F.col("n"))
+    return close.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need")).select(
+        *keys, "label", (F.col("overlap") / F.col("n")).alias("containment")
     )
 
 

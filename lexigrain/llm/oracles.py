@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from lexigrain.llm.licenses import PHRASES, TEMPLATES, THRESHOLD
+from lexigrain.llm.licenses import EXACT_BELOW, PHRASES, SLACK, TEMPLATES, THRESHOLD
 from lexigrain.llm.linededup import MIN_WORDS
 
 _VALUES = ", ".join(f"('{phrase}', '{label}')" for phrase, label in PHRASES)
-_TEMPLATES = ", ".join(f"({n}, '{text}', '{label}')" for n, (text, label) in enumerate(TEMPLATES))
+_TEMPLATES = ", ".join(
+    f"({n}, '{t.words}', '{t.label}', '{t.required}', '{t.without}')" for n, t in enumerate(TEMPLATES)
+)
 
 LICENSES = rf"""
 WITH phrases(phrase, label) AS (VALUES {_VALUES}),
 templates AS (
-  SELECT n, label, list_distinct(string_split(body, ' ')) AS own FROM (VALUES {_TEMPLATES}) t(n, body, label)
-),
+  SELECT n, label, own, len(sequence) < {EXACT_BELOW} AS exact, sequence,
+    CASE WHEN len(sequence) < {EXACT_BELOW} THEN len(own) ELSE ceil(round({THRESHOLD} * len(own), 9)) END AS need,
+    CASE WHEN len(sequence) < {EXACT_BELOW} THEN len(sequence) ELSE len(sequence) + ceil(round({SLACK} * len(sequence), 9)) END
+      AS size,
+    list_filter(string_split(required, ' '), lambda x: x <> '') AS required,
+    list_filter(string_split(unwanted, ' '), lambda x: x <> '') AS unwanted
+  FROM (
+    SELECT *, string_split(body, ' ') AS sequence, list_distinct(string_split(body, ' ')) AS own
+    FROM (VALUES {_TEMPLATES}) t(n, body, label, required, unwanted)
+  )
+),
+vocabulary AS (SELECT list_distinct(flatten(list(list_concat(own, required, unwanted)))) AS every FROM templates),
 docs AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body FROM documents
 ),
@@ -31,16 +43,18 @@ base AS (
     list_sort(list_distinct(list(label))) AS base_labels
   FROM places GROUP BY r
 ),
-blocks AS (
-  SELECT r, unnest(CASE WHEN regexp_matches(body, '\n[ \t\r]*\n') THEN regexp_split_to_array(body, '\n[ \t\r]*\n')
-    ELSE string_split(body, chr(10)) END) AS block FROM docs
+-- Texts that hold enough of a template's words anywhere; then all windows that begin with a template word.
+likely AS (
+  SELECT r, w, t.* FROM words, templates t WHERE len(list_intersect(list_distinct(w), own)) >= need
 ),
-block_words AS (
-  SELECT r, list_distinct(regexp_split_to_array(lower(block), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM blocks
+windows AS (
+  SELECT r, label, own, need, exact, sequence, required, unwanted, w[s : CAST(s + size - 1 AS BIGINT)] AS block
+  FROM likely, vocabulary, range(1, len(w) + 1) p(s) WHERE list_contains(every, w[s])
 ),
 matches AS (
-  SELECT r, label, len(list_intersect(w, own)) / len(own) AS containment
-  FROM block_words, templates WHERE len(list_intersect(w, own)) >= ceil(round({THRESHOLD} * len(own), 9))
+  SELECT r, label, len(list_intersect(list_distinct(block), own)) / len(own) AS containment FROM windows
+  WHERE CASE WHEN exact THEN block = sequence ELSE len(list_intersect(list_distinct(block), own)) >= need END
+    AND list_has_all(block, required) AND NOT list_has_any(block, unwanted)
 ),
 found AS (
   SELECT r, list_sort(list_distinct(list(label))) AS labels, max(containment) AS containment FROM matches GROUP BY r
@@ -130,9 +144,48 @@ SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes,
 FROM bits
 """
 
+_VECTORS = """v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)"""
+
+TOP_K = f"""
+WITH {_VECTORS},
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+SELECT query_id, CAST(r AS INT) AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
+
+HARD_NEGATIVES = f"""
+WITH {_VECTORS},
+labelled AS (SELECT vec_id, e, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l FROM v WHERE label IS NOT NULL),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS other, a.l = c.l AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+  FROM labelled a JOIN labelled c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0
+),
+positives AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS r FROM scored WHERE same
+  ) WHERE r <= 5
+),
+pairs AS (
+  SELECT p.anchor_id, p.other AS positive_id, n.other AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY n.score DESC, n.other) AS r
+  FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+    AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, CAST(r AS INT) AS rank, negative_id, positive_score, negative_score FROM pairs WHERE r <= 3
+"""
+
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": NEAR_DUPLICATES,
     "op2_warc_round_trip": WARC,
     "op3_license_scan": LICENSES,
     "op9_line_dedup": LINES,
+    "op12_hard_negatives": HARD_NEGATIVES,
+    "op13_exact_top_k": TOP_K,
 }
