@@ -6,13 +6,15 @@ final, and the underfull ones become the items of the next, smaller level of a t
 level is one partition, or the level after which underfull bins no longer combine.
 
 Defined results: a null or empty text is the end token alone. A null ``id`` is packed and stays null.
-Repeated rows are packed each. An empty table gives no rows. Only the id and text columns are read, so
+Repeated rows are packed each. A literal of an added token in a text becomes that token. Very long texts are
+encoded a stretch at a time. An empty table gives no rows. Only the id and text columns are read, so
 further columns may have any names.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import zlib
@@ -23,6 +25,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from lexigrain.functions.pretokens import Splitting, encoding_pretokens
+from lexigrain.functions.symbols import byte_alphabet
 from lexigrain.storage import StoredTable
 
 CAPACITY = 2048
@@ -30,40 +34,52 @@ END_ID = 0
 ITEMS_PER_TASK = 200_000
 #: A bin with at most this share of its room left is final before the last level.
 NEARLY_FULL = 0.01
-#: Words kept with their ids in each worker, and the longest of them.
+#: Pre-tokens kept with their ids in each worker.
 MEMO_WORDS = 400_000
-MEMO_LENGTH = 40
+#: Longer texts are not cut into pre-tokens by Spark but read by the library itself, a stretch at a time.
+SPLIT_BYTES = 1 << 20
+STRETCH = 1 << 18
 #: White space of the tokenizer's own splitting rule (Unicode White_Space); a token never starts before
 #: such a run and ends inside it with text on both sides, so texts may be cut where a run begins.
-BLANKS = "\t-\r \x85\xa0  -     　"
-_CHUNKS = re.compile(f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
-#: A letter, then ASCII characters up to the end that are neither letters, digits nor apostrophes.
-_CLOSING = re.compile(r"[^\W\d_](?=[!-&(-/:-@\[-`{-~]+\Z)")
+BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BINS = "fill int, members binary, done boolean, sequence_id long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-def byte_alphabet() -> dict[int, str]:
-    """Byte-level spelling: printable bytes stand for themselves, the others for characters from 256 on."""
-    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+def added_tokens(definition: str) -> tuple[str, ...]:
+    """Literals that the tokenizer takes out of a text before anything else."""
+    return tuple(entry["content"] for entry in json.loads(definition).get("added_tokens") or ())
 
 
 class WordEncoder:
-    """Token ids as little-endian 32-bit bytes, with a memo of the words seen by this worker."""
+    """Token ids of pre-tokens and of whole texts, as 32-bit numbers; the library's default settings hold.
+
+    A pre-token is encoded by the library once per worker, as long as it is remembered; all later ones are
+    looked up together, and their ids are taken from one array.
+    """
 
     _shared: dict[int, WordEncoder] = {}
-    _spelling = byte_alphabet()
+    _spelling = {ord(chr(b)): c for b, c in byte_alphabet().items()}
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        self.literals = {s: self.tokenizer.token_to_id(s) for s in added_tokens(definition)}
+        longest_first = sorted(self.literals, key=lambda s: (-len(s), s))
+        # Added tokens stand for themselves wherever they are, so a stretch may end on either side of one.
+        apart = "|".join(map(re.escape, longest_first)) or r"(?!)"
+        self._cuts = re.compile(rf"({apart})")
+        self._stretches = re.compile(rf"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memo = {literal: i for i, literal in enumerate(self.literals)}
+        self.ids = np.array(list(self.literals.values()), "<u4")
+        self.sizes = np.ones(len(self.ids), np.int64)
+        self.offsets = np.arange(len(self.ids))
 
     @classmethod
     def shared(cls, definition: str) -> WordEncoder:
@@ -72,33 +88,53 @@ class WordEncoder:
             cls._shared[key] = cls(definition)
         return cls._shared[key]
 
-    def _encode_word(self, word: str) -> bytes:
-        """Ids of a stretch between blanks. Letters end a token where other characters follow, but for an
-        apostrophe, so closing punctuation is encoded by itself and most words are letters only."""
-        letters = word[1:] if word[0] == " " else word
-        if letters.isalpha():
-            spelled = word.encode("utf-8", "replace").decode("latin-1").translate(self._spelling)
-            return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
-        if tail := _CLOSING.search(word):
-            return self._lookup(word[: tail.start() + 1]) + self._lookup(word[tail.start() + 1 :])
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _lookup(self, word: str) -> bytes:
-        ids = self.memo.get(word)
-        if ids is None:
-            ids = self._encode_word(word)
-            if len(word) <= MEMO_LENGTH:
-                if len(self.memo) >= MEMO_WORDS:
-                    self.memo.clear()
-                self.memo[word] = ids
-        return ids
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Per pre-token its place in the memo."""
+        if len(self.memo) > MEMO_WORDS:
+            self._forget()
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        known = self.memo.get
+        place = np.array([known(w, -1) for w in distinct], np.int64)
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            tokenize, spelling = self.tokenizer.model.tokenize, self._spelling
+            unseen = [distinct[i] for i in fresh.tolist()]
+            ids = [[t.id for t in tokenize(w.encode("utf-8").decode("latin-1").translate(spelling))] for w in unseen]
+            sizes = np.array([len(i) for i in ids], np.int64)
+            place[fresh] = np.arange(len(self.sizes), len(self.sizes) + len(fresh))
+            self.memo.update(zip(unseen, place[fresh].tolist()))
+            self.offsets = np.concatenate([self.offsets, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(sizes.sum()))])
+            self.sizes = np.concatenate([self.sizes, sizes])
+        return place[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def encode_lists(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of pre-tokens one after the other, and where each row's begin and end."""
+        place = self._places(lists.flatten())
+        sizes = self.sizes[place]
+        upto = np.r_[0, np.cumsum(sizes)]
+        first = np.repeat(self.offsets[place] - upto[:-1], sizes)
+        ids = self.ids[first + np.arange(len(first))]
+        counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return ids, upto[np.r_[0, np.cumsum(counts)]]
 
     def encode(self, text: str) -> bytes:
+        """Ids of a whole text as bytes, from the library, in stretches cut before white space."""
         parts = []
-        words = (m.group() for m in _CHUNKS.finditer(text))
-        while block := list(itertools.islice(words, 50_000)):
-            known = self.memo.get
-            parts.append(b"".join([known(w) or self._lookup(w) for w in block]))
+        for part in self._cuts.split(text):
+            if part in self.literals:
+                parts.append(np.array([self.literals[part]], "<u4").tobytes())
+                continue
+            stretch, size = [], 0
+            for word in itertools.chain((m.group() for m in self._stretches.finditer(part)), [None]):
+                if word is None or size >= STRETCH:
+                    ids = self.tokenizer.encode("".join(stretch), add_special_tokens=False).ids
+                    parts.append(np.array(ids, "<u4").tobytes())
+                    stretch, size = [], 0
+                if word is not None:
+                    stretch.append(word)
+                    size += len(word)
         return b"".join(parts)
 
 
@@ -112,7 +148,11 @@ def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
 def token_pieces(
     docs: DataFrame, definition: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per piece of each document's ids (its tokens, then the end token)."""
+    """One row per piece of each document's ids (its tokens, then the end token).
+
+    Spark cuts texts into pre-tokens. Texts that are very long or hold characters which Spark's Unicode tables
+    do not know go to the library as they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(definition)
     end = np.array([END_ID], "<u4").tobytes()
 
@@ -120,10 +160,18 @@ def token_pieces(
         encoder = WordEncoder.shared(shared.value)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = memoryview(encoder.encode(text.as_py() or "") + end)
-                for piece, (start, length) in enumerate(piece_bounds(len(ids) // 4, capacity)):
-                    crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
+            ids, bounds = encoder.encode_lists(batch.column(1))
+            bounds = bounds.tolist()
+            whole = batch.column(2)
+            apart = set(np.flatnonzero(whole.is_valid().to_numpy(zero_copy_only=False)).tolist())
+            for i, doc_id in enumerate(batch.column(0).to_pylist()):
+                if i in apart:
+                    tokens = encoder.encode(whole[i].as_py()) + end
+                else:
+                    tokens = ids[bounds[i] : bounds[i + 1]].tobytes() + end
+                tokens = memoryview(tokens)
+                for piece, (start, length) in enumerate(piece_bounds(len(tokens) // 4, capacity)):
+                    crc = zlib.crc32(tokens[4 * start : 4 * (start + length)])
                     for column, value in zip(rows, (doc_id, piece, start, length, crc)):
                         column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -131,7 +179,12 @@ def token_pieces(
                 [pa.array(c, t) for c, t in zip(rows, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
             )
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    apart = (F.octet_length(text) > SPLIT_BYTES) | text.rlike(r"\p{Cn}")
+    split = encoding_pretokens(text, Splitting(added_tokens(definition)))
+    source = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.when(~apart, split).alias("words"), F.when(apart, text).alias("text")
+    )
     return source.mapInArrow(pieces, PIECES)
 
 

@@ -1,6 +1,7 @@
 """Packing, licenses, language, quality, decontamination and the pipeline."""
 
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -65,14 +66,48 @@ def test_packing_of_odd_rows(spark):
     assert packing.pack_documents(docs.limit(0), tokenizer_definition()).count() == 0
 
 
-def test_words_encode_as_whole_texts():
-    encoder, tokenizer = packing.WordEncoder(tokenizer_definition()), Tokenizer.from_str(tokenizer_definition())
-    tokenizer.encode_special_tokens = True
-    parts = list("ab z .,'!-\n\t\r19éßç中😀٠_  　 \x85\x1cª") + ["'ll", "'s", " the", "  ", "<|endoftext|>"]
+def library_ids(tokenizer, text):
+    return tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+
+
+def piece_rows(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = packing.token_pieces(docs, tokenizer_definition(), capacity=1 << 30)
+    return {r.doc_id: (r.length, r.ids_crc32) for r in pieces.collect()}
+
+
+def expected_rows(texts):
+    tokenizer = Tokenizer.from_str(tokenizer_definition())
+    ids = [np.array(library_ids(tokenizer, t), "<u4") for t in texts]
+    return {i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)}
+
+
+def test_texts_encode_as_the_library_does(spark, monkeypatch):
+    parts = list("ab z .,'!-\n\t\r19éßç中😀٠_  　 \x85\x1cª\u0378") + ["'ll", "'s", " the", "  ", "<|endoftext|>"]
     rng = random.Random(1)
-    for _ in range(3000):
-        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    texts += ["a<|endoftext|>b", "x <|endoftext|> y", "<|endoftext|>", None, ""]
+    expected = expected_rows(texts)
+    assert piece_rows(spark, texts) == expected
+    # The way of very long texts, a few characters at a time.
+    encoder = packing.WordEncoder(tokenizer_definition())
+    monkeypatch.setattr(packing, "STRETCH", 3)
+    for i, text in enumerate(texts):
+        ids = np.frombuffer(encoder.encode(text or "") + np.array([0], "<u4").tobytes(), "<u4")
+        assert (len(ids), zlib.crc32(ids.tobytes())) == expected[i]
+
+
+def test_a_forgetting_encoder_and_a_very_long_text_give_the_same_ids(spark, monkeypatch):
+    long_text = " ".join(f"word{i} of {i * 7}" for i in range(120_000))
+    assert len(long_text) > packing.SPLIT_BYTES
+    texts = [long_text, "word1 of 7", "b " * 1000, long_text]
+    assert piece_rows(spark, texts) == expected_rows(texts)
+    monkeypatch.setattr(packing, "MEMO_WORDS", 2)
+    encoder = packing.WordEncoder(tokenizer_definition())
+    for text in ("one two three", "three four one"):
+        words = pa.array([[w if i == 0 else f" {w}" for i, w in enumerate(text.split())]])
+        ids, bounds = encoder.encode_lists(words)
+        assert ids.tolist() == library_ids(encoder.tokenizer, text)[:-1] and bounds.tolist() == [0, len(ids)]
 
 
 def test_best_fit_is_best_fit():
@@ -106,10 +141,89 @@ def test_licenses_of_odd_rows(spark):
     whole = next(r for r in got.values() if r.doc_id == 5)
     assert whole.found == ["mit"] and whole.n_base == 0 and whole.score >= licenses.THRESHOLD
     assert tuple(got[(None, 3)])[2:5] == (1, 1, 1)
-    assert got[(6, 4)].found == [] and got[(7, 3)].found == ["all-rights-reserved"]
+    assert got[(6, 4)].found == got[(7, 3)].found == ["all-rights-reserved"]  # lines play no part
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+GPL_NOTICE = """This program is free software; you can redistribute it
+and/or modify it under the terms of the GNU General Public
+Licence as published by the Free Software Foundation; either
+version 3, or any later version."""
+MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+
+
+def brute_labels(text):
+    """Labels and the largest containment by looking at every block that begins with a template word."""
+    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()) if w]
+    every = {w for t in licenses.TEMPLATES for part in (t.words, t.required, t.without) for w in part.split()}
+    labels, most = set(), 0.0
+    for t in licenses.TEMPLATES:
+        sequence = t.words.split()
+        own = set(sequence)
+        for i, word in enumerate(words):
+            if word not in every:
+                continue
+            if len(sequence) < licenses.EXACT_BELOW:
+                share = float(words[i : i + len(sequence)] == sequence)
+            else:
+                block = set(words[i : i + licenses.window_words(len(sequence))])
+                allowed = set(t.required.split()) <= block and not block & set(t.without.split())
+                share = len(block & own) / len(own) * allowed
+            if share >= licenses.THRESHOLD - 1e-9:
+                labels.add(t.label)
+                most = max(most, share)
+    return sorted(labels), most
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("released under the GPL license", ["gpl"]),
+        ("the film was released in may and the driver held a license under another name", []),
+        ("We reserved all the rights of way", []),
+        ("the press released a note under the bridge; a fishing license is needed", []),
+        (MIT_GRANT, ["mit"]),
+        (GPL_NOTICE, ["gpl"]),
+        (GPL_NOTICE.replace("Public", "Affero Public"), ["agpl"]),
+        ("This library" + GPL_NOTICE[12:].replace("General", "Lesser General"), ["lgpl"]),
+        ("the license under which it is released may be the mit one", []),
+    ],
+)
+def test_labels_of_notices_and_of_ordinary_sentences(spark, text, labels):
+    for docs in ([(1, text)], [(1, "word " * 300 + text + " word" * 300)], [(1, text.replace(" ", "\n\n"))]):
+        row = licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).first()
+        assert row.found == labels == brute_labels(docs[0][1])[0]
+
+
+def test_labels_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "SEGMENT", 16)
+    draw = random.Random(3)
+    sentences = [t.words.split() for t in licenses.TEMPLATES] + [GPL_NOTICE.split(), MIT_GRANT.split()]
+    texts = []
+    for _ in range(150):
+        words = []
+        for _ in range(draw.randint(1, 4)):
+            part = list(draw.choice(sentences))
+            for _ in range(draw.choice((0, 1, 3, 6, 9))):  # edits
+                at = draw.randrange(len(part))
+                part[at : at + draw.choice((0, 1))] = draw.choice(([], ["lesser"], ["word"], ["the", "software"]))
+                part = part or ["x"]
+            words += part + ["pad"] * draw.choice((0, 2, 30))
+        texts.append(" ".join(words))
+    texts.append("the software " * 4_000 + MIT_GRANT + " license" * 4_000)  # long, with many template words
+    rows = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = 0
+    for i, text in enumerate(texts):
+        labels, most = brute_labels(text)
+        base = set(rows[i].base_found)
+        assert rows[i].found == sorted({*labels, *base})
+        assert base or rows[i].score == pytest.approx(most)
+        found += bool(labels)
+    assert found > 75
+
+
 # --- language -----------------------------------------------------------------------------------
 
 
