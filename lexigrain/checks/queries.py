@@ -22,11 +22,13 @@ from lexigrain.operators.encoding import (
     encode_word_types,
     word_table,
 )
+from lexigrain.operators.joinkernel import merge_events_by_joins
 from lexigrain.operators.model import BASE_SIZE, PLAIN, BpeModel, base_vocabulary
 from lexigrain.operators.prefixes import (
     measure_prefix,
     parity,
     prefix_sweep,
+    require_parity,
     size_grid,
     sweep_summary,
     vocabulary_grid,
@@ -55,7 +57,7 @@ from lexigrain.sources.heldout import (
     write_texts,
 )
 from lexigrain.sources.reports import read_points, write_points_csv, write_summary
-from lexigrain.sources.tokenizer_files import export_json, load_json, load_tables, save_model
+from lexigrain.sources.tokenizer_files import export_json, load_json, load_tables, parse_json, save_model
 from lexigrain.storage import checkpoint_root
 
 SMALL_VOCAB = BASE_SIZE + 8
@@ -389,8 +391,12 @@ def sweep_summary_query(spark, sf):
 
 
 def parity_check(spark, sf):
-    """The sweep against an encoding with one prefix model."""
-    return parity(_points(spark, sf), prefix_point(spark, sf))
+    """The sweep against the second way of encoding, which joins words with a prefix of the merge list."""
+    corpus = conversations(spark, sf)
+    words, part = word_table(corpus), trained(spark, sf).prefix(304)
+    size = spark.createDataFrame([(304,)], "vocab_size int")
+    joined_point = prefix_sweep(words, part, size, read_stats(corpus).bytes_used, merge_events_by_joins(words, part))
+    return parity(_points(spark, sf), joined_point)
 
 
 def points_csv(spark, sf):
@@ -430,16 +436,38 @@ def bpe_encode_other_base(spark, sf):
     return encode_word_types(words, other).select("word", "freq", "n_tokens", joined(F.col("ids")).alias("ids"))
 
 
-def prefix_sweep_large(spark, sf):
-    """The first points of a sweep over a model of more than 4,096 merges."""
-    corpus = conversations(spark, sf)
+def _large(spark, sf):
+    """Words of all documents and a model of more than 4,096 merges trained on them."""
     key = (spark.sparkContext.applicationId, f"{sf}, large")
     if key not in _models:
         _models[key] = train_bpe(word_types(documents(spark, sf)), LARGE_VOCAB)
-    model = _models[key]
+    return _models[key]
+
+
+def word_tokenizer_counts(spark, sf, name: str = "word_bpe_49k.json"):
+    """Token counts of all documents under a public tokenizer that normalizes, drops blanks and marks word ends."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(name)
+    with open(path, encoding="utf-8") as file:  # a file of the driver's own disk
+        model = parse_json(spark.createDataFrame([(file.read(),)], "value string"), path)
+    return document_token_counts(documents(spark, sf), ["doc_id"], model)
+
+
+def prefix_sweep_large(spark, sf):
+    """All points of a sweep over a model of more than 4,096 merges."""
+    corpus, model = conversations(spark, sf), _large(spark, sf)
+    grid = size_grid(spark, model.base_size, model.vocab_size, GRID_STEP)
+    return prefix_sweep(word_table(corpus), model, grid, read_stats(corpus).bytes_used)
+
+
+def parity_large(spark, sf):
+    """Both ways of encoding over all documents at every size of a grid up to the whole large model."""
+    corpus, model = documents(spark, sf), _large(spark, sf)
+    words, used = word_table(corpus), read_stats(corpus).bytes_used
     grid = size_grid(spark, model.base_size, model.vocab_size, GRID_STEP)
-    points = prefix_sweep(word_table(corpus), model, grid, read_stats(corpus).bytes_used)
-    return points.where(F.col("vocab_size") <= VOCAB)
+    flat = prefix_sweep(words, model, grid, used)
+    return require_parity(flat, prefix_sweep(words, model, grid, used, merge_events_by_joins(words, model)))
 
 
 def heldout_meta(spark, sf):
@@ -528,6 +556,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "special_literal": special_literal,
     "bpe_encode_other_base": bpe_encode_other_base,
     "prefix_sweep_large": prefix_sweep_large,
+    "parity_large": parity_large,
+    "word_tokenizer_counts": word_tokenizer_counts,
     "heldout_meta": heldout_meta,
     "heldout_migrated": heldout_migrated,
     "points_read": points_read,

@@ -20,7 +20,8 @@ BASE_SIZE = 257  # the special token plus one token per byte value
 
 _OFFSET = 32
 _SURROGATES = (0xD800, 0xE000)
-MAX_VOCAB_SIZE = 0x110000 - (_SURROGATES[1] - _SURROGATES[0]) - _OFFSET
+#: Ids that a character can stand for.
+MAX_SYMBOLS = 0x110000 - (_SURROGATES[1] - _SURROGATES[0]) - _OFFSET
 
 
 def symbol_char(token_id: int) -> str:
@@ -55,26 +56,26 @@ def base_tokens() -> list[str]:
     return [SPECIAL_TOKEN, *sorted(byte_alphabet().values())]
 
 
-def _one_char_per_byte(text: Column) -> Column:
+def one_char_per_byte(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
-def _translation(target: dict[int, str]) -> tuple[str, str]:
+def translation(target: dict[int, str]) -> tuple[str, str]:
     moved = {b: c for b, c in target.items() if chr(b) != c}
     return "".join(map(chr, moved)), "".join(moved.values())
 
 
 def to_byte_alphabet(text: Column) -> Column:
     """Text -> its UTF-8 bytes written in the printable alphabet."""
-    return F.translate(_one_char_per_byte(text), *_translation(byte_alphabet()))
+    return F.translate(one_char_per_byte(text), *translation(byte_alphabet()))
 
 
 def to_symbols(word: Column) -> Column:
     """Word -> one symbol character per UTF-8 byte, the start state of training and encoding."""
     ids = {token: token_id for token_id, token in enumerate(base_tokens())}
     return F.translate(
-        _one_char_per_byte(word),
-        *_translation({b: symbol_char(ids[c]) for b, c in byte_alphabet().items()}),
+        one_char_per_byte(word),
+        *translation({b: symbol_char(ids[c]) for b, c in byte_alphabet().items()}),
     )
 
 

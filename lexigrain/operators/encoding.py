@@ -1,8 +1,9 @@
 """Byte-pair encoding of text with a given merge list.
 
-One encoder serves merge lists of every length and order. The list travels to the tasks once, as arrays
-whose size is that of the vocabulary, and each worker keeps the words it has met. Distinct word types are
-encoded for statistics; documents are encoded in the pass that reads them, so text is never shuffled.
+One encoder serves merge lists of every length and order: many words are merged at once on flat arrays (see
+``functions/bpe``). The list travels to the tasks once, as arrays whose size is that of the vocabulary. Distinct
+word types are encoded for statistics; documents are encoded in the pass that reads them, where only words not
+met before are merged, so text is never shuffled.
 """
 
 from __future__ import annotations
@@ -41,17 +42,17 @@ def encode_words(words: DataFrame, models: dict[str, BpeModel]) -> DataFrame:
     }
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoders = {name: WordEncoder(content.value) for name, content in contents.items()}
         for batch in batches:
-            spelled = batch.column(1).to_pylist()
-            for name, content in contents.items():
-                encoder = WordEncoder.of(content.value)
-                ids = [encoder.encode(word)[0] for word in spelled]
+            for name, encoder in encoders.items():
+                merged = encoder.encode(batch.column(1))
+                offsets = np.r_[0, np.cumsum(merged.sizes)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *batch.columns,
-                        pa.array([name] * len(ids)),
-                        pa.array(ids, pa.list_(pa.int32())),
-                        pa.array([len(i) for i in ids], pa.int32()),
+                        pa.array([name] * batch.num_rows, pa.string()),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(merged.ids, pa.int32())),
+                        pa.array(merged.sizes, pa.int32()),
                     ],
                     names=["word_id", "word", "freq", "model", "ids", "n_tokens"],
                 )
@@ -70,17 +71,16 @@ def merge_events(words: DataFrame, model: BpeModel) -> DataFrame:
     content = words.sparkSession.sparkContext.broadcast(model.content())
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder.of(content.value)
+        encoder = WordEncoder(content.value)
         for batch in batches:
-            events = [encoder.encode(word)[1] for word in batch.column(0).to_pylist()]
-            sizes = np.array([len(e) for e in events], np.int64)
-            if not sizes.sum():
+            events = encoder.encode(batch.column(0)).events
+            if not events:
                 continue
-            ranks = np.concatenate([np.array(e, np.int64) for e in events if e])
-            freq = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), sizes)
-            used, place = np.unique(ranks, return_inverse=True)
+            word, rank, n = (np.concatenate(part) for part in zip(*events))
+            freq = batch.column(1).to_numpy(zero_copy_only=False)
+            used, place = np.unique(rank, return_inverse=True)
             sums = np.zeros(len(used), np.int64)
-            np.add.at(sums, place, freq)
+            np.add.at(sums, place, freq[word] * n)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(sums)], names=["rank", "n"])
 
     events = words.select("word", "freq").mapInArrow(count, "rank int, n bigint")
@@ -97,32 +97,32 @@ def token_ids(encoded: DataFrame) -> DataFrame:
     return encoded.select("word", "ids")
 
 
-def document_token_ids(corpus: DataFrame, keys: list[str], model: BpeModel, text: str = "text") -> DataFrame:
-    """``(keys, ids)`` of every nonempty document, ids in text order, in the pass that reads the text."""
+def _encode_documents(corpus: DataFrame, keys: list[str], model: BpeModel, text: str, result: str, run) -> DataFrame:
+    """Keys and what ``run(encoder, word lists)`` gives for every nonempty document, in the pass that reads it."""
     content = corpus.sparkSession.sparkContext.broadcast(model.content())
     split = encoding_pretokens(F.col(text), model.splitting)
-    rows = corpus.where(is_nonempty(F.col(text))).select(*keys, split.alias("words"))
-    names = [*keys, "ids"]
+    rows = corpus.where(is_nonempty(F.col(text))).select(*keys, split.alias("_words"))
+    name, kind = result.split(" ")
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder.of(content.value)
+        encoder = WordEncoder(content.value)
         for batch in batches:
-            ids = [
-                [t for word in words.as_py() for t in encoder.encode(word)[0]]
-                for words in batch.column(len(names) - 1)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], names=names
-            )
+            values = run(encoder, batch.column(len(keys)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], names=[*keys, name])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(encode, f"{kinds}, ids array<int>")
+    return rows.mapInArrow(encode, f"{kinds}, {name} {kind}")
+
+
+def document_token_ids(corpus: DataFrame, keys: list[str], model: BpeModel, text: str = "text") -> DataFrame:
+    """``(keys, ids)`` of every nonempty document, ids in text order."""
+    return _encode_documents(corpus, keys, model, text, "ids array<int>", lambda encoder, words: encoder.tokens(words))
 
 
 def document_token_counts(corpus: DataFrame, keys: list[str], model: BpeModel, text: str = "text") -> DataFrame:
-    """``(keys, n_tokens)`` per document."""
-    return document_token_ids(corpus, keys, model, text).select(
-        *keys, F.size("ids").cast("bigint").alias("n_tokens")
+    """``(keys, n_tokens)`` per nonempty document; the ids are not made."""
+    return _encode_documents(
+        corpus, keys, model, text, "n_tokens bigint", lambda encoder, words: pa.array(encoder.token_counts(words), pa.int64())
     )
 
 

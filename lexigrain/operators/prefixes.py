@@ -33,9 +33,13 @@ def size_grid(spark: SparkSession, base: int, full: int, step: int) -> DataFrame
     return sizes.distinct().select(F.col("id").cast("int").alias("vocab_size"))
 
 
-def prefix_sweep(words: DataFrame, model: BpeModel, grid: DataFrame, text_bytes: int) -> DataFrame:
+def prefix_sweep(
+    words: DataFrame, model: BpeModel, grid: DataFrame, text_bytes: int, events: DataFrame | None = None
+) -> DataFrame:
     """One measurement point per size of ``grid``, from one encoding with the full model.
 
+    ``events`` are merge events of these words if they are known already, by whichever way of encoding.
+
     The plan does not grow with the grid. A merge event of rank r counts for all sizes above r + base, so
     sizes read running sums over ranks, taken in blocks of ranks. There is at most one event row per rank,
     whatever the size of the text.
@@ -47,7 +51,7 @@ def prefix_sweep(words: DataFrame, model: BpeModel, grid: DataFrame, text_bytes:
     start = words.agg(
         F.sum(F.col("freq") * start_size(F.col("word"), model.splitting)).alias("symbols")
     ).first()["symbols"]
-    events = store(merge_events(words, model), "merge-events")
+    events = store(merge_events(words, model), "merge-events") if events is None else events
     # Events and sizes on one line of ranks; a size asks for all events up to its last rank.
     line = events.select(F.col("rank").alias("place"), "n", F.lit(None).cast("int").alias("vocab_size")).unionByName(
         grid.distinct().select(

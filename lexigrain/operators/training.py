@@ -1,40 +1,47 @@
-"""Exact byte-pair-encoding training as rounds of Spark jobs over word types.
-
-One job per merge would spend its time on job start-up, so each round proposes a whole sequence of
-merges and lets Spark play the sequence through on every word while recording how each step changes
-the counts of the pairs that can still matter. The driver then walks the sequence and accepts it as
-far as every step really was the best pair at that moment; the counts after the last accepted step
-are already known, so the next round can start at once. The result is the same merge list as
-one-at-a-time training. Sequences are proposed from the current counts and from what earlier rounds
+"""Exact byte-pair-encoding training as rounds of Spark jobs over an index from pairs to words.
+
+One job per merge would spend its time on job start-up, so each round proposes a whole sequence of merges and
+lets Spark play the sequence through while recording how each step changes the counts of pairs. The driver then
+walks the sequence and accepts it as far as every step really was the best pair at that moment; the counts after
+the last accepted step are already known, so the next round can start at once. The result is the same merge
+list as one-at-a-time training. Sequences are proposed from the current counts and from what earlier rounds
 showed a merge to do to other pairs; a wrong guess costs a round, never a wrong merge.
 
-What reaches the driver is bounded by the frontier size, the round length and the vocabulary size,
-never by the corpus.
+The state is the table of words with the list of merges accepted so far; words are merged many at once on flat
+arrays (``functions/bpe``), so the present form of a word is made where it is needed and nothing is rewritten. Pair
+counts are sums over the changes that rounds recorded. The first rounds concern most words and read them all. Once
+a round has touched less than ``DENSE`` of the words, an inverted index from pairs to words is written. From then
+on a round reads the index rows of the proposed pairs only, plays those words, and appends the pairs that arose in
+them; all other words are left alone. Token ids are 32-bit numbers.
+
+What reaches the driver is bounded by the frontier size, the round length and the vocabulary size, never by the
+corpus.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass
-from heapq import heapify, heappop, heappush
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush, nsmallest
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, functions as F
 
-from lexigrain.functions.batches import count_changes, merge_batch
-from lexigrain.functions.symbols import (
-    base_tokens,
-    symbol_char,
-    symbol_id,
-    to_symbols,
-)
+from lexigrain.functions.bpe import MergeTable, Trace, byte_column, merge_words, pair_key
+from lexigrain.functions.symbols import base_tokens, byte_alphabet, to_symbols
 from lexigrain.operators.model import BpeModel, check_vocab_size, model_from_merges
 from lexigrain.storage import StoredTable, store
 
 FRONTIER_SIZE = 4_096  # best pairs fetched at a recount
 ROUND_LENGTH = 256  # merges proposed per job
-ROUNDS_PER_STORE = 16  # rounds kept as cached rewrites before the words are written out again
-WORDS_PER_TASK = 20_000  # word types that a task plays a round on
+ROUNDS_PER_STORE = 24  # rounds appended before the index is written anew
+WORDS_PER_TASK = 10_000  # words that a task plays a round on
+DENSE = 0.3  # share of the words that a round must touch for the next one to read them all
+CHANGES = "pair long, step int, d long, known boolean, word string, freq long"
+INDEX = "pair long, word string, freq long, round int, step int"
+_TOUCHED = -1  # pair number of the rows that count the words played
+_PUSHED_VALUES = "spark.sql.parquet.pushdown.inFilterThreshold"
 
 
 def symbol_words(word_types: DataFrame) -> DataFrame:
@@ -56,54 +63,229 @@ def pair_counts(words: DataFrame) -> DataFrame:
     )
 
 
-def replay(words: DataFrame, steps: list[str]) -> DataFrame:
-    """The words after one round; a word that became a single token has no pairs and leaves."""
-
-    def run(batches):
-        for batch in batches:
-            batch["s"] = merge_batch(batch["s"].tolist(), steps)
-            yield batch[batch["s"].str.len() > 1]
-
-    return words.mapInPandas(run, "s string, freq bigint")
+def _sums(step: np.ndarray, pair: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums per step and pair that are not zero."""
+    order = np.lexsort((pair, step))
+    step, pair = step[order], pair[order]
+    if not len(order):
+        return step, pair, d
+    first = np.flatnonzero(np.r_[True, (step[1:] != step[:-1]) | (pair[1:] != pair[:-1])])
+    sums = np.add.reduceat(d[order], first)
+    left = sums != 0
+    return step[first][left], pair[first][left], sums[left]
 
 
-def _round_changes(
-    words: DataFrame, steps: list[str], known: set[str], first_new: str, floor: int
-) -> DataFrame:
-    """``(pair, changes)``: how playing the steps changes the counts of the pairs that matter.
+def _changes(words: DataFrame, merges: np.ndarray, since: int, known: np.ndarray, name_words: bool) -> DataFrame:
+    """What the merges of rank ``since`` and above do, summed per task: ``CHANGES`` rows without a word.
 
-    A pair is at its most frequent when the younger of its symbols is made and only falls later, so
-    the pairs that matter are the known ones and those that start with at least ``floor``; the others
-    are left out whole. Tasks add up changes per step and pair before the shuffle.
+    ``merges`` has the left, right and made id of every rank. ``known`` pairs are marked. With ``name_words``
+    there are also rows for the words in which a pair arose, by the first step that made it. Without merges, the
+    changes are the words' first pairs.
     """
-
-    def run(batches):
-        totals: Counter = Counter()
+    ids = {token: i for i, token in enumerate(base_tokens())}
+    start = np.array([ids[c] for _, c in sorted(byte_alphabet().items())])
+    content = words.sparkSession.sparkContext.broadcast((merges.astype(np.int32), np.sort(known)))
+    names = ["pair", "step", "d", "known", "word", "freq"]
+
+    def rows(pair, step, d, marked, word=None, freq=None) -> pa.RecordBatch:
+        n = len(pair)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(pair, pa.int64()),
+                pa.array(step, pa.int32()),
+                pa.array(d, pa.int64()),
+                pa.array(np.isin(pair, marked)),
+                pa.nulls(n, pa.string()) if word is None else word,
+                pa.nulls(n, pa.int64()) if freq is None else freq,
+            ],
+            names=names,
+        )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (left, right, made), marked = content.value
+        table = MergeTable(left, right, np.arange(len(left)), made)
+        total, touched = (np.zeros(0, np.int64),) * 3, 0
         for batch in batches:
-            if len(batch):
-                count_changes(batch["s"].tolist(), batch["freq"].to_numpy(), steps, totals)
-        rows = [
-            (i, pair, d, pair in known)
-            for (i, pair), d in totals.items()
-            if d and (pair in known or max(pair) >= first_new)
-        ]
-        yield pd.DataFrame(rows, columns=["step", "pair", "d", "known"])
-
-    return (
-        words.mapInPandas(run, "step int, pair string, d bigint, known boolean")
-        .groupBy("pair", "step", "known")
-        .agg(F.sum("d").alias("d"))
-        .groupBy("pair", "known")
-        .agg(F.max("d").alias("most"), F.collect_list(F.struct("step", "d")).alias("changes"))
-        .where(F.col("known") | (F.col("most") >= floor))
-        .select("pair", "changes")
-    )
+            data, sizes = byte_column(batch.column(0))
+            freq = batch.column(1).to_numpy(zero_copy_only=False)
+            tokens = start[data]
+            if len(left):
+                trace = Trace(since)
+                merge_words(tokens, sizes, table, in_rank_order=True, trace=trace)
+                word, step, pair, change = trace.columns()
+                touched += len(np.unique(word))
+                if name_words:
+                    arose = np.flatnonzero(change > 0)
+                    order = arose[np.lexsort((step[arose], pair[arose], word[arose]))]
+                    new = np.r_[True, (word[order[1:]] != word[order[:-1]]) | (pair[order[1:]] != pair[order[:-1]])]
+                    order = order[new[: len(order)]]
+                    at = pa.array(word[order])
+                    yield rows(pair[order], step[order], np.zeros(len(order)), marked, batch.column(0).take(at), batch.column(1).take(at))
+            else:
+                word = np.repeat(np.arange(len(sizes)), sizes)
+                at = np.flatnonzero(word[1:] == word[:-1])
+                word, pair = word[at], pair_key(tokens[at], tokens[at + 1])
+                step, change = np.full(len(at), -1), 1
+            parts = (step, pair, freq[word] * change)
+            total = _sums(*(np.concatenate(both) for both in zip(total, parts)))
+        step, pair, d = total
+        yield rows(np.append(pair, _TOUCHED), np.append(step, -1), np.append(d, touched), marked)
+
+    return words.select("word", "freq").mapInArrow(run, CHANGES)
+
+
+def _present_pairs(words: DataFrame, merges: np.ndarray) -> DataFrame:
+    """``(pair, word, freq)``: the pairs that each word holds after the merges."""
+    ids = {token: i for i, token in enumerate(base_tokens())}
+    start = np.array([ids[c] for _, c in sorted(byte_alphabet().items())])
+    content = words.sparkSession.sparkContext.broadcast(merges.astype(np.int32))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right, made = content.value
+        table = MergeTable(left, right, np.arange(len(left)), made)
+        for batch in batches:
+            data, sizes = byte_column(batch.column(0))
+            merged = merge_words(start[data], sizes, table, in_rank_order=True)
+            word = np.repeat(np.arange(len(sizes)), merged.sizes)
+            at = np.flatnonzero(word[1:] == word[:-1])
+            word, pair = word[at], pair_key(merged.ids[at], merged.ids[at + 1])
+            order = np.lexsort((pair, word))
+            new = np.r_[True, (word[order[1:]] != word[order[:-1]]) | (pair[order[1:]] != pair[order[:-1]])][: len(order)]
+            order = order[new]
+            rows = pa.array(word[order])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pair[order]), batch.column(0).take(rows), batch.column(1).take(rows)], names=["pair", "word", "freq"]
+            )
+
+    return words.select("word", "freq").mapInArrow(run, "pair long, word string, freq long")
+
+
+class PairIndex:
+    """Words, the recorded changes of pair counts, and from some round on the words of each pair."""
+
+    def __init__(self, word_types: DataFrame):
+        self.spark = word_types.sparkSession
+        seen = Observation()
+        given = StoredTable(word_types.where(F.octet_length("word") > 1).observe(seen, F.count("*").alias("n")), "words")
+        self.n_words = seen.get["n"]
+        self.tasks = max(1, -(-self.n_words // WORDS_PER_TASK))
+        self.words = StoredTable(given.df.repartition(self.tasks), "words")
+        given.drop()
+        none = np.zeros((3, 0), np.int64)
+        self.changes = [self._record(_changes(self.words.df, none, 0, none[0], False))]
+        self.index: list[StoredTable] = []  # the pairs of all words, then one table per round
+        self.accepted = [0]  # per round: the rank that its accepted steps end before
+        self.touched = self.n_words
+
+    def _record(self, changes: DataFrame) -> StoredTable:
+        return StoredTable(changes.withColumn("round", F.lit(len(getattr(self, "accepted", ())))), "pair-changes")
+
+    def _accepted(self, tables: list[StoredTable]) -> DataFrame:
+        """The accepted rows of stored tables, in one scan."""
+        stored = self.spark.read.schema(tables[0].df.schema).parquet(*(t.path for t in tables))
+        ends = F.lit(np.array(self.accepted, np.int32))
+        return stored.where(F.col("step") < F.get(ends, F.col("round")))
+
+    def best_pairs(self, n: int) -> list[tuple[int, int]]:
+        """The ``n`` most frequent pairs with their counts."""
+        changes = self._accepted(self.changes).where((F.col("pair") != _TOUCHED) & F.col("word").isNull())
+        counts = changes.groupBy("pair").agg(F.sum("d").alias("n"))
+        best = counts.where("n > 0").orderBy(F.desc("n"), "pair").limit(n).collect()
+        return [(row["pair"], row["n"]) for row in best]
+
+    def _words_of(self, pairs: list[int]) -> DataFrame:
+        """The words that hold one of the pairs, or held it lately."""
+        held = F.expr(f"word IS NOT NULL AND pair IN ({', '.join(map(str, pairs))})")
+        rows = self._accepted(self.index).where(held)
+        tasks = max(1, min(self.tasks, -(-2 * self.touched // WORDS_PER_TASK)))
+        return rows.select("word", "freq").repartition(tasks, "word").distinct()
+
+    def play(self, merges: list[tuple[int, int, int]], since: int, known: list[int], floor: int, first_new: int):
+        """Plays the merges from rank ``since`` on; returns the words played and lists of pairs, ranks and changes.
+
+        A pair is at its most frequent when the younger of its symbols is made and only falls later, so the pairs
+        that matter are the known ones and new ones that start with at least ``floor``; others do not leave Spark.
+        """
+        table = np.array(merges, np.int64).reshape(-1, 3).T
+        if not self.index and self.touched < DENSE * self.n_words:
+            present = _present_pairs(self.words.df, table[:, :since]).sortWithinPartitions("pair")
+            self.index = [StoredTable(present.withColumns({"round": F.lit(0), "step": F.lit(-1)}), "pair-index")]
+        if self.index:
+            # A pair of a symbol made in this round stands in words that an earlier step of the round touches.
+            words = self._words_of([int(p) for p in pair_key(table[0][since:], table[1][since:])])
+        else:
+            words = self.words.df
+        played = self._record(_changes(words, table, since, np.array(known, np.int64), bool(self.index)))
+        self.changes.append(played)
+        new = F.greatest(F.shiftright("pair", 32), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))) >= first_new
+        sums = (
+            played.df.where("word IS NULL")
+            .groupBy("pair", "step", "known")
+            .agg(F.sum("d").alias("d"))
+            .where("d <> 0")
+            .groupBy("pair", "known")
+            .agg(F.max("d").alias("most"), F.collect_list("step").alias("steps"), F.collect_list("d").alias("ds"))
+            .where(F.col("known") | (F.col("pair") == _TOUCHED) | (new & (F.col("most") >= floor)))
+            .select("pair", "steps", "ds")
+            .toArrow()
+        )
+        pair, steps, ds = (sums.column(i).combine_chunks() for i in range(3))
+        pairs = np.repeat(pair.to_numpy(), steps.value_lengths().to_numpy())
+        changes = pairs, steps.flatten().to_numpy(), ds.flatten().to_numpy()
+        counted = pairs == _TOUCHED
+        self.touched = int(changes[2][counted].sum())
+        return self.touched, tuple(c[~counted].tolist() for c in changes)
+
+    def accept(self, end: int) -> None:
+        """Keep the last round's steps of ranks below ``end``."""
+        self.accepted.append(end)
+        if self.index:
+            self.index.append(self.changes[-1])
+        if len(self.changes) > ROUNDS_PER_STORE:
+            self._write_anew()
+
+    def _write_anew(self) -> None:
+        """One table instead of one per round. Words that lost a pair stay with it, at the cost of a look."""
+        counts = self._accepted(self.changes).where(F.col("word").isNull() & (F.col("pair") != _TOUCHED))
+        counts = counts.groupBy("pair").agg(F.sum("d").alias("d")).where("d <> 0")
+        whole = counts.select(
+            "pair",
+            F.lit(-1).alias("step"),
+            "d",
+            F.lit(False).alias("known"),
+            F.lit(None).cast("string").alias("word"),
+            F.lit(None).cast("long").alias("freq"),
+            F.lit(0).alias("round"),
+        )
+        summed, old = StoredTable(whole, "pair-changes"), self.changes
+        if len(self.index) > 1:
+            rows = self._accepted(self.index[1:]).where("word IS NOT NULL").select("pair", "word", "freq").distinct()
+            rows = rows.withColumns({"round": F.lit(0), "step": F.lit(-1)})
+            if self.index[1] not in old:
+                old = [*old, self.index[1]]
+            self.index = [self.index[0], StoredTable(rows.sortWithinPartitions("pair"), "pair-index")]
+        for table in old:
+            table.drop()
+        self.changes = [summed]
+
+    def drop(self) -> None:
+        for table in {id(t): t for t in (*self.changes, *self.index, self.words)}.values():
+            table.drop()
 
 
 @dataclass
 class TrainingReport:
     rounds: int = 0
     recounts: int = 0
+    words_played: list[int] = field(default_factory=list)  # per round
+
+
+def _pair(left: int, right: int) -> int:
+    return left << 32 | right
+
+
+def _sides(pair: int) -> tuple[int, int]:
+    return pair >> 32, pair & 0xFFFFFFFF
 
 
 class _Vocabulary:
@@ -116,53 +298,52 @@ class _Vocabulary:
         # Token strings of a pair -> (left token, right token, count change) of touched pairs.
         self.effects: dict[tuple[str, str], list[tuple[str, str, int]]] = {}
 
-    def propose(self, counts: dict[str, int], cut: tuple[int, str], limit: int, length: int) -> list[str]:
-        """Packed steps, best first by the expected counts; ends after one that respells a token."""
+    def propose(self, counts: dict[int, int], cut: tuple[int, int], limit: int, length: int) -> list[tuple[int, int, int]]:
+        """Steps ``(left, right, made)``, best first by the expected counts; ends after one that respells a token."""
         expected, steps = _Ranking(counts), []
         spelling = _Spelling(self.tokens)
         while len(steps) < length and len(self.tokens) + len(steps) < limit:
             pair = expected.best()
             if pair is None or _order(pair, expected.counts[pair]) > cut:
                 break
-            names = spelling[pair[0]], spelling[pair[1]]
+            left, right = _sides(pair)
+            names = spelling[left], spelling[right]
             token = names[0] + names[1]
-            if token in spelling.symbols:
+            if token in spelling.new:
                 break
             if token in self.ids:
-                steps.append(pair + symbol_char(self.ids[token]))
+                steps.append((left, right, self.ids[token]))
                 break
-            steps.append(pair + spelling.add(token))
+            steps.append((left, right, spelling.add(token)))
             del expected.counts[pair]
-            for left, right, d in self.effects.get(names, ()):
-                touched = self._symbol(left, spelling), self._symbol(right, spelling)
+            for one, two, d in self.effects.get(names, ()):
+                touched = self._id(one, spelling), self._id(two, spelling)
                 if None in touched:
                     continue
-                key = touched[0] + touched[1]
+                key = _pair(*touched)
                 if d > 0 or key in expected.counts:
                     expected[key] = expected.counts.get(key, 0) + d
         return steps
 
-    def _symbol(self, token: str, spelling: "_Spelling") -> str | None:
-        if token in self.ids:
-            return symbol_char(self.ids[token])
-        return spelling.symbols.get(token)
+    def _id(self, token: str, spelling: "_Spelling") -> int | None:
+        return self.ids.get(token, spelling.new.get(token))
 
-    def learn(self, steps: list[str], updates: dict[str, list[tuple[str, int]]]) -> None:
+    def learn(self, steps: list[tuple[int, int, int]], updates: list[list[tuple[int, int]]]) -> None:
         """Keep the effects of the steps just played, by token strings, which outlive rejected ids."""
         self.effects = {}
         spelling = _Spelling(self.tokens)
-        for step in steps:
-            names = spelling[step[0]], spelling[step[1]]
-            if symbol_id(step[2]) >= len(self.tokens):
+        for (left, right, made), changed in zip(steps, updates):
+            names = spelling[left], spelling[right]
+            if made >= len(self.tokens):
                 spelling.add(names[0] + names[1])
             self.effects[names] = [
-                (spelling[pair[0]], spelling[pair[1]], d) for pair, d in updates[step] if pair != step[:2]
+                (*(spelling[i] for i in _sides(pair)), d) for pair, d in changed if pair != _pair(left, right)
             ]
 
-    def accept(self, step: str) -> bool:
+    def accept(self, step: tuple[int, int, int]) -> bool:
         """Record a step; False if it respells a token that exists already."""
-        left, right, made = map(symbol_id, step)
-        self.merges.append((left, right, made))
+        left, right, made = step
+        self.merges.append(step)
         if made < len(self.tokens):
             return False
         token = self.tokens[left] + self.tokens[right]
@@ -172,41 +353,40 @@ class _Vocabulary:
 
 
 class _Spelling:
-    """Token strings of symbols, including those a proposed sequence makes on the way."""
+    """Token strings of ids, including those a proposed sequence makes on the way."""
 
     def __init__(self, tokens: list[str]):
         self.tokens = tokens
         self.made: list[str] = []
-        self.symbols: dict[str, str] = {}
+        self.new: dict[str, int] = {}
 
-    def __getitem__(self, symbol: str) -> str:
-        i = symbol_id(symbol)
+    def __getitem__(self, i: int) -> str:
         return self.tokens[i] if i < len(self.tokens) else self.made[i - len(self.tokens)]
 
-    def add(self, token: str) -> str:
-        self.symbols[token] = symbol_char(len(self.tokens) + len(self.made))
+    def add(self, token: str) -> int:
+        self.new[token] = len(self.tokens) + len(self.made)
         self.made.append(token)
-        return self.symbols[token]
+        return self.new[token]
 
 
-def _order(pair: str, count: int) -> tuple[int, str]:
-    """Best first: larger count, then smaller left and right id (code points follow ids)."""
+def _order(pair: int, count: int) -> tuple[int, int]:
+    """Best first: larger count, then smaller left and right id."""
     return -count, pair
 
 
 class _Ranking:
     """Pair counts with quick access to the best pair; outdated heap entries are skipped."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[int, int]):
         self.counts = dict(counts)
         self._heap = [_order(pair, n) for pair, n in counts.items()]
         heapify(self._heap)
 
-    def __setitem__(self, pair: str, count: int) -> None:
+    def __setitem__(self, pair: int, count: int) -> None:
         self.counts[pair] = count
         heappush(self._heap, _order(pair, count))
 
-    def best(self) -> str | None:
+    def best(self) -> int | None:
         while self._heap:
             negative, pair = self._heap[0]
             if self.counts.get(pair) == -negative:
@@ -226,57 +406,59 @@ def train_bpe(
     check_vocab_size(vocab_size)
     spark = word_types.sparkSession
     report = report or TrainingReport()
-    vocab = _Vocabulary()
-    stored = StoredTable(symbol_words(word_types).where(F.char_length("s") > 1), "words")
-    tasks = max(1, -(-stored.df.count() // WORDS_PER_TASK))
-    words = stored.df.repartition(tasks).persist()
-    kept = [words]  # cached generations since the words were last written
+    pushed = spark.conf.get(_PUSHED_VALUES)
+    # So the file scan gets the proposed pairs one by one and skips what holds none of them.
+    spark.conf.set(_PUSHED_VALUES, str(max(int(pushed), round_length)))
+    try:
+        vocab = _learn_merges(PairIndex(word_types), vocab_size, frontier_size, round_length, report)
+    finally:
+        spark.conf.set(_PUSHED_VALUES, pushed)
+    made = model_from_merges(spark, vocab.merges, vocab.tokens)
+    return BpeModel(store(made.vocab, "vocab"), store(made.merges, "merges"))
 
+
+def _learn_merges(
+    index: PairIndex, vocab_size: int, frontier_size: int, round_length: int, report: TrainingReport
+) -> _Vocabulary:
+    vocab = _Vocabulary()
     while len(vocab.tokens) < vocab_size:
-        best = pair_counts(words).orderBy(F.desc("n"), "pair").limit(frontier_size).collect()
+        best = index.best_pairs(frontier_size)
         report.recounts += 1
         if not best:
             break
-        ranking = _Ranking({row["pair"]: row["n"] for row in best})
+        ranking = _Ranking(dict(best))
         counts = ranking.counts
         # Pairs that were not fetched rank below the last one fetched, and stay below it.
         complete = len(best) < frontier_size
-        cut = (-1, chr(0x10FFFF)) if complete else _order(best[-1]["pair"], best[-1]["n"])
+        cut = (-1, 1 << 62) if complete else _order(*best[-1])
         distinct = True
 
         while distinct and counts and len(vocab.tokens) < vocab_size:
             proposed = vocab.propose(counts, cut, vocab_size, round_length)
-            first_new = symbol_char(len(vocab.tokens))
-            updates: dict[str, list] = {step: [] for step in proposed}
-            for row in _round_changes(words, proposed, set(counts), first_new, -cut[0]).collect():
-                for step, d in row["changes"]:
-                    updates[proposed[step]].append((row["pair"], d))
+            since = len(vocab.merges)
+            played, changes = index.play(vocab.merges + proposed, since, list(counts), -cut[0], len(vocab.tokens))
             report.rounds += 1
+            report.words_played.append(played)
+            updates: list[list[tuple[int, int]]] = [[] for _ in proposed]
+            for pair, step, d in zip(*changes):
+                updates[step - since].append((pair, d))
             vocab.learn(proposed, updates)
-
-            accepted = []
-            for step in proposed:
-                if ranking.best() != step[:2]:
+            for step, changed in zip(proposed, updates):
+                if ranking.best() != _pair(*step[:2]):
                     break
                 distinct = vocab.accept(step)
-                accepted.append(step)
-                for pair, d in updates[step]:
+                for pair, d in changed:
                     value = counts.get(pair, 0) + d
                     if value > 0 and _order(pair, value) <= cut:
                         ranking[pair] = value
                     else:
                         counts.pop(pair, None)
-            words = replay(words, accepted)
-            if report.rounds % ROUNDS_PER_STORE == 0:
-                newer = StoredTable(words, "words")
-                for generation in kept:
-                    generation.unpersist()
-                stored.drop()
-                stored, words, kept = newer, newer.df, []
-            words = words.persist()
-            kept.append(words)
-    for generation in kept:
-        generation.unpersist()
-    stored.drop()
-    made = model_from_merges(spark, vocab.merges, vocab.tokens)
-    return BpeModel(store(made.vocab, "vocab"), store(made.merges, "merges"))
+            index.accept(len(vocab.merges))
+            if len(counts) > 2 * frontier_size:  # the least frequent pairs wait for a recount
+                kept = nsmallest(frontier_size, counts.items(), key=lambda c: _order(*c))
+                ranking, cut = _Ranking(dict(kept)), _order(*kept[-1])
+                counts, complete = ranking.counts, False
+            if not complete and 2 * len(proposed) < round_length:
+                break  # few pairs above the cut are left
+    index.drop()
+    return vocab

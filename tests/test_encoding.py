@@ -1,13 +1,18 @@
 import json
+import random
 import time
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, decoders, models, pre_tokenizers, trainers
+from tokenizers import Regex as TokenizerRegex, Tokenizer, decoders, models, normalizers, pre_tokenizers, trainers
 
 import lexigrain.operators.encoding as E
+from lexigrain.operators.joinkernel import merge_events_by_joins
 from lexigrain.operators.model import model_from_merges
+from lexigrain.functions import bpe
 from lexigrain.functions.bpe import WordEncoder
 from lexigrain.functions.symbols import base_tokens
 from lexigrain.operators.prefixes import measure_prefix, prefix_sweep, size_grid, vocabulary_grid
@@ -102,7 +107,13 @@ def test_other_base_vocabularies_encode_as_the_library(spark, tmp_path, layout):
 
 def test_settings_that_encode_differently_are_refused(spark, tmp_path, library):
     source = json.loads(library.to_str())
-    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+    refused = (
+        {"normalizer": {"type": "Nmt"}},
+        {"pre_tokenizer": {"type": "Whitespace"}},  # words without byte-level spelling
+        {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "UnicodeScripts"}, source["pre_tokenizer"]]}},
+        {"normalizer": {"type": "Lowercase"}, "added_tokens": [{"id": 0, "content": "[UNK]", "normalized": True}]},
+    )
+    for change in refused:
         path = tmp_path / "tokenizer.json"
         path.write_text(json.dumps(source | change))
         with pytest.raises(ValueError, match="not supported"):
@@ -154,11 +165,165 @@ def test_a_long_word_is_quick_with_long_tokens():
         for column, value in zip(rules, (last, last, 257 + rank, rank)):
             rules[column].append(value)
     content = {k: np.array(v, np.int32) for k, v in rules.items()}
-    content |= {"key": "long", "bytes": list(range(256)), "unknown": None, "specials": {}}
+    content |= {"start": np.tile(np.arange(256), (4, 1)), "specials": {}, "whole": {}}
     started = time.perf_counter()
-    ids, events = WordEncoder(content).encode("A" * 8001)
+    merged = WordEncoder(content).encode(pa.array(["A" * 8001]))
     assert time.perf_counter() - started < 1
-    assert ids == [266] * 7 + [265, 264, 262, 65] and len(events) == 8001 - len(ids)
+    ids = merged.ids.tolist()
+    assert ids == [266] * 7 + [265, 264, 262, 65] and sum(n.sum() for _, _, n in merged.events) == 8001 - len(ids)
+
+
+PUBLIC_TEXTS = [*TEXTS, "Straße ΣΊΣΥΦΟΣ İstanbul K", "cafe\u0301 > \u0338 x", "A<|endoftext|>b  <|startoftext|>\n\n c", "we'll WE'LL 1234 ½", ""]
+
+
+def test_public_tokenizer_with_normalizer_and_word_ends_equals_the_library(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, model = Tokenizer.from_file(path), load_json(spark, path)
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(-i - 1, t) for i, t in enumerate(PUBLIC_TEXTS)], "doc_id long, text string")
+    corpus = documents.unionByName(more)
+    ids = {r["doc_id"]: r["ids"] for r in E.document_token_ids(corpus, ["doc_id"], model).collect()}
+    counts = {r["doc_id"]: r["n_tokens"] for r in E.document_token_counts(corpus, ["doc_id"], model).collect()}
+    for row in corpus.where("text <> ''").collect():
+        expected = library.encode(row["text"], add_special_tokens=False).ids
+        assert ids[row["doc_id"]] == expected and counts[row["doc_id"]] == len(expected)
+    total = corpus_token_totals(corpus, {"word": model}).first()["token_count"]
+    assert total == sum(counts.values())
+
+
+SETTINGS = [
+    {"pre_tokenizer": pre_tokenizers.Sequence([
+        pre_tokenizers.Split(TokenizerRegex(r"(?i:'s|'t)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s+"), "isolated"),
+        pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])},
+    {"pre_tokenizer": pre_tokenizers.Sequence([
+        pre_tokenizers.Split(TokenizerRegex(r"(b)(a)|\d"), "removed"), pre_tokenizers.ByteLevel(add_prefix_space=True, use_regex=False)])},
+    {"pre_tokenizer": pre_tokenizers.Sequence([
+        pre_tokenizers.Split(TokenizerRegex(r"\w+"), "removed", invert=True), pre_tokenizers.Digits(individual_digits=True),
+        pre_tokenizers.ByteLevel(add_prefix_space=False)])},
+    {"pre_tokenizer": pre_tokenizers.Sequence([
+        pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Punctuation(), pre_tokenizers.Split("a.", "isolated"),
+        pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])},
+    {"normalizer": normalizers.Sequence([normalizers.NFKD(), normalizers.Lowercase()])},
+    {"normalizer": normalizers.Sequence([normalizers.Strip(), normalizers.Replace("a", "$1b"), normalizers.Prepend("x ")])},
+    {"normalizer": normalizers.Replace(TokenizerRegex(r"\s+"), " "), "literal": {"lstrip": True, "rstrip": True}},
+    {"literal": {"rstrip": True}},
+]
+
+
+@pytest.mark.parametrize("number", range(len(SETTINGS)))
+def test_file_settings_encode_as_the_library_does(spark, tmp_path, library, number):
+    settings = SETTINGS[number]
+    other = Tokenizer.from_str(library.to_str())
+    if "pre_tokenizer" in settings:
+        other.pre_tokenizer = settings["pre_tokenizer"]
+    if "normalizer" in settings:
+        other.normalizer = settings["normalizer"]
+    source = json.loads(other.to_str())
+    for entry in source["added_tokens"]:
+        entry |= {"normalized": False} | settings.get("literal", {})
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps(source))
+    other, model = Tokenizer.from_file(str(path)), load_json(spark, str(path))
+    corpus = spark.createDataFrame(list(enumerate(PUBLIC_TEXTS)), "doc int, text string")
+    save_model(model, str(tmp_path / "saved"))
+    for read in (model, load_tables(spark, str(tmp_path / "saved")), load_json(spark, str(tmp_path / "saved/tokenizer.json"))):
+        ids = {r["doc"]: r["ids"] for r in E.document_token_ids(corpus, ["doc"], read).collect()}
+        for i, text in enumerate(PUBLIC_TEXTS):
+            assert ids.get(i, []) == other.encode(text, add_special_tokens=False).ids, text
+
+
+def test_whole_words_are_not_merged_if_the_file_says_so(spark, tmp_path, library):
+    source = json.loads(library.to_str())
+    source["model"]["ignore_merges"] = True
+    source["model"]["merges"] = source["model"]["merges"][:60]  # later entries can only be met whole
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps(source))
+    other, model = Tokenizer.from_file(str(path)), load_json(spark, str(path))
+    corpus = spark.createDataFrame(list(enumerate(PUBLIC_TEXTS)), "doc int, text string")
+    ids = {r["doc"]: r["ids"] for r in E.document_token_ids(corpus, ["doc"], model).collect()}
+    assert [ids.get(i, []) for i in range(len(PUBLIC_TEXTS))] == [other.encode(t).ids for t in PUBLIC_TEXTS]
+
+
+def test_both_ways_of_encoding_count_the_same_merges(spark, words, model):
+    flat = {(r["rank"], r["n"]) for r in E.merge_events(words, model).collect()}
+    assert {(r["rank"], r["n"]) for r in merge_events_by_joins(words, model).collect()} == flat
+    # Rules whose token stands in earlier rules are applied one place at a time.
+    tokens = base_tokens()
+    ids = {t: i for i, t in enumerate(tokens)}
+    a, b, c = (ids[x] for x in "abc")
+    n = len(tokens)
+    odd = model_from_merges(spark, [(a, b, n), (n, c, n + 1), (b, c, n + 2), (a, n + 2, n + 1), (c, a, n)], [*tokens, "ab", "abc", "bc"])
+    text = spark.createDataFrame([("abcabcca bcabca ccaabc acabcab",)], "text string")
+    own = E.word_table(text)
+    flat = {(r["rank"], r["n"]) for r in E.merge_events(own, odd).collect()}
+    assert {(r["rank"], r["n"]) for r in merge_events_by_joins(own, odd).collect()} == flat
+
+
+def random_rules(draw, letters, n):
+    """A merge list in no order: pairs repeat, and different pairs make the same token."""
+    known, rules = list(range(letters)), []
+    for rank in draw.sample(range(3 * n), n):
+        a, b = draw.choice(known), draw.choice(known)
+        made = draw.choice(known[letters:]) if len(known) > letters and draw.random() < 0.3 else letters + len(rules)
+        known.append(made)
+        rules.append((a, b, rank, made))
+    return [np.array(c, np.int64) for c in zip(*rules)]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_words_merged_together_equal_one_at_a_time(seed):
+    draw = random.Random(seed)
+    table = bpe.MergeTable(*random_rules(draw, 3, draw.choice((1, 4, 12, 40))))
+    words = [[draw.randrange(3) for _ in range(draw.choice((0, 1, 2, 5, 9, 30)))] for _ in range(60)]
+    merged = bpe.merge_words(np.array(sum(words, []), np.int64), np.array([len(w) for w in words]), table)
+    per_word = {}
+    for word, rank, n in merged.events:
+        for w, r, k in zip(word.tolist(), rank.tolist(), n.tolist()):
+            per_word.setdefault(w, []).extend([r] * k)
+    at = 0
+    for i, word in enumerate(words):
+        ids, ranks = bpe.merge_long_word(list(word), table)
+        assert merged.ids[at : at + merged.sizes[i]].tolist() == ids and per_word.get(i, []) == ranks
+        at += merged.sizes[i]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_merging_in_rank_order_equals_replacing_step_by_step(seed):
+    draw = random.Random(seed)
+    left, right, rank, made = random_rules(draw, 3, draw.choice((1, 4, 12, 40)))
+    words = [[draw.randrange(3) for _ in range(draw.choice((0, 1, 2, 5, 9, 30)))] for _ in range(40)]
+    since = int(np.median(rank))
+    trace = bpe.Trace(since)
+    table = bpe.MergeTable(left, right, rank, made)
+    merged = bpe.merge_words(np.array(sum(words, []), np.int64), np.array([len(w) for w in words]), table, True, trace)
+    expected = Counter()
+    at = 0
+    for i, word in enumerate(words):
+        text = list(word)
+        for step in np.argsort(rank):
+            before = Counter(zip(text, text[1:]))
+            out, j = [], 0
+            while j < len(text):
+                if j + 1 < len(text) and (text[j], text[j + 1]) == (left[step], right[step]):
+                    out.append(int(made[step]))
+                    j += 2
+                else:
+                    out.append(text[j])
+                    j += 1
+            if rank[step] >= since and out != text:
+                after = Counter(zip(out, out[1:]))
+                for pair in before.keys() | after.keys():
+                    if after[pair] != before[pair]:
+                        expected[i, int(rank[step]), pair[0] << 32 | pair[1]] += after[pair] - before[pair]
+            text = out
+        assert merged.ids[at : at + merged.sizes[i]].tolist() == text
+        at += merged.sizes[i]
+    got = Counter()
+    for word, step, pair, change in zip(*(c.tolist() for c in trace.columns())):
+        got[word, step, pair] += change
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in expected.items() if v}
 
 
 def test_sweep_equals_prefix_models_and_the_library(spark, words, model, library):

@@ -66,7 +66,7 @@ def test_decode_replaces_broken_characters_and_drops_specials(spark):
     assert tokens.select(S.decode_tokens(F.col("t"))).first()[0] == "a�"
 
 
-@pytest.mark.parametrize("token_id", [0, 1, 256, 257, 55_263, 55_264, 65_535, 1_000_000, S.MAX_VOCAB_SIZE - 1])
+@pytest.mark.parametrize("token_id", [0, 1, 256, 257, 55_263, 55_264, 65_535, 1_000_000, S.MAX_SYMBOLS - 1])
 def test_symbol_ids_cover_the_code_space(spark, token_id):
     char = S.symbol_char(token_id)
     assert S.symbol_id(char) == token_id

@@ -58,11 +58,28 @@ def test_shorter_training_is_a_prefix_and_rounds_are_few(spark):
 
 def test_vocab_size_bounds():
     check_vocab_size(257)
-    for size in (256, 2_000_000):
+    check_vocab_size(2_000_000)
+    for size in (256, 2**31):
         with pytest.raises(ValueError):
             check_vocab_size(size)
 
 
+def test_rounds_play_only_words_that_hold_a_proposed_pair(spark):
+    texts, report = [random_text(s) for s in range(6)] + ["qz qz qz zq"], TrainingReport()
+    model = trained(spark, texts, 340, round_length=8, report=report)
+    assert merges(model) == library_merges(library_model(texts, 340))
+    words = len({w for t in texts for w in t.split(" ")})
+    assert len(report.words_played) == report.rounds > 4
+    assert report.words_played[0] > 4 * report.words_played[-1] and sum(report.words_played) < report.rounds * words / 2
+
+
+def test_summing_up_the_index_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr("lexigrain.operators.training.ROUNDS_PER_STORE", 2)
+    texts = [random_text(s) for s in (11, 12)]
+    model = trained(spark, texts, 300, frontier_size=30, round_length=5)
+    assert merges(model) == library_merges(library_model(texts, 300))
+
+
 def test_training_keeps_nothing_cached(spark):
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     trained(spark, [random_text(9)], 300, round_length=2)
