@@ -297,8 +297,6 @@ ORACLES: dict[str, str] = {
     "bpe_encode_other_base": f"""{_STATES}
         SELECT word, f_conv AS freq, length(s)::INT AS n_tokens, {_IDS.replace('- 32', '- 33')} AS ids
         FROM states WHERE k = {FULL} AND f_conv > 0""",
-    "prefix_sweep_large": f"""{_points('f_conv', 'conversations')}
-        SELECT vocab_size, token_count, {_RATIOS} FROM points, used WHERE vocab_size < 320""",
     "heldout_meta": f"""{_HELDOUT},
         taken AS (SELECT sum({_SIZE})::BIGINT AS b, count(*) AS d FROM slice WHERE text <> ''),
         skipped AS (SELECT {_cut('(total * 60 // 100 - (done - n))')} AS text FROM sized, total

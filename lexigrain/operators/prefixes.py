@@ -93,7 +93,7 @@ def measure_prefix(words: DataFrame, model: BpeModel, vocab_size: int, text_byte
 def require_point_tokens(points: DataFrame) -> None:
     empty = points.where(F.coalesce("token_count", F.lit(0)) == 0).orderBy("vocab_size").first()
     if empty is not None:
-        raise ValueError(f"the {empty['vocab_size']:,}-entry prefix produced no tokens")
+        raise ValueError(f"no text was encoded by the prefix of {empty['vocab_size']:,} entries")
 
 
 def sweep_summary(points: DataFrame, stats: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexigrain.functions.pretokens import Splitting
-from lexigrain.operators.encoding import encode_words, word_table
+from lexigrain.functions.bpe import WordEncoder
+from lexigrain.operators.encoding import encode_words
 from lexigrain.operators.model import BpeModel
+from lexigrain.operators.words import word_types_by_way
 
 
 def token_totals(words: DataFrame, models: dict[str, BpeModel]) -> DataFrame:
@@ -28,14 +31,34 @@ def token_totals(words: DataFrame, models: dict[str, BpeModel]) -> DataFrame:
 
 
 def corpus_token_totals(corpus: DataFrame, models: dict[str, BpeModel], text: str = "text") -> DataFrame:
-    """:func:`token_totals` from the text itself, one word table per way of cutting it."""
+    """:func:`token_totals` from the text itself, in one scan however many ways of cutting there are.
+
+    A word is counted per way of cutting, and only the models that cut that way encode it.
+    """
     if not models:
         raise ValueError("name at least one tokenizer")
-    ways: dict[Splitting, dict[str, BpeModel]] = {}
-    for name, model in models.items():
-        ways.setdefault(model.splitting, {})[name] = model
-    parts = [token_totals(word_table(corpus, text, way), own) for way, own in ways.items()]
-    return reduce(DataFrame.unionByName, parts)
+    ways = list(dict.fromkeys(model.splitting for model in models.values()))
+    contents = {
+        name: (ways.index(model.splitting), corpus.sparkSession.sparkContext.broadcast(model.content()))
+        for name, model in models.items()
+    }
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoders = {name: (way, WordEncoder(content.value)) for name, (way, content) in contents.items()}
+        totals = dict.fromkeys(contents, 0)
+        for batch in batches:
+            for way in set(batch.column(0).to_pylist()):
+                own = batch.filter(pc.equal(batch.column(0), way))
+                freq = own.column(2).to_numpy(zero_copy_only=False)
+                for name, (cut, encoder) in encoders.items():
+                    if cut == way:
+                        totals[name] += int((encoder.encode(own.column(1)).sizes * freq).sum())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["name", "token_count"]
+        )
+
+    counted = word_types_by_way(corpus, ways, text).mapInArrow(encode, "name string, token_count bigint")
+    return counted.groupBy("name").agg(F.sum("token_count").alias("token_count"))
 
 
 def id_bits(vocab_size: Column) -> Column:
@@ -91,4 +114,4 @@ def require_tokens(report: DataFrame, names: list[str]) -> None:
     scored = {r["name"] for r in report.where("token_count > 0").select("name").collect()}
     for name in names:
         if name not in scored:
-            raise ValueError(f"tokenizer {name!r} produced no tokens")
+            raise ValueError(f"no text was encoded by the tokenizer {name!r}")

@@ -401,16 +401,23 @@ def train_bpe(
     frontier_size: int = FRONTIER_SIZE,
     round_length: int = ROUND_LENGTH,
     report: TrainingReport | None = None,
+    share: float = 1.0,
 ) -> BpeModel:
-    """Learn merges over ``(word, freq)`` until ``vocab_size`` entries exist or no pair is left."""
+    """Learn merges over ``(word, freq)`` until ``vocab_size`` entries exist or no pair is left.
+
+    With ``share`` below 1 the result is approximate and takes fewer rounds: a proposed merge is accepted as long
+    as its exact count at that moment is at least this share of the best pair's.
+    """
     check_vocab_size(vocab_size)
+    if not 0 < share <= 1:
+        raise ValueError("the share of the best count must lie above 0 and at most at 1")
     spark = word_types.sparkSession
     report = report or TrainingReport()
     pushed = spark.conf.get(_PUSHED_VALUES)
     # So the file scan gets the proposed pairs one by one and skips what holds none of them.
     spark.conf.set(_PUSHED_VALUES, str(max(int(pushed), round_length)))
     try:
-        vocab = _learn_merges(PairIndex(word_types), vocab_size, frontier_size, round_length, report)
+        vocab = _learn_merges(PairIndex(word_types), vocab_size, frontier_size, round_length, report, share)
     finally:
         spark.conf.set(_PUSHED_VALUES, pushed)
     made = model_from_merges(spark, vocab.merges, vocab.tokens)
@@ -418,7 +425,7 @@ def train_bpe(
 
 
 def _learn_merges(
-    index: PairIndex, vocab_size: int, frontier_size: int, round_length: int, report: TrainingReport
+    index: PairIndex, vocab_size: int, frontier_size: int, round_length: int, report: TrainingReport, share: float
 ) -> _Vocabulary:
     vocab = _Vocabulary()
     while len(vocab.tokens) < vocab_size:
@@ -444,10 +451,11 @@ def _learn_merges(
                 updates[step - since].append((pair, d))
             vocab.learn(proposed, updates)
             for step, changed in zip(proposed, updates):
-                if ranking.best() != _pair(*step[:2]):
+                best, pair = ranking.best(), _pair(*step[:2])
+                if best != pair and (share == 1 or counts.get(pair, 0) < share * counts.get(best, 1)):
                     break
                 distinct = vocab.accept(step)
-                for pair, d in changed:
+                for pair, d in changed:  # the merged pair among them
                     value = counts.get(pair, 0) + d
                     if value > 0 and _order(pair, value) <= cut:
                         ranking[pair] = value

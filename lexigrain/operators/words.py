@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lexigrain.functions.pretokens import Splitting, encoding_pretokens, pretokens
 from lexigrain.functions.text import is_nonempty
@@ -21,3 +21,18 @@ def word_types(corpus: DataFrame, text: str = "text", splitting: Splitting | Non
         .groupBy("word")
         .agg(F.count("*").alias("freq"))
     )
+
+
+def _tagged(split: Column, number: int) -> Column:
+    return F.transform(split, lambda w: F.struct(F.lit(number).alias("way"), w.alias("word")))
+
+
+def word_types_by_way(corpus: DataFrame, ways: list[Splitting], text: str = "text") -> DataFrame:
+    """``(way, word, freq)`` for every way of cutting, by its number in ``ways``, from one scan of the corpus."""
+    split = [_tagged(encoding_pretokens(F.col(text), way), number) for number, way in enumerate(ways)]
+    return (
+        corpus.where(is_nonempty(F.col(text)))
+        .select(F.inline(F.concat(*split)))
+        .groupBy("way", "word")
+        .agg(F.count("*").alias("freq"))
+    )

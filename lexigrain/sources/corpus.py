@@ -30,8 +30,10 @@ def read_corpus(
     """``(order columns, text)`` of a corpus; only these columns reach the file scan.
 
     ``config`` and ``split`` select partition directories (``config=…/split=…``) or column values.
-    Without ``order_by``, parquet rows are ordered by file path and row index; other formats carry no
-    row number and need an order column.
+    A corpus without splits is its own ``train`` split. Without ``order_by``, rows are ordered as they stand in
+    their files: parquet rows by file path and row index, those of other formats by file path, first byte of the
+    block that a task reads, and place in the task, which rises along each block. The latter holds as long as the
+    files and the session's ``spark.sql.files`` settings stay the same.
     """
     if fmt not in FORMATS:
         raise ValueError(f"unknown corpus format {fmt!r}; formats: {', '.join(FORMATS)}")
@@ -39,13 +41,20 @@ def read_corpus(
     for column, wanted in (("config", config), ("split", split)):
         if wanted is not None:
             if column not in df.columns:
+                if (column, wanted) == ("split", "train"):
+                    continue
                 raise ValueError(f"the corpus has no {column!r} column or directory level")
             df = df.where(F.col(column) == wanted)
     text = "value" if fmt == "text" and text_column not in df.columns else text_column
     check_text_column(df, text)
     if order_by is None:
         if fmt != "parquet":
-            raise ValueError(f"a {fmt} corpus needs an order column")
+            return df.select(
+                F.col("_metadata.file_path").alias("file_path"),
+                F.col("_metadata.file_block_start").alias("block_start"),
+                F.monotonically_increasing_id().alias("place"),
+                F.col(text).alias(text_column),
+            )
         return df.select(
             F.col("_metadata.file_path").alias("file_path"),
             F.col("_metadata.row_index").alias("row_index"),

@@ -1,7 +1,15 @@
-"""The cached held-out slice: JSON lines with one ``text`` field, and a metadata file beside it."""
+"""The cached held-out slice: JSON lines with ``text`` and the order columns, and a metadata file beside it.
+
+The texts of a cache lie in a folder with a name of its own; the metadata file names it and is put in place in one
+step, last of all. So the metadata file always points to texts that are complete: whatever step a run stops at,
+a reader finds the cache before it or the cache after it. Texts that no metadata file names are left-overs and are
+not read; a later run writes texts of its own.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexigrain.functions.text import is_nonempty
@@ -12,45 +20,75 @@ from lexigrain.operators.slicing import (
     require_bytes,
 )
 from lexigrain.sources.reports import read_json_file, write_summary
-from lexigrain.storage import move, path_exists, remove, require_new_path
+from lexigrain.storage import path_exists, remove, replace_file, require_new_path
 
-# Fixed value: the format tag of the cache.
+# The format tag of the cache and the names of its files; so are the metadata's field names below.
 CACHE_FORMAT = "jsonl-text-v1"
+TEXT_NAME = "heldout.jsonl"
+META_NAME = "heldout_meta.json"
 TEXT_SCHEMA = "text string"
+#: Field of a line that holds its order columns.
+ORDER = "order"
 
 
 def text_path(folder: str) -> str:
-    return f"{folder}/heldout.jsonl"
+    """Where the texts of a cache lie that does not say so itself."""
+    return f"{folder}/{TEXT_NAME}"
 
 
 def meta_path(folder: str) -> str:
-    return f"{folder}/heldout_meta.json"
+    return f"{folder}/{META_NAME}"
+
+
+def _new_text_path(folder: str) -> str:
+    return f"{folder}/heldout-{uuid.uuid4().hex}.jsonl"
+
+
+def _texts_of(folder: str, metadata: dict) -> str:
+    """The texts that the metadata names, beside the metadata wherever the folder is now."""
+    named = metadata.get("text_path")
+    return f"{folder}/{named.rstrip('/').rsplit('/', 1)[-1]}" if named else text_path(folder)
 
 
 def write_texts(df: DataFrame, order_by: list[str], path: str, text: str = "text") -> None:
-    """JSON lines in corpus order; Spark's commit leaves ``_SUCCESS`` only on completion."""
+    """JSON lines in corpus order, each with its order columns; Spark's commit leaves ``_SUCCESS`` at the end."""
     require_new_path(df.sparkSession, path)
     ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    ordered.select(F.col(text).alias("text")).write.json(path)
+    ordered.select(F.col(text).alias("text"), F.struct(*order_by).alias(ORDER)).write.json(path)
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(TEXT_SCHEMA).json(text_path(folder))
+    metadata = read_json_file(spark, meta_path(folder)) if path_exists(spark, meta_path(folder)) else {}
+    return spark.read.schema(TEXT_SCHEMA).json(_texts_of(folder, metadata))
+
+
+def read_ordered_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Order columns and text of a cache that was written with them, in no particular order of rows."""
+    metadata = read_json_file(spark, meta_path(folder))
+    if "order_schema" not in metadata:
+        raise ValueError(f"the cache in {folder} holds no order columns")
+    schema = f"{ORDER} struct<{metadata['order_schema']}>, {TEXT_SCHEMA}"
+    return spark.read.schema(schema).json(_texts_of(folder, metadata)).select(f"{ORDER}.*", "text")
+
+
+def publish(spark: SparkSession, folder: str, metadata: dict) -> None:
+    """Puts the metadata of complete texts in place."""
+    staged = f"{meta_path(folder)}.{uuid.uuid4().hex}"
+    write_summary(spark, metadata, staged)
+    replace_file(spark, staged, meta_path(folder))
 
 
 def is_cached(spark: SparkSession, folder: str) -> bool:
-    """True for a finished cache, False for none; anything in between is an error."""
+    """True for a finished cache, False for none; a part of one under the names of a whole one is an error."""
     meta = path_exists(spark, meta_path(folder))
-    texts = path_exists(spark, text_path(folder))
+    target = _texts_of(folder, read_json_file(spark, meta_path(folder)) if meta else {})
+    texts = path_exists(spark, target)
     # A cache brought from elsewhere may be one plain file without a commit marker.
-    whole = texts and (
-        path_exists(spark, f"{text_path(folder)}/_SUCCESS")
-        or not path_exists(spark, f"{text_path(folder)}/_temporary")
-    )
+    whole = texts and (path_exists(spark, f"{target}/_SUCCESS") or not path_exists(spark, f"{target}/_temporary"))
     if whole and meta:
         return True
     if texts or meta:
-        raise ValueError(f"incomplete held-out cache in {folder}")
+        raise ValueError(f"the held-out cache in {folder} is incomplete")
     return False
 
 
@@ -78,7 +116,9 @@ def prepare_heldout(
     taken = corpus.take(eval_bytes, start)[0]
     used = corpus.stats(eval_bytes, start)
     require_bytes(used, eval_bytes, "evaluation size")
-    write_texts(taken, corpus.order_by, text_path(folder), corpus.text)
+    target = _new_text_path(folder)
+    write_texts(taken, corpus.order_by, target, corpus.text)
+    order_schema = ", ".join(f"`{c}`: {taken.schema[c].dataType.simpleString()}" for c in corpus.order_by)
     metadata = {
         "format": CACHE_FORMAT,
         "dataset": dataset,
@@ -91,9 +131,10 @@ def prepare_heldout(
         "eval_bytes_requested": eval_bytes,
         "cached_utf8_bytes": used.bytes_used,
         "cached_documents": used.documents_used,
-        "text_path": text_path(folder),
+        "text_path": target,
+        "order_schema": order_schema,
     }
-    write_summary(spark, metadata, meta_path(folder))
+    publish(spark, folder, metadata)
     return metadata
 
 
@@ -110,35 +151,25 @@ def legacy_texts(lines: DataFrame) -> DataFrame:
 def migrate(spark: SparkSession, folder: str, metadata: dict) -> dict:
     """Rewrite a legacy cache as JSON objects and update its format tag.
 
-    The new texts and metadata are written in full before the old ones are moved aside, and those are
-    deleted last, so that at every moment either the old or the new cache lies on disk whole.
+    The new texts are complete under their own name before the metadata that names them replaces the old one in a
+    single step; the old texts are deleted last.
     """
-    target, described = text_path(folder), meta_path(folder)
-    staging, old = f"{target}.migrating", f"{target}.legacy"
-    new_meta, old_meta = f"{described}.migrating", f"{described}.legacy"
-    for path in (staging, old, new_meta, old_meta):
-        if path_exists(spark, path):
-            raise ValueError(f"incomplete held-out migration: {path}")
-    texts = legacy_texts(spark.read.text(target))
+    old, target = _texts_of(folder, metadata), _new_text_path(folder)
+    texts = legacy_texts(spark.read.text(old))
     if not texts.where(~F.coalesce("ok", F.lit(False))).isEmpty():
-        raise ValueError(f"a legacy held-out cache must hold JSON strings: {target}")
-    texts.select("text").write.json(staging)
-    metadata = {**metadata, "format": CACHE_FORMAT}
-    write_summary(spark, metadata, new_meta)
-    move(spark, target, old)
-    move(spark, staging, target)
-    move(spark, described, old_meta)
-    move(spark, new_meta, described)
+        raise ValueError(f"a line in {old} is not a single JSON string, as a legacy cache holds")
+    texts.select("text").write.json(target)
+    metadata = {**metadata, "format": CACHE_FORMAT, "text_path": target}
+    publish(spark, folder, metadata)
     remove(spark, old)
-    remove(spark, old_meta)
     return metadata
 
 
 def open_heldout(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
     """Texts and metadata of a prepared cache."""
-    if not (path_exists(spark, text_path(folder)) and path_exists(spark, meta_path(folder))):
+    metadata = read_json_file(spark, meta_path(folder)) if path_exists(spark, meta_path(folder)) else None
+    if metadata is None or not path_exists(spark, _texts_of(folder, metadata)):
         raise ValueError(f"there is no held-out cache in {folder}")
-    metadata = read_json_file(spark, meta_path(folder))
     if metadata.get("format") != CACHE_FORMAT:
-        raise ValueError("prepare the held-out cache before measuring")
+        raise ValueError(f"the cache in {folder} is of an older format: prepare it first")
     return read_texts(spark, folder).where(is_nonempty(F.col("text"))), metadata

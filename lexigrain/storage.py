@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,23 @@ def checkpoint_root(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_scopes: list[list["StoredTable"]] = []
+
+
+@contextmanager
+def temporary_tables() -> Iterator[None]:
+    """Drops all tables stored inside when it ends, for runs that leave their results elsewhere.
+
+    Tables stored outside stay until they are dropped, as the frames that read them may be used later.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for table in _scopes.pop():
+            table.drop()
+
+
 class StoredTable:
     """A DataFrame written once under the checkpoint folder and read back from there."""
 
@@ -51,6 +70,16 @@ class StoredTable:
         self.path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
+        if _scopes:
+            _scopes[-1].append(self)
+
+    def keep(self) -> "StoredTable":
+        """Leaves the table to the enclosing scope, if there is one."""
+        if _scopes and self in _scopes[-1]:
+            _scopes[-1].remove(self)
+            if len(_scopes) > 1:
+                _scopes[-2].append(self)
+        return self
 
     def drop(self) -> None:
         """Delete the files once nothing reads them any more."""
@@ -83,6 +112,26 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot rename {source} to {target}")
 
 
+def replace_file(spark: SparkSession, source: str, target: str) -> None:
+    """Moves a file over another one in a single step, so readers see the old one or the new one."""
+    jvm = spark._jvm
+    location = jvm.org.apache.hadoop.fs.Path(target)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        jvm.org.apache.hadoop.fs.Path(source).getFileSystem(spark._jsc.hadoopConfiguration()).getUri(),
+        spark._jsc.hadoopConfiguration(),
+    )
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    context.rename(jvm.org.apache.hadoop.fs.Path(source), location, how)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder."""
+    fs, location = _filesystem(spark, path)
+    return [status.getPath().getName() for status in fs.listStatus(location)]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, location = _filesystem(spark, path)
     fs.delete(location, True)
@@ -94,14 +143,14 @@ def require_empty_directory(spark: SparkSession, path: str) -> None:
     if not fs.exists(location):
         return
     if not fs.getFileStatus(location).isDirectory():
-        raise ValueError(f"output path is not a directory: {path}")
+        raise ValueError(f"results need a folder, but {path} is a file")
     if len(fs.listStatus(location)):
-        raise ValueError(f"output directory is not empty: {path}")
+        raise ValueError(f"the folder {path} holds files already")
 
 
 def require_new_path(spark: SparkSession, path: str) -> None:
     if path_exists(spark, path):
-        raise ValueError(f"output already exists: {path}")
+        raise ValueError(f"there is something at {path} already")
 
 
 def write_one_file(df: DataFrame, path: str) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex as TokenizerRegex, Tokenizer, decoders, models, normalizers, pre_tokenizers, trainers
 
 import lexigrain.operators.encoding as E
+from lexigrain.operators import eventstore
 from lexigrain.operators.joinkernel import merge_events_by_joins
 from lexigrain.operators.model import model_from_merges
 from lexigrain.functions import bpe
@@ -261,6 +262,43 @@ def test_both_ways_of_encoding_count_the_same_merges(spark, words, model):
     assert {(r["rank"], r["n"]) for r in merge_events_by_joins(own, odd).collect()} == flat
 
 
+def test_stored_events_serve_new_text_and_encode_only_new_words(spark, words, model, tmp_path, monkeypatch):
+    encoded = []
+    real = eventstore.word_events
+    monkeypatch.setattr(eventstore, "word_events", lambda new, m: (encoded.append(new.count()), real(new, m))[1])
+    kept = eventstore.EventStore(spark, str(tmp_path), model)
+    as_rows = lambda df: {(r["rank"], r["n"]) for r in df.collect()}
+    assert as_rows(kept.events(words)) == as_rows(E.merge_events(words, model))
+    more = E.word_table(spark.createDataFrame([(t + " unheard-of bananas",) for t in TEXTS], "text string"))
+    again = eventstore.EventStore(spark, str(tmp_path), model)
+    assert as_rows(again.events(more)) == as_rows(E.merge_events(more, model))
+    assert encoded[0] == words.count() and 0 < encoded[1] < 6
+    other = eventstore.EventStore(spark, str(tmp_path), model.prefix(300))
+    assert other.folder != kept.folder and as_rows(other.events(words)) == as_rows(E.merge_events(words, model.prefix(300)))
+    grid = spark.createDataFrame([(300,), (model.vocab_size,)], "vocab_size int")
+    curves = [prefix_sweep(more, model, grid, 1, e) for e in (None, again.events(more))]
+    assert curves[0].orderBy("vocab_size").collect() == curves[1].orderBy("vocab_size").collect()
+
+
+def test_unlike_tokenizers_are_scored_in_one_scan(spark, library, model, tmp_path):
+    other = Tokenizer.from_str(library.to_str())
+    other.normalizer = normalizers.Lowercase()
+    source = json.loads(other.to_str())
+    source["added_tokens"][0]["normalized"] = False
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps(source))
+    other, lower = Tokenizer.from_file(str(path)), load_json(spark, str(path))
+    corpus = tmp_path / "corpus"
+    spark.createDataFrame([(t,) for t in TEXTS], "text string").write.parquet(str(corpus))
+    totals = corpus_token_totals(spark.read.parquet(str(corpus)), {"plain": model, "lower": lower, "part": model.prefix(300)})
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    found = {r["name"]: r["token_count"] for r in totals.collect()}
+    assert found["plain"] == sum(len(library.encode(t).ids) for t in TEXTS)
+    assert found["lower"] == sum(len(other.encode(t).ids) for t in TEXTS)
+    assert found["part"] > found["plain"]
+
+
 def random_rules(draw, letters, n):
     """A merge list in no order: pairs repeat, and different pairs make the same token."""
     known, rules = list(range(letters)), []

@@ -58,8 +58,12 @@ def test_other_formats(spark, tmp_path):
         rows.write.format(fmt).options(**options).save(path)
         got = read_corpus(spark, path, ["doc"], fmt=fmt, **options)
         assert {(r["doc"], r["text"]) for r in got.collect()} == {(1, "a, b"), (2, "é")}
-    with pytest.raises(ValueError):
-        read_corpus(spark, str(tmp_path / "json"), fmt="json")
+    with pytest.raises(ValueError, match="unknown corpus format"):
+        read_corpus(spark, str(tmp_path / "json"), fmt="avro")
+    # A corpus without splits is its train split and no other.
+    assert read_corpus(spark, str(tmp_path / "json"), ["doc"], fmt="json", split="train").count() == 2
+    with pytest.raises(ValueError, match="split"):
+        read_corpus(spark, str(tmp_path / "json"), ["doc"], fmt="json", split="test")
 
 
 def test_model_files(spark, tmp_path):
@@ -107,11 +111,11 @@ def test_output_guards(spark, tmp_path):
     require_empty_directory(spark, str(tmp_path / "new"))
     require_empty_directory(spark, str(tmp_path))
     (tmp_path / "file").write_text("x")
-    with pytest.raises(ValueError, match="not empty"):
+    with pytest.raises(ValueError, match="holds files"):
         require_empty_directory(spark, str(tmp_path))
-    with pytest.raises(ValueError, match="not a directory"):
+    with pytest.raises(ValueError, match="is a file"):
         require_empty_directory(spark, str(tmp_path / "file"))
-    with pytest.raises(ValueError, match="already exists"):
+    with pytest.raises(ValueError, match="something at"):
         reports.write_summary(spark, {}, str(tmp_path / "file"))
 
 
@@ -120,7 +124,9 @@ def test_legacy_cache_is_migrated(spark, tmp_path):
     (tmp_path / "heldout.jsonl").write_text('"a \\"q\\" é"\n"b\\n"\n', encoding="utf-8")
     (tmp_path / "heldout_meta.json").write_text('{"format": "old", "cached_documents": 2}')
     metadata = heldout.prepare_heldout(None, spark, folder, 0, 1)
+    assert metadata.pop("text_path").startswith(folder)
     assert metadata == {"format": "jsonl-text-v1", "cached_documents": 2}
+    assert not (tmp_path / "heldout.jsonl").exists()
     assert {r["text"] for r in heldout.open_heldout(spark, folder)[0].collect()} == {'a "q" é', "b\n"}
 
 
@@ -128,10 +134,97 @@ def test_legacy_cache_is_migrated(spark, tmp_path):
 def test_bad_legacy_lines(spark, tmp_path, line):
     (tmp_path / "heldout.jsonl").write_text(f'"good"\n{line}\n"x"\n')
     (tmp_path / "heldout_meta.json").write_text('{"format": "old"}')
-    with pytest.raises(ValueError, match="JSON strings"):
+    with pytest.raises(ValueError, match="single JSON string"):
         heldout.prepare_heldout(None, spark, str(tmp_path), 0, 1)
 
 
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", range(8))
+def test_a_cache_is_valid_whatever_step_its_migration_stops_at(spark, tmp_path, monkeypatch, step):
+    """Every file operation of a migration is made to fail in turn, before and after it happens."""
+    (tmp_path / "heldout.jsonl").write_text('"a"\n"b"\n', encoding="utf-8")
+    (tmp_path / "heldout_meta.json").write_text('{"format": "old"}')
+    folder, made = str(tmp_path), 0
+
+    def stopping(module, name):
+        real = getattr(module, name)
+
+        def run(*args, **options):
+            nonlocal made
+            for before in (True, False):
+                if made == step:
+                    raise Stopped
+                made += 1
+                if before:
+                    result = real(*args, **options)
+            return result
+
+        monkeypatch.setattr(module, name, run)
+
+    for name in ("legacy_texts", "write_summary", "replace_file", "remove"):
+        stopping(heldout, name)
+    with pytest.raises(Stopped):
+        heldout.migrate(spark, folder, {"format": "old"})
+    monkeypatch.undo()
+    assert heldout.is_cached(spark, folder)
+    heldout.prepare_heldout(None, spark, folder, 0, 1)  # migrates if the old cache is still the one in place
+    texts, metadata = heldout.open_heldout(spark, folder)
+    assert sorted(r["text"] for r in texts.collect()) == ["a", "b"] and metadata["format"] == "jsonl-text-v1"
+
+
+def test_a_cache_that_was_not_finished_is_prepared_anew(spark, tmp_path, monkeypatch):
+    corpus = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc int, text string")
+    opened = lambda: OrderedCorpus(corpus, ["doc"])
+
+    def stop(*_):
+        raise Stopped
+
+    monkeypatch.setattr(heldout, "publish", stop)
+    with pytest.raises(Stopped):
+        heldout.prepare_heldout(opened, spark, str(tmp_path), 12, 18)
+    monkeypatch.undo()
+    assert not heldout.is_cached(spark, str(tmp_path))
+    heldout.prepare_heldout(opened, spark, str(tmp_path), 12, 18)
+    moved = tmp_path.parent / f"{tmp_path.name}-moved"
+    tmp_path.rename(moved)  # texts are found beside the metadata
+    rows = heldout.read_ordered_texts(spark, str(moved)).orderBy("doc").collect()
+    assert [(r["doc"], r["text"]) for r in rows] == [(2, "text 2"), (3, "text 3"), (4, "text 4")]
+
+
+@pytest.mark.parametrize("fmt", ["json", "csv", "text", "orc"])
+def test_rows_without_an_order_column_stand_in_file_order(spark, tmp_path, monkeypatch, fmt):
+    texts = [f"line {i} of a corpus in files" for i in range(400)]
+    path = tmp_path / "corpus"
+    path.mkdir()
+    if fmt == "orc":
+        spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).write.mode("overwrite").orc(str(path))
+    else:
+        for part in range(2):
+            own = texts[200 * part : 200 * part + 200]
+            lines = {"json": [json.dumps({"text": t}) for t in own], "csv": ["text", *own], "text": own}[fmt]
+            (path / f"part-{part}").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")  # several blocks to a file
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        options = {"header": "true"} if fmt == "csv" else {}
+        corpus = read_corpus(spark, str(path), fmt=fmt, **options)
+        order = [c for c in corpus.columns if c != "text"]
+        assert [r["text"] for r in corpus.orderBy(*order).collect()] == texts
+        size = sum(len(t) for t in texts[:150])
+        ordered = OrderedCorpus(corpus, order)
+        first, position = ordered.take(size)
+        second, _ = ordered.take(size, position)
+        assert {r["text"] for r in first.collect()} == set(texts[:150])
+        start = {r["text"] for r in second.collect()}
+        assert not start & set(texts[:150]) and texts[150] in start
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_partial_cache_is_an_error(spark, tmp_path):
     (tmp_path / "heldout_meta.json").write_text("{}")
     with pytest.raises(ValueError, match="incomplete"):
@@ -159,7 +252,7 @@ def test_three_runs(spark, dataset, tmp_path):
     run = train_run(spark, dataset, size, 300, model_dir, ["doc"])
     assert run["vocab_size_actual"] == 300 and size - 3 <= run["bytes_used"] <= size
     assert json.loads((tmp_path / "model" / "run.json").read_text())["documents_used"] == run["documents_used"]
-    with pytest.raises(ValueError, match="not empty"):
+    with pytest.raises(ValueError, match="holds files"):
         train_run(spark, dataset, size, 300, model_dir, ["doc"])
 
     source = f"{model_dir}/tokenizer.json"
@@ -188,7 +281,7 @@ def test_three_runs(spark, dataset, tmp_path):
         reports.read_points(spark, str(tmp_path / "empty.json"))
     with pytest.raises(ValueError, match="before the requested"):
         evaluate_run(spark, {"a": source}, dataset, str(tmp_path / "e2"), size, total, ["doc"])
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="no file"):
         evaluate_run(spark, {"a": "/nowhere"}, dataset, str(tmp_path / "e3"), 0, 1, ["doc"])
 
 

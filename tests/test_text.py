@@ -21,7 +21,7 @@ def test_utf8_prefix(spark, text, n, expected):
 
 @pytest.mark.parametrize(
     "literal, size",
-    [("1MB", 10**6), ("10 gb", 10**10), ("1B", 1), ("7kb", 7000), ("0MB", None), ("1.5GB", None), ("5TB", None), ("MB", None), ("", None), ("1MB\n", None)],
+    [("1MB", 10**6), ("10 gb", 10**10), ("1B", 1), ("7kb", 7000), ("0MB", None), ("1.5GB", None), ("5TB", None), ("MB", None), ("", None), ("1MB\n", None), ("1\x1cMB", 10**6), ("2\u3000KB", 2000), ("3 \t\x85B", 3)],
 )
 def test_size_literals(spark, literal, size):
     assert one(spark, literal, T.size_bytes) == size

@@ -1,10 +1,13 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexigrain.operators.model import check_vocab_size
+from lexigrain.operators.scoring import token_totals
 from lexigrain.operators.training import TrainingReport, train_bpe
 from lexigrain.operators.words import word_types
+from lexigrain.storage import store
 from reference_rules import UNICODE_TEXTS, library_merges, library_model
 
 
@@ -80,6 +83,22 @@ def test_summing_up_the_index_changes_nothing(spark, monkeypatch):
     assert merges(model) == library_merges(library_model(texts, 300))
 
 
+def test_approximate_training_takes_fewer_rounds_and_loses_little(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    words = store(word_types(documents), "words")
+    totals, rounds = {}, {}
+    for share in (1.0, 0.7):
+        report = TrainingReport()
+        model = train_bpe(words, 900, round_length=128, report=report, share=share)
+        assert model.vocab_size == 900
+        own = words.withColumn("word_id", F.monotonically_increasing_id())
+        totals[share] = token_totals(own, {"m": model}).first()["token_count"]
+        rounds[share] = report.rounds
+    assert rounds[0.7] < rounds[1.0] and totals[0.7] < 1.01 * totals[1.0]
+    with pytest.raises(ValueError, match="share"):
+        train_bpe(words, 300, share=0)
+
+
 def test_training_keeps_nothing_cached(spark):
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     trained(spark, [random_text(9)], 300, round_length=2)
