@@ -33,8 +33,9 @@ _KEY_HEADER = "X-Source-Key"
 
 #: Rows with payloads of at least this many bytes can be revisits.
 REVISIT_BYTES = 0
-SEGMENT_BYTES = 1 << 16
-CHUNK_BYTES = 1 << 13
+#: Records longer than this are cut into segments, and payloads into chunks of this size.
+SEGMENT_BYTES = 1 << 10
+CHUNK_BYTES = 1 << 9
 #: Bounds the size of an archive file, as a file is parsed by one task.
 RECORDS_PER_FILE = 2_000
 #: Parsed rows handed on at once.
@@ -254,7 +255,7 @@ READ = "key long, record_type string, payload_digest string, refers_to long, pay
 
 
 def _decode(records: DataFrame) -> DataFrame:
-    """Payloads of whole records; what does not decode or match its digest is named in ``error``."""
+    """Payloads of whole records, given by their blocks in order; what does not decode or match its digest is named in ``error``."""
     schema = pa.schema(
         [("key", pa.int64()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.int64())]
         + [("payload_bytes", pa.int64()), ("payload", pa.binary()), ("error", pa.string())]
@@ -268,7 +269,7 @@ def _decode(records: DataFrame) -> DataFrame:
                     payload, error, size = None, row["error"], row["announced"]
                     if row["kind"] == "response" and error is None:
                         try:
-                            payload = http_payload(row["block"])
+                            payload = http_payload(b"".join(row["blocks"]))
                             size = len(payload)
                             if payload_digest(payload) != row["payload_digest"]:
                                 error = "digest differs"
@@ -293,7 +294,7 @@ def _decode(records: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Whole records (``READ``). Revisits have the size and digest of the payload they stand for."""
     segments = read_segments(spark, path)
-    columns = ["kind", "key", "payload_digest", "refers_to", "announced", "block", "error"]
+    columns = ["kind", "key", "payload_digest", "refers_to", "announced", "blocks", "error"]
     whole = segments.where("segment is null and kind in ('response', 'revisit')").withColumn("error", F.lit(None).cast("string"))
     # A group holds the segments of one record, so its size is that of one payload.
     ordered = F.sort_array(F.collect_list(F.struct("segment", "block")))
@@ -302,15 +303,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         segments.where("segment is not null")
         .groupBy("origin_id")
         .agg(*first, ordered.alias("parts"), F.max("total").alias("total"))
-        .withColumn("block", F.aggregate("parts", F.lit("").cast("binary"), lambda acc, p: F.concat(acc, p["block"])))
+        .withColumn("length", F.aggregate("parts", F.lit(0).cast("long"), lambda acc, p: acc + F.octet_length(p["block"])))
         .withColumn(
             "error",
-            F.when(F.col("total").isNull() | (F.octet_length("block") != F.col("total")), F.lit("total length differs"))
+            F.when(F.col("total").isNull() | (F.col("length") != F.col("total")), F.lit("total length differs"))
             .when(F.col("kind").isNull(), F.lit("first segment is missing"))
             .when(F.element_at("parts", -1)["segment"] != F.size("parts"), F.lit("segments repeat or are missing")),
         )
     )
-    return _decode(whole.select(columns).unionByName(joined.select(columns)))
+    alone = whole.withColumn("blocks", F.array("block"))
+    return _decode(alone.select(columns).unionByName(joined.withColumn("blocks", F.col("parts")["block"]).select(columns)))
 
 
 def archive_round_trip(
