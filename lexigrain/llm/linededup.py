@@ -27,8 +27,8 @@ from lexigrain.llm.hashing import hash_words, mix, row_groups, text_buffers
 from lexigrain.storage import StoredTable
 
 MIN_WORDS = 50
-#: Positions sent to all tasks; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows and array entries sent to all tasks, at up to about 40 bytes each; more are joined by shuffle.
+BROADCAST_ITEMS = 1_000_000
 
 
 def line_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,6 +103,12 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray
             yield a + k, hashes[lines[k] : lines[k + 1]], counts[lines[k] : lines[k + 1]]
 
 
+def _few(stored: DataFrame, array: str | None = None) -> bool:
+    """Whether a stored table may be sent to all tasks, counting the entries of its array column."""
+    items = F.count("*") + (F.sum(F.size(array)) if array else F.lit(0))
+    return (stored.agg(items.alias("n")).first().n or 0) <= BROADCAST_ITEMS
+
+
 def _text_key(name: str):
     return F.xxhash64(F.col(name).cast("string"))
 
@@ -157,7 +163,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .agg(F.array_sort(F.collect_set("line")).alias("at"))
     )
     positions = StoredTable(positions, "positions").df
-    few = positions.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = _few(positions, "at")
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), _text_key(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text")
     )
@@ -196,12 +202,15 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     runs = StoredTable(touched.mapInArrow(extend, RUNS).distinct(), "runs").df
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "first", "last")
-    firsts = (
+    firsts = StoredTable(
         runs.groupBy("run")
         .agg(F.min(place).alias("source"), F.max(place).alias("other"))
         .where("source <> other")
-        .select("run", "source")
-    )
+        .select("run", "source"),
+        "run-sources",
+    ).df
+    # One row per run that repeats. Sent to all tasks, the rows of a very common run stay where they are.
+    firsts = F.broadcast(firsts) if _few(firsts) else firsts
     same_text = F.col("id").eqNullSafe(F.col("source.id")) & (F.col("text_key") == F.col("source.text_key"))
     return (
         runs.join(firsts, "run")
@@ -225,7 +234,7 @@ def dedup_lines(
 ) -> DataFrame:
     """All columns of ``docs`` without the repeated lines in its text; texts that lose everything go."""
     gone = StoredTable(deleted_lines(docs, id_col, text_col, min_words), "deleted-lines").df
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = _few(gone, "lines")
     # Columns are told apart by place, so names of further columns do no harm.
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
@@ -234,10 +243,12 @@ def dedup_lines(
     joined = plain.join(
         gone, plain[place[id_col]].cast("long").eqNullSafe(gone["id"]) & (F.xxhash64(text) == gone["text_key"]), "left"
     )
-    parts = F.split(text, "\n")
-    kept = F.filter(F.arrays_zip(parts.alias("part"), F.sequence(F.lit(0), F.size(parts) - 1).alias("at")), lambda x: ~F.array_contains("lines", x["at"]))
-    shorter = F.when(F.col("lines").isNull(), text).otherwise(F.array_join(kept["part"], "\n"))
-    rows = joined.select(*(shorter.alias(c) if c == place[text_col] else c for c in plain.columns), (F.size("lines") == F.size(parts)).alias("emptied"))
+    # The generator makes the parts once per row, so that taking one of them does not split the text again.
+    parts = F.when(F.col("lines").isNotNull(), F.split(text, "\n"))
+    split = joined.select(*plain.columns, "lines", F.inline(F.array(F.struct(parts.alias("parts")))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "lines")
+    shorter = F.when(F.col("lines").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get("parts", i)), "\n"))
+    rows = split.select(*(shorter.alias(c) if c == place[text_col] else c for c in plain.columns), (F.size("lines") == F.size("parts")).alias("emptied"))
     if not keep_emptied:
         rows = rows.where("not coalesce(emptied, false)")
     return rows.select(*plain.columns).toDF(*docs.columns)
