@@ -129,10 +129,12 @@ def in_ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
-    order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("o")
+    # Rows without an id come last; among the lowest numbers their texts spread them over several ranges.
+    spread = F.lit(-(1 << 63)) + F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    order = F.coalesce(F.col("doc_id"), spread).alias("o")
     n = _EDGE_RATIO * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / n for i in range(1, n)]
-    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), 100 * n)).first()[0] or []))
+    bounds = sorted(set(rows.agg(F.percentile_approx(order, F.array(*map(F.lit, shares)), 100 * n)).first()[0] or []))
     # Range r holds the ids above bounds[r - 1] up to bounds[r].
     held = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<bigint>")
     rank = _range_of(F.col("o"), held)
