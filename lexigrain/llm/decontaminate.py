@@ -34,6 +34,8 @@ WALKS, SAMPLES, BITS = 4, 8, 2
 BLOCK_BYTES = 1 << 23
 #: Windows embedded and verified at once.
 WINDOWS = 1 << 13
+#: Words of windows compared at once.
+CELLS = 1 << 20
 _WORDS = byte_classes(bytes(b for b in range(128) if not chr(b).isalnum()))
 _FACTORS = mix(np.arange(1, 257, dtype=np.uint64), 23) | np.uint64(1)
 _TABLE_BITS = 20
@@ -83,10 +85,9 @@ class ItemIndex:
             table[hashes >> np.uint64(64 - _TABLE_BITS)] = True
             rest = np.array([f[1:] for f in found], np.int64)
             self.pieces.append(Pieces(size, hashes, rest[:, 0], rest[:, 1], table))
-        widest = int(self.length.max()) if len(keep) else 0
-        self.matrix = np.zeros((len(keep), widest), np.uint64)
-        for k, own in enumerate(self.words):
-            self.matrix[k, : len(own)] = own
+        # All items one after the other, so that a long one costs no more than its own words.
+        self.flat = np.concatenate(self.words) if keep else np.zeros(0, np.uint64)
+        self.first = np.cumsum(self.length) - self.length
         # Sampled steps of each walk, as shares of the walk's length of three items.
         rng = np.random.default_rng(20)
         self.shares = rng.random((WALKS, SAMPLES, BITS))
@@ -125,7 +126,7 @@ class ItemIndex:
                 at = start + here
                 inside = (here < length) & (at >= begin) & (at < end)
                 a = np.where(inside, words[np.clip(at, 0, len(words) - 1)], PAD)
-                b = np.where(there < length, self.matrix[item, np.minimum(there, length - 1)], PAD)
+                b = np.where(there < length, self.flat[self.first[item] + np.minimum(there, length - 1)], PAD)
                 differs = a != b
                 hit = (picked == step).any(axis=2)
                 agree &= ~(hit & differs[:, None])
@@ -138,10 +139,10 @@ class ItemIndex:
         """Least edit distance between item and any stretch around the window, and where the stretch ends."""
         best = np.full(len(text), 1 << 30)
         ends = np.zeros(len(text), np.int64)
-        for length in np.unique(self.length[item]):
-            own = np.flatnonzero(self.length[item] == length)
+        for own in self._equally_long(item):
+            length = int(self.length[item[own[0]]])
             reach = int(self.edits[item[own[0]]])
-            pattern = self.matrix[item[own], :length]
+            pattern = self.flat[self.first[item[own], None] + np.arange(length)]
             ramp = np.arange(length + 1)
             row = np.broadcast_to(ramp, (len(own), length + 1)).copy()
             begin, end = bounds[text[own]], bounds[text[own] + 1]
@@ -159,6 +160,14 @@ class ItemIndex:
                 ends[own[nearer]] = at[nearer] + 1
         return best, ends
 
+    def _equally_long(self, item: np.ndarray) -> Iterator[np.ndarray]:
+        """Places of windows whose items have the same length, in groups of about ``CELLS`` words in all."""
+        for length in np.unique(self.length[item]).tolist():
+            own = np.flatnonzero(self.length[item] == length)
+            step = max(1, CELLS // length)
+            for a in range(0, len(own), step):
+                yield own[a : a + step]
+
     def search(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Text, item, distance and last word (exclusive, counted in the text) of what is found."""
         text, item, start = self.windows(words, bounds)
@@ -179,7 +188,7 @@ def _bits(words: np.ndarray, step: int, walk: int) -> np.ndarray:
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, **options) -> Iterator[ItemIndex]:
     """The items in blocks, so that the driver and each task hold one block at a time."""
     text = F.col(text_col).cast("string")
-    rows = items.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where("text is not null")
+    rows = items.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where("text is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Half-filled on average, so that uneven hashing stays within the bound.
     blocks = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
