@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexigrain.llm import decontaminate, linededup, minhash, packing, sitequality
 from lexigrain.llm.queries import bound_batches, table, tokenizer_definition
-from lexigrain.storage import store
+from lexigrain.storage import StoredTable, temporary_tables
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -57,8 +57,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again before the next stage."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written and read again before the next stage.
+
+    What a stage stored on its way, and the result before its own, is dropped once its own is written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), name)
+        with temporary_tables():
+            result = StoredTable(stage(spark, docs, sf_dir), name).keep()
+        if before is not None:
+            before.drop()
+        docs, before = result.df, result
     return docs
