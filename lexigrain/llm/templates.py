@@ -38,6 +38,8 @@ MIN_PAGES = 3
 MIN_SHARE = 0.3
 #: Template rows that are sent to all tasks; a larger template is joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Pages of a host that are worked on together where there are more template tokens than that.
+PAGES_PER_GROUP = 200
 
 # Fixed values of HTML: elements without an end tag, without rendered text, and inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -262,26 +264,53 @@ def extract_main_text(
     """Key, url and ``text`` of every row; see the module's text for what is kept."""
     url, page = F.col(url_col), F.col(page_col)
     template = StoredTable(deduce_templates(page_tokens(pages, url, page), **options), "template")
-    spark = pages.sparkSession
-    small = template.df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    by_host = template.df.groupBy("host").agg(F.collect_set("token").alias("fixed"))
-    rows = pages.select(key_col, url_col, page.cast("string").alias("_page"), host_of(url).alias("host"))
-    joined = rows.join(F.broadcast(by_host) if small else by_host, "host", "left")
+    kind = pages.select(key_col, url_col).schema.fields
+    schema = f"key {kind[0].dataType.simpleString()}, url {kind[1].dataType.simpleString()}, text string"
+    rows = pages.select(
+        F.col(key_col).alias("key"), F.col(url_col).alias("url"), page.cast("string").alias("page"), host_of(url).alias("host")
+    )
+    if template.df.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return _extract_by_host(rows, template.df, schema)
+    fixed: dict[str, set[int]] = {}
+    for row in template.df.collect():  # at most BROADCAST_ROWS
+        fixed.setdefault(row.host, set()).add(row.token)
+    shared = pages.sparkSession.sparkContext.broadcast(fixed)
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for source, fixed in zip(batch.column(2), batch.column(3)):
-                blocks, _ = page_blocks(source.as_py() or "")
-                known = set(fixed.as_py() or ())
-                article = [(path, text) for path, text, framed, inside in blocks if inside and not framed]
-                found = article or [(path, text) for path, text, framed, _ in blocks if not framed]
-                slots = [text for path, text in found if not known or _digest(path, text) not in known]
-                texts.append(" ".join(slots or [text for _, text in article]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["key", "url", "text"]
-            )
+            texts = [
+                _main_text(source.as_py() or "", shared.value.get(host, ()))
+                for source, host in zip(batch.column(2), batch.column(3).to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["key", "url", "text"])
+
+    return rows.mapInArrow(extract, schema)
+
+
+def _main_text(page: str, known: set[int]) -> str:
+    """The article's blocks without template text; an article that is template as a whole stays."""
+    blocks, _ = page_blocks(page)
+    article = [(path, text) for path, text, framed, inside in blocks if inside and not framed]
+    found = article or [(path, text) for path, text, framed, _ in blocks if not framed]
+    slots = [text for path, text in found if not known or _digest(path, text) not in known]
+    return " ".join(slots or [text for _, text in article])
+
+
+def _extract_by_host(rows: DataFrame, template: DataFrame, schema: str) -> DataFrame:
+    """Pages meet their host's template in groups of about ``PAGES_PER_GROUP``, one copy of it to a group."""
+    pages = rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > PAGES_PER_GROUP)
+    groups = StoredTable(pages.select("host", F.ceil(F.col("n") / PAGES_PER_GROUP).cast("int").alias("groups")), "host-groups").df
+    few = groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    groups = F.broadcast(groups) if few else groups
+    n = F.coalesce("groups", F.lit(1))
+    dealt = rows.join(groups, "host", "left").select(
+        "key", "url", "page", "host", F.pmod(F.xxhash64("key", "url", "page"), n).cast("int").alias("part")
+    )
+    sent = template.join(groups, "host", "left").select("host", "token", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
 
-    kind = pages.select(key_col, url_col).schema.fields
-    out = joined.select(F.col(key_col).alias("key"), F.col(url_col).alias("url"), "_page", "fixed")
-    return out.mapInArrow(extract, f"key {kind[0].dataType.simpleString()}, url {kind[1].dataType.simpleString()}, text string")
+    def extract(own: pa.Table, fixed: pa.Table) -> pa.Table:
+        known = set(fixed.column("token").to_pylist())
+        texts = [_main_text(source.as_py() or "", known) for source in own.column("page")]
+        return pa.table({"key": own.column("key"), "url": own.column("url"), "text": pa.array(texts, pa.string())})
+
+    return dealt.groupBy("host", "part").cogroup(sent.groupBy("host", "part")).applyInArrow(extract, schema)

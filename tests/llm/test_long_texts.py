@@ -48,9 +48,9 @@ def test_long_payload_makes_the_round_trip_in_many_segments(spark):
     )
 
 
-def test_most_pages_are_cut_into_segments(spark):
+def test_most_pages_are_cut_into_segments(spark, tmp_path):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    path = warc.checkpoint_root(spark) + "/warc-long-texts"
+    path = str(tmp_path / "archives")
     warc.write_archives(pages, path, F.col("page_id"), F.col("url"), F.col("html"))
     segments = warc.read_segments(spark, path)
     cut = segments.where("segment = 1").count()
@@ -66,6 +66,19 @@ def test_very_long_page(spark):
     assert sorted((r.key, r.text) for r in got) == [(1, expected)] * 2 + [(2, "short")] * 2
 
 
+def test_templates_too_large_to_send_give_the_same_texts(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
+    rows = [(1_000 + i, "http://hot.org/", f"<div><p>All news here</p><p>story {i}</p><p>Call us</p></div>") for i in range(90)]
+    rows += [(None, None, None), (5_000, "x", "<p>alone</p>")] * 2
+    pages = pages.unionByName(spark.createDataFrame(rows, pages.schema))
+    as_rows = lambda df: sorted((r.key or -1, r.url or "", r.text) for r in df.collect())
+    sent = as_rows(templates.extract_main_text(pages))
+    monkeypatch.setattr(templates, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(templates, "PAGES_PER_GROUP", 20)
+    assert as_rows(templates.extract_main_text(pages)) == sent
+    assert (1_003, "http://hot.org/", "story 3") in sent
+
+
 def test_item_inside_a_very_long_text(spark):
     words = LONG.split()
     item = prose(3, 40)
