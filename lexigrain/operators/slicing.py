@@ -10,14 +10,15 @@ the order column plus a cut of its last row.
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left
 from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F, types as T
 
 from lexigrain.functions.text import MAX_BOUNDARY_LOSS, is_nonempty, utf8_bytes, utf8_prefix
-from lexigrain.storage import store
+from lexigrain.storage import StoredTable, path_exists, store
 
 ROWS_PER_RANGE = 500_000
 PROGRESS_BYTES = 500_000_000
@@ -50,6 +51,10 @@ class OrderedCorpus:
 
     Order values must be unique and not null, as rows could not be told apart at a boundary otherwise; rows
     that break this raise an error as soon as they are sized.
+
+    With a ``layout`` folder the sizes of a corpus read from files are kept there, under a name that follows from
+    the files' paths, sizes and times and from the order. Another run over the same files takes them from there and
+    reads no text to find a boundary; changed files have another name, so their sizes are taken anew.
     """
 
     def __init__(
@@ -58,6 +63,7 @@ class OrderedCorpus:
         order_by: list[str],
         text: str = "text",
         rows_per_range: int = ROWS_PER_RANGE,
+        layout: str | None = None,
     ):
         if clash := _MEASURES & set(order_by):
             raise ValueError(f"order columns may not be named {', '.join(sorted(clash))}")
@@ -69,10 +75,39 @@ class OrderedCorpus:
         unordered = " OR ".join(f"`{c}` IS NULL" for c in self.order_by)
         if not keys.where(unordered).isEmpty():
             raise ValueError(f"the order columns {', '.join(self.order_by)} hold nulls")
-        self._bounds = self._step_bounds(keys.select(self.order_by[0]))
         self._sized: list[DataFrame] = []
         self._parts: list[tuple[int, int]] = []  # bytes and documents of each range
         self._ends: list[int] = []
+        self._kept = layout and f"{layout}/{self._fingerprint(corpus)}"
+        if self._kept and path_exists(corpus.sparkSession, f"{self._kept}/bounds/_SUCCESS"):
+            self._read_layout()
+        else:
+            self._bounds = self._step_bounds(keys.select(self.order_by[0]))
+            if self._kept:
+                self._keep_bounds()
+
+    def _fingerprint(self, corpus: DataFrame) -> str:
+        """A name for the corpus' files as they are now, and for how they are laid out."""
+        file = corpus.select(*(F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_size", "file_modification_time")))
+        found = file.distinct().agg(F.count("*").alias("n"), F.sum(F.xxhash64("*").cast("decimal(20,0)")).alias("files")).first()
+        return uuid.uuid5(uuid.NAMESPACE_OID, f"{found} {self.order_by} {self.text} {self.rows_per_range}").hex
+
+    def _bound_schema(self) -> T.StructType:
+        return T.StructType([T.StructField("step", T.IntegerType()), T.StructField("bound", self.rows.schema[self.order_by[0]].dataType)])
+
+    def _keep_bounds(self) -> None:
+        spark = self.rows.sparkSession
+        spark.createDataFrame(list(enumerate(self._bounds)), self._bound_schema()).write.parquet(f"{self._kept}/bounds")
+
+    def _read_layout(self) -> None:
+        """The steps that earlier runs sized, as far as they are complete."""
+        spark = self.rows.sparkSession
+        self._bounds = [r["bound"] for r in spark.read.schema(self._bound_schema()).parquet(f"{self._kept}/bounds").orderBy("step").collect()]
+        for step in range(len(self._bounds)):
+            path = f"{self._kept}/step-{step}"
+            if not path_exists(spark, f"{path}/_SUCCESS"):
+                return
+            self._add_step(spark.read.parquet(path))
 
     def _step_bounds(self, first: DataFrame) -> list:
         """Upper bounds of the sizing steps; the last step has none."""
@@ -93,29 +128,50 @@ class OrderedCorpus:
             rows = rows.where(first > self._value(self._bounds[done - 1]))
         if self._bounds[done] is not None:
             rows = rows.where(first <= self._value(self._bounds[done]))
-        sizes = store(rows.select(*self.order_by, utf8_bytes(F.col(self.text)).alias("n_bytes")), "sizes")
-        n_ranges = max(1, ceil(sizes.count() / self.rows_per_range))
-        repeated = sizes.groupBy(*self.order_by).count().where("count > 1").first()
-        if repeated is not None:
-            raise ValueError(f"the order {tuple(repeated)[:-1]} stands on several rows")
-        laid = store(
-            sizes.repartitionByRange(n_ranges, *self.order_by).withColumn(
-                _RANGE, F.spark_partition_id() + len(self._parts)
-            ),
-            "ranges",
-        )
-        found = {
-            row[_RANGE]: (row["bytes"], row["documents"])
-            for row in laid.groupBy(_RANGE)
-            .agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("documents"))
+        seen = Observation()
+        sized = rows.select(*self.order_by, utf8_bytes(F.col(self.text)).alias("n_bytes"))
+        sizes = StoredTable(sized.observe(seen, F.count("*").alias("n")), "sizes")
+        n_ranges = max(1, ceil(seen.get["n"] / self.rows_per_range))
+        ranged = sizes.df.repartitionByRange(n_ranges, *self.order_by) if n_ranges > 1 else sizes.df.repartition(1)
+        laid = ranged.withColumn(_RANGE, F.spark_partition_id() + len(self._parts))
+        if self._kept:
+            path = f"{self._kept}/step-{done}"
+            laid.write.mode("overwrite").parquet(path)
+            laid = laid.sparkSession.read.schema(laid.schema).parquet(path)
+        else:
+            laid = store(laid, "ranges")
+        self._add_step(laid)
+        sizes.drop()
+        return True
+
+    def _add_step(self, laid: DataFrame) -> None:
+        """Takes in a step's sizes; equal order values lie in one range, next to each other."""
+        beside = Window.partitionBy(_RANGE).orderBy(*self.order_by)
+        key = F.struct(*self.order_by)
+        found = (
+            laid.withColumn("again", F.lag(key).over(beside) == key)
+            .groupBy(_RANGE)
+            .agg(
+                F.sum("n_bytes").alias("bytes"),
+                F.count("*").alias("documents"),
+                F.max(F.when(F.col("again"), F.to_json(key))).alias("repeated"),
+            )
+            .orderBy(_RANGE)
             .collect()  # one row per range
-        }
-        for number in range(len(self._parts), len(self._parts) + n_ranges):
-            part = found.get(number, (0, 0))
-            self._ends.append((self._ends[-1] if self._ends else 0) + part[0])
-            self._parts.append(part)
+        )
+        for row in found:
+            if row["repeated"] is not None:
+                raise ValueError(f"the order {row['repeated']} stands on several rows")
+            while len(self._parts) < row[_RANGE]:  # a range without rows
+                self._add_range(0, 0)
+            self._add_range(row["bytes"], row["documents"])
+        if not found:
+            self._add_range(0, 0)
         self._sized.append(laid)
-        return True
+
+    def _add_range(self, n_bytes: int, documents: int) -> None:
+        self._ends.append((self._ends[-1] if self._ends else 0) + n_bytes)
+        self._parts.append((n_bytes, documents))
 
     def _grow_to(self, target: int | None) -> None:
         """Sizes until the running sum reaches ``target``, or everything."""

@@ -108,3 +108,26 @@ def test_guards(spark):
     empty = corpus(spark, [(0, 0, None), (1, 0, "")])
     with pytest.raises(ValueError):
         C.require_documents(C.read_stats(C.byte_budget_prefix(empty, 5)))
+
+
+def test_a_kept_layout_serves_later_runs_without_sizing(spark, tmp_path, monkeypatch):
+    texts = [(i, f"text {i} " * (i % 7 + 1)) for i in range(300)]
+    path, kept = str(tmp_path / "corpus"), str(tmp_path / "layout")
+    spark.createDataFrame(texts, "doc int, text string").repartition(3).write.parquet(path)
+    total = sum(len(t) for _, t in texts)
+
+    def ends(layout):
+        corpus = C.OrderedCorpus(spark.read.parquet(path).select("doc", "text"), ["doc"], rows_per_range=40, layout=layout)
+        return [(corpus.take(total * k // 5)[1], corpus.stats(total * k // 5)) for k in range(1, 6)]
+
+    sized = []
+    real = C.OrderedCorpus._grow
+    monkeypatch.setattr(C.OrderedCorpus, "_grow", lambda self: (made := real(self), sized.append(made))[0])
+    first = ends(kept)
+    assert first == ends(None) and any(sized)
+    sized.clear()
+    assert ends(kept) == first and not any(sized)
+    more = spark.createDataFrame([(900, "one more text")], "doc int, text string")
+    more.write.mode("append").parquet(path)
+    longer = C.OrderedCorpus(spark.read.parquet(path), ["doc"], rows_per_range=40, layout=kept)
+    assert longer.total_bytes == total + 13 and any(sized)

@@ -256,7 +256,7 @@ def test_three_runs(spark, dataset, tmp_path):
         train_run(spark, dataset, size, 300, model_dir, ["doc"])
 
     source = f"{model_dir}/tokenizer.json"
-    result = evaluate_run(spark, {"32k": source}, dataset, eval_dir, size, total // 4, ["doc"])
+    result = evaluate_run(spark, {"32k": source}, dataset, eval_dir, size, total // 4, ["doc"], layout=str(tmp_path / "layout"))
     corpus = OrderedCorpus(read_corpus(spark, dataset, ["doc"]), ["doc"])
     metadata = heldout.prepare_heldout(lambda: corpus, spark, eval_dir, size, total // 4)
     texts = [r["text"] for r in heldout.read_texts(spark, eval_dir).collect()]
