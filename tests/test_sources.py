@@ -270,6 +270,9 @@ def test_three_runs(spark, dataset, tmp_path):
     assert [p["vocab_size"] for p in summary["points"]] == [257, 277, 297, 300]
     assert summary["points"][-1]["token_count"] == expected
     assert summary["parity"] is None
+    for again in range(2):  # with stored merges, made by the first of the two
+        other = compression_run(spark, source, eval_dir, f"{eval_dir}/again{again}.json", 20, str(tmp_path / "events"))
+        assert [p["token_count"] for p in other["points"]] == [p["token_count"] for p in summary["points"]]
     points = reports.read_points(spark, f"{eval_dir}/compression.json")
     assert [p.asDict() for p in points.collect()] == summary["points"]
     reports.write_points_csv(points, f"{eval_dir}/points.csv")
