@@ -16,6 +16,7 @@ import corpus_pipeline
 from compare import connect, difference
 from lexigrain.llm import decontaminate, langid, licenses, packing, sitequality
 from lexigrain.llm.queries import QUERIES, table, tokenizer_definition
+from lexigrain.storage import store
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -384,7 +385,7 @@ def test_short_items_are_found_word_for_word(spark):
 
 
 def test_registration():
-    assert {f"op{n}" for n in range(1, 11)} == {name.partition("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.partition("_")[0] for name in QUERIES}
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
 
 
@@ -392,7 +393,7 @@ def test_pipeline_stages_hold_on_their_own_input(spark):
     docs = documents(spark)
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
-        out = corpus_pipeline.store(stage(spark, docs, FOLDER), name)
+        out = store(stage(spark, docs, FOLDER), name)
         seen[name] = (docs, out)
         docs = out
     for name, (before, after) in list(seen.items())[:-1]:
@@ -424,7 +425,7 @@ def test_pipeline_stages_take_odd_rows(spark):
     for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
         n = docs.count()
         for name, stage in corpus_pipeline.STAGES:
-            docs = corpus_pipeline.store(stage(spark, docs, FOLDER), name)
+            docs = store(stage(spark, docs, FOLDER), name)
             assert docs.count() == n, name
             if name != "best_fit_packing":
                 assert docs.schema.simpleString().split("<", 1)[1] == spark.createDataFrame([], schema).schema.simpleString().split("<", 1)[1]
