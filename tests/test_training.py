@@ -99,6 +99,23 @@ def test_approximate_training_takes_fewer_rounds_and_loses_little(spark):
         train_bpe(words, 300, share=0)
 
 
+def test_a_rehearsal_saves_rounds_and_changes_no_merge(spark, monkeypatch):
+    texts, rounds = [random_text(20)] * 50 + [random_text(s) for s in range(21, 26)], {}
+    expected = library_merges(library_model(texts, 300))
+    for words in (100_000, 50):
+        monkeypatch.setattr("lexigrain.operators.training.REHEARSED_WORDS", words)
+        report = TrainingReport()
+        assert merges(trained(spark, texts, 300, report=report)) == expected
+        rounds[words] = report.rounds
+    assert rounds[50] < rounds[100_000]
+
+
+def test_sums_handed_on_early_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr("lexigrain.operators.training.SUMS_PER_TASK", 8)
+    texts = [random_text(s) for s in (31, 32)]
+    assert merges(trained(spark, texts, 275)) == library_merges(library_model(texts, 275))
+
+
 def test_training_keeps_nothing_cached(spark):
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     trained(spark, [random_text(9)], 300, round_length=2)
