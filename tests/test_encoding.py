@@ -421,3 +421,18 @@ def test_prefix_bounds(spark, model):
     holes = type(model)(model.vocab.withColumn("token_id", F.col("token_id") * 2), model.merges)
     with pytest.raises(ValueError):
         holes.prefix(300)
+
+
+def test_documents_are_encoded_in_parts_of_bounded_size(spark, monkeypatch):
+    from lexigrain.operators.training import train_bpe
+
+    corpus = spark.createDataFrame([(i, f"ab cd{i} " * (i % 7) + "x") for i in range(40)], "doc_id long, text string")
+    model = train_bpe(E.word_types(corpus), 270)
+    whole = {r.doc_id: r.ids for r in E.document_token_ids(corpus, ["doc_id"], model).collect()}
+    lists = pa.array([["ab"] * n for n in (3, 0, 9, 1, 1)] + [None, ["cd"]])
+    monkeypatch.setattr(E, "WORDS_AT_ONCE", 4)
+    parts = [p.column(0).to_pylist() for p in E._parts(pa.record_batch([lists], ["words"]), 0)]
+    assert sum(parts, []) == lists.to_pylist() and all(len(p) == 1 or sum(len(w or ()) for w in p) <= 4 for p in parts)
+    assert {r.doc_id: r.ids for r in E.document_token_ids(corpus, ["doc_id"], model).collect()} == whole
+    counts = {r.doc_id: r.n_tokens for r in E.document_token_counts(corpus, ["doc_id"], model).collect()}
+    assert counts == {i: len(ids) for i, ids in whole.items()}
