@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexigrain.storage import checkpoint_root
+from lexigrain.storage import StoredTable, checkpoint_root
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -36,6 +36,8 @@ REVISIT_BYTES = 0
 #: Records longer than this are cut into segments, and payloads into chunks of this size.
 SEGMENT_BYTES = 1 << 10
 CHUNK_BYTES = 1 << 9
+#: Digests of repeated payloads that are sent to all tasks; for more of them the rows are shuffled by digest.
+BROADCAST_DIGESTS = 500_000
 #: Bounds the size of an archive file, as a file is parsed by one task.
 RECORDS_PER_FILE = 2_000
 #: Parsed rows handed on at once.
@@ -150,11 +152,12 @@ def write_archives(
     """Writes one record per row under ``path``.
 
     Equal payloads are found by digest and length with map-side combining. Only digests that occur more
-    than once are joined back; adaptive execution splits a digest that a large part of the rows share.
+    than once are joined back: payloads stay where they are read as long as these digests fit into a broadcast, and
+    beyond that adaptive execution splits a digest that a large part of the rows share.
     """
     body = F.coalesce(payload.cast("string"), F.lit("")).cast("binary")
     rows = pages.select(
-        key.cast("long").alias("key"), url.cast("string").alias("url"), body.alias("body"), F.sha2(body, 256).alias("digest")
+        key.cast("long").alias("key"), url.cast("string").alias("url"), body.alias("body"), F.unhex(F.sha2(body, 256)).alias("digest")
     )
     repeated = (
         rows.where(F.octet_length("body") >= revisit_bytes)
@@ -163,6 +166,8 @@ def write_archives(
         .where("n > 1")
         .drop("n")
     )
+    found = StoredTable(repeated, "warc-repeated")
+    firsts = F.broadcast(found.df) if found.df.count() <= BROADCAST_DIGESTS else found.df
 
     def records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +178,7 @@ def write_archives(
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     (
-        rows.join(repeated, "digest", "left")
+        rows.join(firsts, "digest", "left")
         .select("key", "url", "body", "first")
         .mapInArrow(records, "record binary")
         .select(F.col("record").cast("string").alias("value"))
@@ -181,6 +186,7 @@ def write_archives(
         .option("maxRecordsPerFile", records_per_file)
         .text(path)
     )
+    found.drop()
 
 
 def parse_archive(data: bytes) -> Iterator[dict]:

@@ -39,6 +39,18 @@ def test_archives_keep_every_row(spark):
     assert empty.count() == 0
 
 
+def test_payloads_are_shuffled_by_digest_only_beyond_the_broadcast(spark, monkeypatch, tmp_path):
+    pages = spark.createDataFrame([(1, "u1", "x"), (2, "u2", "x"), (3, "u3", "y")], "page_id long, url string, html string")
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(warc.F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    for bound, name in ((10, "sent"), (0, "shuffled")):
+        monkeypatch.setattr(warc, "BROADCAST_DIGESTS", bound)
+        warc.write_archives(pages, f"{tmp_path}/{name}", F.col("page_id"), F.col("url"), F.col("html"))
+        got = warc.read_archives(spark, f"{tmp_path}/{name}").orderBy("key").collect()
+        assert [(r.key, r.record_type, r.refers_to) for r in got] == [(1, "response", None), (2, "revisit", 1), (3, "response", None)]
+        assert sent == [1]
+
+
 def test_repeated_rows_keep_their_segments(spark):
     long = "payload " * 60
     rows = [(1, "u", long)] * 3 + [(None, "n", long + "x")] * 2 + [(2, "v", long)]
