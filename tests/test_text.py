@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrain.functions import pretokens as P, symbols as S, text as T
+from lexigrain.functions import cutting, pretokens as P, symbols as S, text as T
 from lexigrain.operators.words import word_types
 from reference_rules import UNICODE_TEXTS
 from tokenizers import pre_tokenizers
@@ -78,3 +80,24 @@ def test_symbol_ids_cover_the_code_space(spark, token_id):
 def test_word_types_skip_null_and_empty(spark):
     df = spark.createDataFrame([(1, "a b a"), (2, None), (3, "")], "id int, text string")
     assert {tuple(r) for r in word_types(df).collect()} == {("a", 1), (" b", 1), (" a", 1)}
+
+
+def test_words_cut_on_bytes_are_those_of_the_pattern(spark, monkeypatch):
+    monkeypatch.setattr(cutting, "BYTES_AT_ONCE", 200)
+    rng = random.Random(5)
+    pieces = "' s t re r e ve v m ll l d S 's 1 \u0663 \u00bd ! \u00e9 \u4e2d \U0001d4b3 \U0001f600 \u0301 \u200b [UNK] \u2167 \u180e".split(" ")
+    pieces += ["  ", " ", " ", "\n", "\t", "\u00a0", "\u3000", "\u2009", "\x85", "\x1c", "\x00", "a"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))) for _ in range(4_000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "it's 12345678 123456789", None]], "text string").where(T.is_nonempty(F.col("text")))
+    expected = df.select(F.explode(P.pretokens(F.col("text"))).alias("word"))
+    cut = cutting.cut_texts(df.toArrow().column(0).combine_chunks(), cutting.character_classes(spark))
+    assert cut.to_pylist() == [r["word"] for r in expected.collect()]
+    counts = {r["word"]: r["freq"] for r in word_types(df).collect()}
+    assert counts == {r["word"]: r["count"] for r in expected.groupBy("word").count().collect()}
+    assert "Generate" not in word_types(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_malformed_texts_are_those_of_the_pattern(spark):
+    df = spark.sql("SELECT CAST(x AS STRING) AS text FROM VALUES (X'61FF62'), (X'E28261'), (X'C328'), (X'EDA080'), (X'206120') t(x)")
+    expected = df.select(F.explode(P.pretokens(F.col("text"))).alias("word")).groupBy("word").count()
+    assert sorted(map(tuple, word_types(df).collect())) == sorted(map(tuple, expected.collect()))

@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexigrain.functions.bpe import MergeTable, Trace, merge_words, play_in_order
 from lexigrain.operators.model import check_vocab_size
 from lexigrain.operators.scoring import token_totals
-from lexigrain.operators.training import TrainingReport, train_bpe
+from lexigrain.operators.training import TrainingReport, _sums, train_bpe
 from lexigrain.operators.words import word_types
 from lexigrain.storage import store
 from reference_rules import UNICODE_TEXTS, library_merges, library_model
@@ -116,6 +118,27 @@ def test_sums_handed_on_early_change_nothing(spark, monkeypatch):
     assert merges(trained(spark, texts, 275)) == library_merges(library_model(texts, 275))
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_merges_played_in_order_do_what_the_tracing_encoder_records(seed):
+    rng = np.random.default_rng(seed)
+    kinds, sizes = int(rng.integers(1, 4)), rng.integers(0, 12, 25)
+    ids, freq = rng.integers(0, kinds, sizes.sum()), rng.integers(1, 9, 25)
+    merges = []
+    for made in range(kinds, kinds + int(rng.integers(0, 10))):
+        # Some merges respell a token that exists.
+        merges.append((*rng.integers(0, made, 2), made if rng.random() < 0.8 else int(rng.integers(0, made))))
+    merges = np.array(merges, np.int64).reshape(-1, 3)
+    since = int(rng.integers(0, len(merges) + 1))
+    trace = Trace(since)
+    table = MergeTable(merges[:, 0], merges[:, 1], np.arange(len(merges)), merges[:, 2])
+    merge_words(ids.copy(), sizes, table, in_rank_order=True, trace=trace)
+    word, step, pair, change = trace.columns()
+    *played, touched = play_in_order(ids, sizes, freq, merges, since)
+    for ours, theirs in zip(_sums(*played), _sums(step, pair, freq[word] * change)):
+        assert ours.tolist() == theirs.tolist()
+    assert touched == len(np.unique(word))
+
+
 def test_training_keeps_nothing_cached(spark):
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     trained(spark, [random_text(9)], 300, round_length=2)
