@@ -15,7 +15,7 @@ from lexigrain.operators.joinkernel import merge_events_by_joins
 from lexigrain.operators.model import model_from_merges
 from lexigrain.functions import bpe
 from lexigrain.functions.bpe import WordEncoder
-from lexigrain.functions.symbols import base_tokens
+from lexigrain.functions.symbols import SPECIAL_ID, base_tokens, byte_alphabet
 from lexigrain.operators.prefixes import measure_prefix, prefix_sweep, size_grid, vocabulary_grid
 from lexigrain.operators.scoring import corpus_token_totals, token_totals, tokenizer_report
 from lexigrain.sources.tokenizer_files import load_json, load_tables, save_model
@@ -66,6 +66,19 @@ def test_decode_restores_text_without_specials(corpus, model):
     assert texts == {doc: text.replace("[UNK]", "") for doc, text in enumerate(TEXTS)}
 
 
+def test_decoding_takes_parts_of_rows_and_replaces_incomplete_characters(spark, model, monkeypatch):
+    monkeypatch.setattr(E, "WORDS_AT_ONCE", 3)
+    letters = {r["token"]: r["token_id"] for r in model.vocab.collect()}
+    alphabet = byte_alphabet()
+    spelled = [b"ab", "é€".encode(), b"\xe2\x82", b"x\xffy\xc3", b"", "😀".encode() + b"\xf0\x9f"]
+    rows = [(i, [letters[alphabet[b]] for b in data] + [SPECIAL_ID]) for i, data in enumerate(spelled)] + [(6, []), (7, None)]
+    ids = spark.createDataFrame(rows, "doc int, ids array<int>").coalesce(1)
+    texts = {r["doc"]: r["text"] for r in E.decode_documents(ids, ["doc"], model).collect()}
+    assert texts == {i: data.decode("utf-8", "replace") for i, data in enumerate(spelled)} | {6: "", 7: ""}
+    data, starts, sizes = E._spellings(model)
+    assert sizes[SPECIAL_ID] == 0 and len(data) == sizes.sum() and len(starts) == len(sizes) == model.vocab_size
+
+
 def test_a_literal_before_many_wide_characters_is_cut_off(spark, library, model):
     text = "[UNK]" + "-😀" * 8000
     corpus = spark.createDataFrame([(0, text)], "doc int, text string")
