@@ -321,8 +321,8 @@ def _remaining_links(
     Pairs are formed and confirmed inside a task and never leave it; full sets are sent only to tasks,
     and only of members, that hold a candidate pair.
     """
-    spark = classes.sparkSession
-    found = spark.createDataFrame([], "a long, b long")
+    # An empty frame of local rows would start Python workers of their own in every executor.
+    found = classes.sparkSession.range(0, 0, 1, 1).select(F.col("id").alias("a"), F.col("id").alias("b"))
     keyed = classes.select("id", F.posexplode("bands").alias("number", "band"), "n")
     rows = StoredTable(_open_groups(keyed, component), "open-bands").df
     large = (F.col("members") > group) | (F.col("shingles") > GROUP_SHINGLES)

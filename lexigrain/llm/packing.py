@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexigrain.functions.pretokens import Splitting, encoding_pretokens
 from lexigrain.functions.symbols import byte_alphabet
+from lexigrain.llm.hashing import row_groups
 from lexigrain.storage import StoredTable
 
 CAPACITY = 2048
@@ -35,7 +36,9 @@ ITEMS_PER_TASK = 200_000
 #: A bin with at most this share of its room left is final before the last level.
 NEARLY_FULL = 0.01
 #: Pre-tokens kept with their ids in each worker.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
+#: Pre-tokens of a batch that are encoded at once, or those of one text.
+PART_WORDS = 150_000
 #: Longer texts are not cut into pre-tokens by Spark but read by the library itself, a stretch at a time.
 SPLIT_BYTES = 1 << 20
 STRETCH = 1 << 18
@@ -56,7 +59,7 @@ class WordEncoder:
     """Token ids of pre-tokens and of whole texts, as 32-bit numbers; the library's default settings hold.
 
     A pre-token is encoded by the library once per worker, as long as it is remembered; all later ones are
-    looked up together, and their ids are taken from one array.
+    looked up together, and their ids are taken from one array. Of a full memo stays what was met again.
     """
 
     _shared: dict[int, WordEncoder] = {}
@@ -73,13 +76,23 @@ class WordEncoder:
         apart = "|".join(map(re.escape, longest_first)) or r"(?!)"
         self._cuts = re.compile(rf"({apart})")
         self._stretches = re.compile(rf"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
-        self._forget()
-
-    def _forget(self) -> None:
         self.memo = {literal: i for i, literal in enumerate(self.literals)}
         self.ids = np.array(list(self.literals.values()), "<u4")
         self.sizes = np.ones(len(self.ids), np.int64)
         self.offsets = np.arange(len(self.ids))
+        self.again = np.ones(len(self.ids), bool)
+
+    def _forget(self) -> None:
+        """Leaves the literals and what was met again since the last time, unless that is over half a memo."""
+        first = len(self.literals)
+        if np.count_nonzero(self.again) > MEMO_WORDS // 2:
+            self.again[first:] = False
+        kept = np.flatnonzero(self.again)
+        words = list(self.memo)  # in the order of their places
+        self.memo = {words[i]: k for k, i in enumerate(kept.tolist())}
+        self.ids, upto = self._ids_at(kept)
+        self.sizes, self.offsets = np.diff(upto), upto[:-1]
+        self.again = np.arange(len(kept)) < first
 
     @classmethod
     def shared(cls, definition: str) -> WordEncoder:
@@ -96,6 +109,7 @@ class WordEncoder:
         distinct = coded.dictionary.to_pylist()
         known = self.memo.get
         place = np.array([known(w, -1) for w in distinct], np.int64)
+        self.again[place[place >= 0]] = True
         fresh = np.flatnonzero(place < 0)
         if len(fresh):
             tokenize, spelling = self.tokenizer.model.tokenize, self._spelling
@@ -107,15 +121,19 @@ class WordEncoder:
             self.offsets = np.concatenate([self.offsets, len(self.ids) + np.cumsum(sizes) - sizes])
             self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(sizes.sum()))])
             self.sizes = np.concatenate([self.sizes, sizes])
+            self.again = np.concatenate([self.again, np.zeros(len(sizes), bool)])
         return place[coded.indices.to_numpy(zero_copy_only=False)]
 
-    def encode_lists(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows of pre-tokens one after the other, and where each row's begin and end."""
-        place = self._places(lists.flatten())
+    def _ids_at(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens at places of the memo, and where each one's begin and end."""
         sizes = self.sizes[place]
         upto = np.r_[0, np.cumsum(sizes)]
         first = np.repeat(self.offsets[place] - upto[:-1], sizes)
-        ids = self.ids[first + np.arange(len(first))]
+        return self.ids[first + np.arange(len(first))], upto
+
+    def encode_lists(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of pre-tokens one after the other, and where each row's begin and end."""
+        ids, upto = self._ids_at(self._places(lists.flatten()))
         counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         return ids, upto[np.r_[0, np.cumsum(counts)]]
 
@@ -138,6 +156,14 @@ class WordEncoder:
         return b"".join(parts)
 
 
+def batch_parts(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in parts whose column of words holds about ``PART_WORDS`` list entries, or one row."""
+    for batch in batches:
+        counts = batch.column(words).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        for a, b in row_groups(np.r_[0, np.cumsum(counts, dtype=np.int64)], PART_WORDS):
+            yield batch.slice(a, b - a)
+
+
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
     """``(start, length)`` of the pieces of ``n`` tokens: all full but perhaps the first."""
     first = n % capacity
@@ -158,7 +184,7 @@ def token_pieces(
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.shared(shared.value)
-        for batch in batches:
+        for batch in batch_parts(batches, 1):
             rows: list[list] = [[], [], [], [], []]
             ids, bounds = encoder.encode_lists(batch.column(1))
             bounds = bounds.tolist()

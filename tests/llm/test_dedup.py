@@ -101,6 +101,16 @@ def test_large_groups_are_searched_completely(spark):
     assert {tuple(sorted(r)) for r in got} == {(2, 5)}
 
 
+def test_a_search_without_large_groups_reads_no_local_rows(spark):
+    """Local rows are read by Python workers of their own, which stay in every executor for a while."""
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    classes = spark.range(3).select("id", F.lit(2).cast("long").alias("n"), F.array("id").alias("bands"), F.lit(b"").alias("bytes"))
+    component = spark.range(0).select("id", F.col("id").alias("component"))
+    got = minhash._remaining_links(docs, classes, component, 3, "doc_id", "text")
+    assert got.columns == ["a", "b"] and got.count() == 0
+    assert "ExistingRDD" not in got._jdf.queryExecution().toString()
+
+
 def test_tasks_of_large_groups_are_bounded(spark):
     rows = [(9, 0, i, 10, 0 if i < 700 else i // 2) for i in range(1500)] + [(8, 0, i, 10, i) for i in range(5)]
     group = spark.createDataFrame(rows, "band long, number int, id long, n long, component long")

@@ -111,6 +111,32 @@ def test_a_forgetting_encoder_and_a_very_long_text_give_the_same_ids(spark, monk
         assert ids.tolist() == library_ids(encoder.tokenizer, text)[:-1] and bounds.tolist() == [0, len(ids)]
 
 
+def test_a_full_memo_keeps_what_is_met_again(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO_WORDS", 20)
+    encoder = packing.WordEncoder(tokenizer_definition())
+    for k in range(30):
+        words = [" the", " of", *(f" rare{k}x{i}" for i in range(10)), "<|endoftext|>"]
+        ids, bounds = encoder.encode_lists(pa.array([words, None, words[:2]]))
+        expected = [library_ids(encoder.tokenizer, "".join(w))[:-1] for w in (words, words[:2])]
+        assert ids.tolist() == expected[0] + expected[1]
+        assert bounds.tolist() == [0, len(expected[0]), len(expected[0]), len(ids)]
+        assert len(encoder.memo) <= 20 + 13 and len(encoder.memo) == len(encoder.sizes) == len(encoder.again)
+        assert k < 3 or encoder.memo[" the"] < 13 and encoder.memo[" of"] < 13
+    monkeypatch.setattr(packing, "MEMO_WORDS", 2)  # too small for what is met again
+    encoder.encode_lists(pa.array([[" a", " b"], [" a", " b"]]))
+    assert len(encoder.memo) == 3
+
+
+def test_batches_are_encoded_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(packing, "PART_WORDS", 10)
+    sizes = [4, 4, 4, 30, 0, None, 3, 7, 1]
+    lists = [None if n is None else [f"{i}.{k}" for k in range(n)] for i, n in enumerate(sizes)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(lists, pa.list_(pa.string()))], names=["id", "words"])
+    parts = list(packing.batch_parts([batch.slice(0, 2), batch.slice(2), batch.slice(9)], 1))
+    assert [r for p in parts for r in p.to_pylist()] == batch.to_pylist()
+    assert all(p.num_rows == 1 or len(p.column(1).flatten()) <= 10 for p in parts)
+
+
 def test_best_fit_is_best_fit():
     bins = packing.best_fit(np.array([6, 5, 4, 3, 2]), 10)
     assert sorted(sorted(b) for b in bins) == [[0, 2], [1, 3, 4]]
